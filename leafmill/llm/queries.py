@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, chat, fm_index, warc
 from .shared import table
 
 QUERIES: dict = {}
@@ -23,3 +23,70 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return byte_bpe.decode(coded.drop("text"), ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@registered
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op5_fm_index"] = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_sized AS (
+  SELECT item, w, least(10, len(w)) AS size FROM item WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM item_sized)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), doc_windows AS (
+  SELECT row_no, size, i, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT row_no, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes WHERE len(w) >= size)
+), hits AS (
+  SELECT row_no, i, size, item FROM doc_windows JOIN windows USING (size, phrase)
+), hit_words AS (
+  SELECT row_no, count(DISTINCT word) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS word FROM hits) GROUP BY row_no
+), hit_items AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_words USING (row_no) LEFT JOIN hit_items USING (row_no)
+"""
+
+
+@registered
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "intact")
+
+
+@registered
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), marked AS (
+  SELECT *, md5(concat(pos, '|', role IS NULL, '|', coalesce(role, ''), '|', text IS NULL, '|', coalesce(text, ''))) AS h FROM turns
+), prefix AS (
+  SELECT conv_id, pos, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY pos) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM marked
+), whole AS (
+  SELECT p, n, min(conv_id) AS conv_id FROM prefix WHERE pos = n GROUP BY p, n
+), kept AS (
+  SELECT conv_id, n FROM whole WHERE p NOT IN (SELECT p FROM prefix WHERE pos < n)
+)
+SELECT t.conv_id, CAST((t.pos - 1) // 1024 AS BIGINT) AS part, CAST(k.n AS BIGINT) AS n_turns,
+       string_agg(concat('<|', coalesce(role, 'unknown'), '|>', chr(10), coalesce(text, ''), chr(10), '<|end|>', chr(10)), '' ORDER BY t.pos) AS text
+FROM turns t JOIN kept k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL
+"""
