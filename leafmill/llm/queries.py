@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fm_index, warc
-from .shared import table
+from . import byte_bpe, byte_cnn, chat, fm_index, nbsvm, toxicity, warc
+from .shared import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,24 @@ SELECT t.conv_id, CAST((t.pos - 1) // 1024 AS BIGINT) AS part, CAST(k.n AS BIGIN
        string_agg(concat('<|', coalesce(role, 'unknown'), '|>', chr(10), coalesce(text, ''), chr(10), '<|end|>', chr(10)), '' ORDER BY t.pos) AS text
 FROM turns t JOIN kept k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL
 """
+
+
+@registered
+def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = nbsvm.scored(docs, nbsvm.learn(docs, table(spark, sf_dir, "labels")), out="score")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@registered
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = byte_cnn.identified(docs.select("doc_id", "text"), byte_cnn.learn(docs))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@registered
+def op9_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), out="score")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

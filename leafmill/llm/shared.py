@@ -90,3 +90,36 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], parts: int, held: int, text: str = "text", doc: str = "doc_id") -> list[tuple[bytes, int]]:
+    """Texts and labels to fit a classifier on: of each label at most bounds[label] label rows, by a hash of the id.
+
+    Rows of the held-out fold (crc32 of the id modulo parts = held) never take part; equal texts are taken once.
+    """
+    wanted = labels.where(F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, F.col(label).cast("int").alias("label")).distinct()
+    parted = [wanted.where(F.col("label") == k).orderBy(F.xxhash64(doc), doc).limit(n) for k, n in bounds.items()]
+    some = parted[0]
+    for more in parted[1:]:
+        some = some.unionByName(more)
+    rows = docs.select(doc, F.col(text).cast("binary").alias("raw")).where("raw is not null").join(F.broadcast(some), doc).select("raw", "label").collect()
+    return sorted({(bytes(r.raw), r.label) for r in rows})
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights, the intercept last, of a logistic regression by Newton steps; x is scaled by the caller."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        ridge = penalty * np.append(np.ones(len(w) - 1), 1e-6)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge + 1e-9), x.T @ (p - y) / len(y) + ridge * w)
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
