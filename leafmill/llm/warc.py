@@ -9,6 +9,7 @@ page) and merged in each range by a loser tree; the ranges together hold globall
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -56,7 +57,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(found: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """The WARC records of records(), with a header block, an HTTP block and, for responses, the payload."""
+    """The WARC records of records(), with a header block, an HTTP block and, for responses, the payload; gzip files."""
     line = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(300_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     size = F.octet_length("html")
@@ -72,7 +73,7 @@ def write_archives(found: DataFrame, path: str, archive_records: int = ARCHIVE_R
         F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.when(revisit, 0).otherwise(size)).cast("string")),
     )
     record = F.concat(header, F.lit(END), http, F.when(revisit, "").otherwise(F.col("html")))
-    found.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", archive_records).text(path)
+    found.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", archive_records).option("compression", "gzip").text(path)
 
 
 def parsed(content: bytes, archive: str) -> Iterator[tuple]:
@@ -108,7 +109,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if rows := sorted(parsed(content.as_py(), name.rsplit("/", 1)[-1]), key=order_of):
+                if rows := sorted(parsed(gzip.decompress(content.as_py()), name.rsplit("/", 1)[-1]), key=order_of):
                     yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content").mapInArrow(run, ENTRY)
