@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, chat, fm_index, nbsvm, toxicity, warc
+from . import byte_bpe, byte_cnn, chat, fm_index, nbsvm, order_minhash, toxicity, warc
 from .shared import fold, table
 
 QUERIES: dict = {}
@@ -111,3 +111,8 @@ def op9_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), out="score")
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@registered
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
