@@ -21,22 +21,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .shared import fold, stored
 
 #: Words of the network's vocabulary (with the end token) and of each of its classes.
-VOCABULARY, CLASS_WORDS = 2_048, 64
+VOCABULARY, CLASS_WORDS = 1_024, 32
 #: Groups of other words, by their last two bytes.
 TAILS = 32
 STATE = 24
-LANES, STEPS = 128, 16
+LANES, STEPS = 256, 16
 ROUNDS = 4
+RATE = 0.15
 #: Words whose counts every task holds; rarer words' counts come by a shuffle.
 KNOWN_WORDS = 131_072
 #: Distinct words a task counts before it hands them on, and document bytes packed into lanes at once.
-HELD_WORDS, HELD_BYTES = 400_000, 8_000_000
+HELD_WORDS, HELD_BYTES = 400_000, 24_000_000
 PARTS, HELD = 5, 1
 END = b""  # no word is empty
 
@@ -131,6 +132,16 @@ def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(ids.T), np.ascontiguousarray(owner.T)
 
 
+def weighed(z: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of logits: the log-probability of one place each, and all places' weights, in place, with their sums."""
+    if z.max() > 60:
+        z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), which]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    return picked - np.log(total), z, total
+
+
 class Network:
     def __init__(self, p: dict[str, np.ndarray], heads: int):
         self.p, self.heads, self.head_classes = p, heads, len(p["word_w"])
@@ -156,34 +167,24 @@ class Network:
             hs[t] = h
         return hs, olds, gates
 
-    def class_part(self, hs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of flat states and words: each word's class, its log-probability, and the probabilities of all classes."""
+    def class_part(self, hs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of flat states and words: each word's class, its log-probability, and the classes' weights and their sum."""
         k = np.where(ids < self.heads, ids // CLASS_WORDS, ids - self.heads + self.head_classes)
         z = hs @ self.p["class_w"]
         z += self.p["class_b"]
-        z -= z.max(1, keepdims=True)
-        picked = z[np.arange(len(k)), k]
-        np.exp(z, out=z)
-        total = z.sum(1)
-        z /= total[:, None]
-        return k, picked - np.log(total), z
+        return k, *weighed(z, k)
 
     def word_parts(self, hs: np.ndarray, ids: np.ndarray, k: np.ndarray) -> Iterator[tuple]:
-        """For each class of the vocabulary that is met: places, words inside it, their log-probabilities, probabilities."""
-        order = np.argsort(k, kind="stable")
+        """For each class of the vocabulary that is met: places, words inside it, log-probabilities, weights, sums."""
+        order = np.argsort(k.astype(np.int16), kind="stable")
         edges = np.searchsorted(k[order], np.arange(self.head_classes + 1))
         for c in range(self.head_classes):
             own = order[edges[c] : edges[c + 1]]
             if len(own):
                 z = hs[own] @ self.p["word_w"][c]
                 z += self.p["word_b"][c]
-                z -= z.max(1, keepdims=True)
                 inner = ids[own] - c * CLASS_WORDS
-                picked = z[np.arange(len(own)), inner]
-                np.exp(z, out=z)
-                total = z.sum(1)
-                z /= total[:, None]
-                yield c, own, inner, picked - np.log(total), z
+                yield c, own, inner, *weighed(z, inner)
 
     def scores(self, ids: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
         """Natural log-probability of each document's words and tail groups, state carried from window to window."""
@@ -199,8 +200,8 @@ class Network:
             h, last, previous = hs[-1].copy(), o[-1], w[-1]
             flat = np.nonzero(o.reshape(-1) >= 0)[0]
             states, words = hs.reshape(-1, STATE)[flat], w.reshape(-1)[flat]
-            k, logp, _ = self.class_part(states, words)
-            for _, own, _, inner, _ in self.word_parts(states, words, k):
+            k, logp, _, _ = self.class_part(states, words)
+            for _, own, _, inner, _, _ in self.word_parts(states, words, k):
                 logp[own] += inner
             out += np.bincount(o.reshape(-1)[flat], logp, docs)
         return out
@@ -220,16 +221,16 @@ class Network:
             self.update(self.gradients(before, fresh, hs, olds, gates, flat, w.reshape(-1)[flat]), rate, moments)
 
     def gradients(self, before, fresh, hs, olds, gates, flat, words) -> dict[str, np.ndarray]:
-        p, n = self.p, np.float32(len(flat))
+        p, n = self.p, np.float32(max(len(flat), LANES * STEPS // 2))  # a window of few words moves little
         states = hs.reshape(-1, STATE)[flat]
-        k, _, prob = self.class_part(states, words)
-        prob[np.arange(len(k)), k] -= 1
-        prob /= n
+        k, _, prob, total = self.class_part(states, words)
+        prob *= (1 / (n * total))[:, None]
+        prob[np.arange(len(k)), k] -= 1 / n
         g = {"class_w": states.T @ prob, "class_b": prob.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
         d = prob @ p["class_w"].T
-        for c, own, inner, _, z in self.word_parts(states, words, k):
-            z[np.arange(len(own)), inner] -= 1
-            z /= n
+        for c, own, inner, _, z, total in self.word_parts(states, words, k):
+            z *= (1 / (n * total))[:, None]
+            z[np.arange(len(own)), inner] -= 1 / n
             g["word_w"][c] = states[own].T @ z
             g["word_b"][c] = z.sum(0)
             d[own] += z @ p["word_w"][c].T
@@ -251,7 +252,7 @@ class Network:
             carry = (carry * (1 - z) + into[t] @ back) * stays[t]
         flat_into = into.reshape(-1, 2 * STATE)
         g["state"] = olds.reshape(-1, STATE).T @ flat_into
-        order = np.argsort(before.reshape(-1), kind="stable")
+        order = np.argsort(before.reshape(-1).astype(np.int16), kind="stable")
         ids = before.reshape(-1)[order]
         edges = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
         g["inputs"] = (ids[edges], np.add.reduceat(flat_into[order], edges))
@@ -324,18 +325,22 @@ def _averaged(shards: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Trained parameters: each round learns from its share of the training documents, then averages."""
+    """Trained parameters: each round learns from its share of the training documents, then averages.
+
+    The sums of squared gradients, which set the step sizes, are averaged and carried on like the parameters.
+    """
     spark = docs.sparkSession
     p = lexicon.start()
+    p |= {f"{k}.moment": np.full(v.shape, 1e-4, np.float32) for k, v in p.items()}
     shapes = {k: v.shape for k, v in p.items()}
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((lexicon, p))
-        rate = 0.12 * (1 - 0.6 * turn / max(1, rounds - 1))
+        rate = RATE * (1 - 0.5 * turn / max(1, rounds - 1))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             lexicon, start = sent.value
-            net = Network({k: v.copy() for k, v in start.items()}, lexicon.heads)
-            moments = {k: np.full(v.shape, 1e-4, np.float32) for k, v in start.items()}
+            net = Network({k: v.copy() for k, v in start.items() if "." not in k}, lexicon.heads)
+            moments = {k: start[f"{k}.moment"].copy() for k in net.p}
             numbers, weight, salt = _Numbers(lexicon), 0, 0
             for _, raws in _held(batches, 0):
                 texts = [_numbers(raw, numbers) for raw in raws]
@@ -343,7 +348,8 @@ def fit(docs: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "tex
                 net.train(*packed(texts), rate, moments)
                 weight += sum(map(len, texts))
             if weight:
-                flat = np.concatenate([net.p[k].reshape(-1) for k in sorted(net.p)])
+                found = net.p | {f"{k}.moment": v for k, v in moments.items()}
+                flat = np.concatenate([found[k].reshape(-1) for k in sorted(found)])
                 for block, part in enumerate(np.array_split(flat, BLOCKS)):
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([float(weight)], pa.float64()), pa.array([part.tobytes()], pa.binary())], ["block", "salt", "weight", "values"])
 
@@ -395,27 +401,32 @@ def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
                 tail = ids >= lexicon.heads
                 seen = ~np.isnan(found)
                 value -= shift[ids[tail] - lexicon.heads].sum()
-                rows.append((len(words), int(seen.sum()), float(found[seen].sum()), float(value + found[tail & seen].sum())))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "n_tokens", "known", "seen_log", "net_log"])
+                rows.append((len(words), int(seen.sum()), float(found[seen].sum()), float(value + found[tail & seen].sum()), zlib.crc32(raw or b"")))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], ["doc_id", "n_tokens", "known", "seen_log", "net_log", "own"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value[0].known
         for part, raws in _held(batches, 1):
-            ids, words, times = [], [], []
+            ids, owns, words, times = [], [], [], []
             for doc_id, raw in zip(part.column(0).to_pylist(), raws, strict=True):
                 found = Counter(w for w in tokens(raw) if w not in known)
                 ids += [doc_id] * len(found)
+                owns += [zlib.crc32(raw or b"")] * len(found)
                 words += found
                 times += found.values()
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["doc_id", "word", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["doc_id", "own", "word", "times"])
 
     base = own.withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = base.mapInArrow(score, "doc_id long, n_tokens long, known long, seen_log double, net_log double")
-    # each repeated row of an id brings its own rare words: the rows' number divides their sums again
-    tails = base.mapInArrow(rare, "doc_id long, word binary, times long").join(counts.select("word", "n"), "word", "left")
-    tails = tails.groupBy("doc_id").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    both = marked.join(tails.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    # rows that repeat an id and text each bring the same rare words, so the sums are divided by the rows' number
+    rows = Window.partitionBy("doc_id", "own")
+    marked = base.mapInArrow(score, "doc_id long, n_tokens long, known long, seen_log double, net_log double, own long").withColumn("rows", F.count("*").over(rows))
+    tails = base.mapInArrow(rare, "doc_id long, own long, word binary, times long").join(counts.select("word", "n"), "word", "left")
+    tails = tails.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
+    )
+    both = marked.join(tails, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")), "left")
+    both = both.withColumn("rare_log", F.col("rare_log") / F.col("rows")).withColumn("rare_known", (F.col("rare_known") / F.col("rows")).cast("long"))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return both.select(
         "doc_id", (fold("doc_id", PARTS) == HELD).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(lexicon.total).cast("long").alias("train_tokens"),
