@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, chat, fm_index, gated_lm, nbsvm, order_minhash, toxicity, warc
+from . import byte_bpe, byte_cnn, chat, fm_index, gated_lm, multi_index, nbsvm, order_minhash, toxicity, warc
 from .shared import fold, table
 
 QUERIES: dict = {}
@@ -121,3 +121,9 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registered
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
