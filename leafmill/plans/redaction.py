@@ -81,7 +81,7 @@ def apply_page_edits(spark, sf):
     return R.apply_page_edits(docs(spark, sf).select("doc_id", "text"))
 
 
-@query(f"""WITH {SPANS} SELECT d.doc_id, count_if(type = 'blackout') AS blackout, count_if(type = 'whiteout') AS whiteout, count_if(type = 'blur') AS blur, count_if(type = 'delete') AS "delete", count(type) > 0 AS touched
+@query(f"""WITH {SPANS} SELECT d.doc_id, count(*) FILTER (WHERE type = 'blackout') AS blackout, count(*) FILTER (WHERE type = 'whiteout') AS whiteout, count(*) FILTER (WHERE type = 'blur') AS blur, count(*) FILTER (WHERE type = 'delete') AS "delete", count(type) > 0 AS touched
 FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id""")
 def redaction_summary(spark, sf):
     return R.redaction_summary(docs(spark, sf), R.detect_spans(docs(spark, sf)))
