@@ -1 +1,5 @@
-"""Part of leafmill; see README.md."""
+"""Registered queries; importing this package fills the registry."""
+
+from leafmill.plans import documents, layout, records, redaction, site, streams
+
+__all__ = ["documents", "layout", "records", "redaction", "site", "streams"]
