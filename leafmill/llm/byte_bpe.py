@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import annotated, stored
+from .shared import annotated, most_frequent, stored
 
 #: Distinct words that Spark encodes ahead and sends to every task: the bound of what is broadcast.
 HEAD_WORDS = 65_536
@@ -141,8 +141,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     `ids` or `n_tokens` is replaced. Texts are cut by the pattern as wholes; no special token is known.
     """
     spark = docs.sparkSession
-    head = word_counts(docs, pattern, text).where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words)
-    head = stored(head, "bpe-head").repartition(32)
+    counts = stored(word_counts(docs, pattern, text).where((F.octet_length("word") <= HEAD_BYTES) & (F.col("n") > 1)), "bpe-words")
+    head = most_frequent(counts, head_words).repartition(32)
     known = {bytes(r.word): np.array(r.ids, "<u4").tobytes() for r in encode_words(head, ranks).select("word", "ids").collect()}
     sent = spark.sparkContext.broadcast(({w.decode(): ids for w, ids in known.items()}, ranks))
 

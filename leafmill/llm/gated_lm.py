@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, stored
+from .shared import fold, most_frequent, stored
 
 #: Words of the network's vocabulary (with the end token) and of each of its classes.
 VOCABULARY, CLASS_WORDS = 1_024, 32
 #: Groups of other words, by their last two bytes.
 TAILS = 32
-STATE = 24
-LANES, STEPS = 256, 16
+STATE = 16
+LANES, LANE_WORDS, STEPS = 512, 2_048, 16
 ROUNDS = 4
 RATE = 0.15
 #: Words whose counts every task holds; rarer words' counts come by a shuffle.
@@ -46,6 +46,9 @@ def tokens(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split() + [END]
 
 
+crc = zlib.crc32
+
+
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
@@ -104,9 +107,9 @@ class Lexicon:
         groups = padded.reshape(-1, CLASS_WORDS)
         inner = np.where(groups > 0, np.log(np.maximum(groups, 1e-9)), -1e4)
         p = {
-            "inputs": rng.normal(0, 0.3, (self.heads + TAILS, 2 * h)), "state": rng.normal(0, 0.7 / np.sqrt(h), (h, 2 * h)),
-            "class_w": rng.normal(0, 0.05, (h, self.classes)), "class_b": np.log(np.concatenate([groups.sum(1), self.tail_mass])),
-            "word_w": rng.normal(0, 0.05, (self.head_classes, h, CLASS_WORDS)), "word_b": inner,
+            "inputs": rng.normal(0, 0.3, (2 * h, self.heads + TAILS)), "state": rng.normal(0, 0.7 / np.sqrt(h), (2 * h, h)),
+            "class_w": rng.normal(0, 0.05, (self.classes, h)), "class_b": np.log(np.concatenate([groups.sum(1), self.tail_mass])),
+            "word_w": rng.normal(0, 0.05, (self.head_classes, CLASS_WORDS, h)), "word_b": inner,
         }
         p["class_b"] -= p["class_b"].max()
         p["word_b"] -= p["word_b"].max(1, keepdims=True)
@@ -114,18 +117,22 @@ class Lexicon:
 
 
 def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents laid end to end in LANES lanes, the longest lane first: word numbers and document numbers, -1 beyond."""
+    """Documents laid end to end in lanes, the longest lane first: word numbers and document numbers, -1 beyond.
+
+    There are LANES lanes, fewer where they would be shorter than LANE_WORDS, so that little text still makes many windows.
+    """
+    count = int(np.clip(sum(map(len, docs)) // LANE_WORDS, LANES // 16, LANES))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    loads, lanes = [0] * LANES, [[] for _ in range(LANES)]
-    heap = [(0, k) for k in range(LANES)]
+    loads, lanes = [0] * count, [[] for _ in range(count)]
+    heap = [(0, k) for k in range(count)]
     for i in order:
         load, k = heapq.heappop(heap)
         lanes[k].append(i)
         loads[k] = load + len(docs[i])
         heapq.heappush(heap, (loads[k], k))
     long = max(loads)
-    ids, owner = np.full((LANES, long), -1, np.int32), np.full((LANES, long), -1, np.int32)
-    for row, k in enumerate(sorted(range(LANES), key=lambda k: -loads[k])):
+    ids, owner = np.full((count, long), -1, np.int32), np.full((count, long), -1, np.int32)
+    for row, k in enumerate(sorted(range(count), key=lambda k: -loads[k])):
         if lanes[k]:
             ids[row, : loads[k]] = np.concatenate([docs[i] for i in lanes[k]])
             owner[row, : loads[k]] = np.repeat(lanes[k], [len(docs[i]) for i in lanes[k]])
@@ -133,16 +140,21 @@ def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weighed(z: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of logits: the log-probability of one place each, and all places' weights, in place, with their sums."""
+    """Of columns of logits: the log-probability of one place each, and all places' weights, in place, with their sums."""
     if z.max() > 60:
-        z -= z.max(1, keepdims=True)
-    picked = z[np.arange(len(z)), which]
+        z -= z.max(0)
+    picked = z[which, np.arange(z.shape[1])]
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], np.float32)
+    total = z.sum(0)
     return picked - np.log(total), z, total
 
 
 class Network:
+    """Arrays keep features ahead of words, so that numpy's inner loops run along many words.
+
+    The squashing function is x / (1 + |x|), which numpy computes several times faster than tanh.
+    """
+
     def __init__(self, p: dict[str, np.ndarray], heads: int):
         self.p, self.heads, self.head_classes = p, heads, len(p["word_w"])
 
@@ -152,142 +164,152 @@ class Network:
         before: the word before each place; fresh: where a document starts, whose state is zero and which reads the end token.
         """
         steps, lanes = before.shape
-        x = self.p["inputs"][before]
-        hs, gates = np.empty((steps, lanes, STATE), np.float32), np.empty((steps, lanes, 2 * STATE), np.float32)
-        olds = np.empty_like(hs)
-        stays = (~fresh).astype(np.float32)[:, :, None]
+        hs, olds, gates = np.empty((STATE, steps, lanes), np.float32), np.empty((STATE, steps, lanes), np.float32), np.empty((2 * STATE, steps, lanes), np.float32)
+        stays = (~fresh).astype(np.float32)
         for t in range(steps):
             h = h * stays[t]
-            olds[t] = h
-            g = np.tanh(x[t] + h @ self.p["state"], out=gates[t])
-            z = g[:, :STATE]
+            olds[:, t] = h
+            g = self.p["state"] @ h
+            g += self.p["inputs"][:, before[t]]
+            size = np.abs(g)
+            size += 1
+            g /= size
+            z, c = g[:STATE], g[STATE:]
             z *= 0.5
-            z += 0.5  # the logistic function of twice the sum
-            h = h + z * (g[:, STATE:] - h)
-            hs[t] = h
+            z += 0.5
+            h = h + z * (c - h)
+            gates[:, t] = g
+            hs[:, t] = h
         return hs, olds, gates
 
-    def class_part(self, hs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of flat states and words: each word's class, its log-probability, and the classes' weights and their sum."""
+    def sorted_by_class(self, flat: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and words in order of their class, the classes, and where each class of the vocabulary begins."""
         k = np.where(ids < self.heads, ids // CLASS_WORDS, ids - self.heads + self.head_classes)
-        z = hs @ self.p["class_w"]
-        z += self.p["class_b"]
-        return k, *weighed(z, k)
-
-    def word_parts(self, hs: np.ndarray, ids: np.ndarray, k: np.ndarray) -> Iterator[tuple]:
-        """For each class of the vocabulary that is met: places, words inside it, log-probabilities, weights, sums."""
         order = np.argsort(k.astype(np.int16), kind="stable")
-        edges = np.searchsorted(k[order], np.arange(self.head_classes + 1))
+        return flat[order], ids[order], k[order], np.searchsorted(k[order], np.arange(self.head_classes + 1))
+
+    def class_part(self, hs: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z = self.p["class_w"] @ hs
+        z += self.p["class_b"][:, None]
+        return weighed(z, k)
+
+    def word_parts(self, hs: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> Iterator[tuple]:
+        """For each class of the vocabulary that is met: its places, words inside it, log-probabilities, weights, sums."""
         for c in range(self.head_classes):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                z = hs[own] @ self.p["word_w"][c]
-                z += self.p["word_b"][c]
+            own = slice(edges[c], edges[c + 1])
+            if edges[c] < edges[c + 1]:
+                z = self.p["word_w"][c] @ hs[:, own]
+                z += self.p["word_b"][c][:, None]
                 inner = ids[own] - c * CLASS_WORDS
                 yield c, own, inner, *weighed(z, inner)
 
-    def scores(self, ids: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-        """Natural log-probability of each document's words and tail groups, state carried from window to window."""
-        out, h, last = np.zeros(docs), np.zeros((LANES, STATE), np.float32), np.full(LANES, -1, np.int32)
-        previous = np.zeros(LANES, np.int32)
+    def windows(self, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
+        """Windows of STEPS places with their states; lanes end in order of their length, state goes on to the next window."""
+        self.lanes = ids.shape[1]
+        h, last, previous = np.zeros((STATE, self.lanes), np.float32), np.full(self.lanes, -1, np.int32), np.zeros(self.lanes, np.int32)
         for at in range(0, len(ids), STEPS):
             w, o = ids[at : at + STEPS], owner[at : at + STEPS]
-            live = int((o[0] >= 0).sum())  # lanes end in order of their length
+            live = int((o[0] >= 0).sum())
             w, o = w[:, :live], o[:, :live]
             fresh = np.concatenate([last[None, :live], o[:-1]]) != o
             before = np.where(fresh, 0, np.maximum(np.concatenate([previous[None, :live], w[:-1]]), 0))
-            hs, _, _ = self.states(before, fresh, h[:live])
-            h, last, previous = hs[-1].copy(), o[-1], w[-1]
+            hs, olds, gates = self.states(before, fresh, h[:, :live])
+            h, last, previous = hs[:, -1].copy(), o[-1], w[-1]
             flat = np.nonzero(o.reshape(-1) >= 0)[0]
-            states, words = hs.reshape(-1, STATE)[flat], w.reshape(-1)[flat]
-            k, logp, _, _ = self.class_part(states, words)
-            for _, own, _, inner, _, _ in self.word_parts(states, words, k):
+            flat, words, k, edges = self.sorted_by_class(flat, w.reshape(-1)[flat])
+            yield before, fresh, hs, olds, gates, flat, words, k, edges, o
+
+    def scores(self, ids: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+        """Natural log-probability of each document's words and tail groups."""
+        out = np.zeros(docs)
+        for _, _, hs, _, _, flat, words, k, edges, o in self.windows(ids, owner):
+            states = hs.reshape(STATE, -1)[:, flat]
+            logp, _, _ = self.class_part(states, k)
+            for _, own, _, inner, _, _ in self.word_parts(states, words, edges):
                 logp[own] += inner
             out += np.bincount(o.reshape(-1)[flat], logp, docs)
         return out
 
     def train(self, ids: np.ndarray, owner: np.ndarray, rate: float, moments: dict) -> None:
         """One pass of truncated backpropagation: gradients stop at a window's start, the state does not."""
-        h, last, previous = np.zeros((LANES, STATE), np.float32), np.full(LANES, -1, np.int32), np.zeros(LANES, np.int32)
-        for at in range(0, len(ids), STEPS):
-            w, o = ids[at : at + STEPS], owner[at : at + STEPS]
-            live = int((o[0] >= 0).sum())
-            w, o = w[:, :live], o[:, :live]
-            fresh = np.concatenate([last[None, :live], o[:-1]]) != o
-            before = np.where(fresh, 0, np.maximum(np.concatenate([previous[None, :live], w[:-1]]), 0))
-            hs, olds, gates = self.states(before, fresh, h[:live])
-            h, last, previous = hs[-1].copy(), o[-1], w[-1]
-            flat = np.nonzero(o.reshape(-1) >= 0)[0]
-            self.update(self.gradients(before, fresh, hs, olds, gates, flat, w.reshape(-1)[flat]), rate, moments)
-
-    def gradients(self, before, fresh, hs, olds, gates, flat, words) -> dict[str, np.ndarray]:
-        p, n = self.p, np.float32(max(len(flat), LANES * STEPS // 2))  # a window of few words moves little
-        states = hs.reshape(-1, STATE)[flat]
-        k, _, prob, total = self.class_part(states, words)
-        prob *= (1 / (n * total))[:, None]
-        prob[np.arange(len(k)), k] -= 1 / n
-        g = {"class_w": states.T @ prob, "class_b": prob.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
-        d = prob @ p["class_w"].T
-        for c, own, inner, _, z, total in self.word_parts(states, words, k):
-            z *= (1 / (n * total))[:, None]
-            z[np.arange(len(own)), inner] -= 1 / n
-            g["word_w"][c] = states[own].T @ z
-            g["word_b"][c] = z.sum(0)
-            d[own] += z @ p["word_w"][c].T
-        dh = np.zeros(hs.shape, np.float32)
-        dh.reshape(-1, STATE)[flat] = d
+        for *window, _ in self.windows(ids, owner):
+            self.update(self.gradients(*window), rate, moments)
+
+    def gradients(self, before, fresh, hs, olds, gates, flat, words, k, edges) -> dict[str, np.ndarray]:
+        p, n = self.p, np.float32(max(len(flat), self.lanes * STEPS // 2))  # a window of few words moves little
+        states = hs.reshape(STATE, -1)[:, flat]
+        _, prob, total = self.class_part(states, k)
+        prob *= 1 / (n * total)
+        prob[k, np.arange(len(k))] -= 1 / n
+        g = {"class_w": prob @ states.T, "class_b": prob.sum(1), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+        d = p["class_w"].T @ prob
+        for c, own, inner, _, z, total in self.word_parts(states, words, edges):
+            z *= 1 / (n * total)
+            z[inner, np.arange(len(inner))] -= 1 / n
+            g["word_w"][c] = z @ states[:, own].T
+            g["word_b"][c] = z.sum(1)
+            d[:, own] += p["word_w"][c].T @ z
+        dh = np.zeros((STATE, hs[0].size), np.float32)
+        dh[:, flat] = d
+        dh = dh.reshape(hs.shape)
         into = np.empty_like(gates)
-        carry = np.zeros_like(dh[0])
-        stays = (~fresh).astype(np.float32)[:, :, None]
-        back = np.ascontiguousarray(p["state"].T)
-        for t in range(len(hs) - 1, -1, -1):
-            carry += dh[t]
-            z, c, old = gates[t][:, :STATE], gates[t][:, STATE:], olds[t]
-            dz = into[t][:, :STATE]
-            np.multiply(carry, c - old, out=dz)
-            dz *= 2 * z * (1 - z)
-            dc = into[t][:, STATE:]
-            np.multiply(carry, z, out=dc)
-            dc *= 1 - c * c
-            carry = (carry * (1 - z) + into[t] @ back) * stays[t]
-        flat_into = into.reshape(-1, 2 * STATE)
-        g["state"] = olds.reshape(-1, STATE).T @ flat_into
+        carry = np.zeros((STATE, hs.shape[2]), np.float32)
+        stays, back = (~fresh).astype(np.float32), p["state"].T
+        for t in range(hs.shape[1] - 1, -1, -1):
+            carry += dh[:, t]
+            g_t = gates[:, t]
+            z, c = g_t[:STATE], g_t[STATE:]
+            slope = np.abs(g_t)
+            slope[:STATE] = np.abs(2 * z - 1)
+            np.subtract(1, slope, out=slope)
+            slope *= slope
+            d_t = np.concatenate([carry * (c - olds[:, t]) * 0.5, carry * z])
+            d_t *= slope
+            into[:, t] = d_t
+            carry *= 1 - z
+            carry += back @ d_t
+            carry *= stays[t]
+        flat_into = into.reshape(2 * STATE, -1)
+        g["state"] = flat_into @ olds.reshape(STATE, -1).T
         order = np.argsort(before.reshape(-1).astype(np.int16), kind="stable")
         ids = before.reshape(-1)[order]
-        edges = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
-        g["inputs"] = (ids[edges], np.add.reduceat(flat_into[order], edges))
+        first = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
+        g["inputs"] = (ids[first], np.add.reduceat(flat_into[:, order], first, axis=1))
         return g
 
     def update(self, g: dict, rate: float, moments: dict) -> None:
-        """Adagrad with a bounded step; the inputs' rows are updated where they were read."""
+        """Adagrad; the inputs' columns are updated where they were read."""
         for k, d in g.items():
             if k == "inputs":
-                rows, d = d
-                m = moments[k][rows] + d * d
-                moments[k][rows] = m
-                self.p[k][rows] -= rate * d / (np.sqrt(m) + 1e-6)
+                ids, d = d
+                m = moments[k][:, ids] + d * d
+                moments[k][:, ids] = m
+                self.p[k][:, ids] -= rate * d / (np.sqrt(m) + 1e-6)
             else:
                 moments[k] += d * d
                 self.p[k] -= rate * d / (np.sqrt(moments[k]) + 1e-6)
 
 
-def _numbers(raw: bytes | None, rare: dict) -> np.ndarray:
-    words = tokens(raw)
-    return np.fromiter(map(rare.__getitem__, words), np.int32, len(words))
-
-
-class _Numbers(dict):
-    """Word numbers, the rare words' remembered up to a bound."""
+class Reader:
+    """Word numbers of texts, and the logarithms of their words' counts: one look-up a word, more only for rare ones."""
 
     def __init__(self, lexicon: Lexicon):
-        super().__init__(lexicon.own)
-        self.lexicon = lexicon
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.lexicon.heads + tail_of(word)
-        if len(self) < HELD_WORDS:
-            self[word] = found
-        return found
+        known = list(lexicon.known)
+        self.at = dict(zip(known, range(len(known)), strict=True)).get
+        self.heads = lexicon.heads
+        self.numbers = np.array([*map(lexicon.number, known), 0], np.int32)
+        self.logs = np.log10(np.array([*lexicon.known.values(), 0]) + 0.5)
+
+    def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words, and their places among the known words (-1 for others)."""
+        words = tokens(raw)
+        place = np.fromiter(map(self.at, words, repeat(-1)), np.int32, len(words))
+        ids = self.numbers[place]
+        rare = np.nonzero(place < 0)[0]
+        ids[rare] = [self.heads + crc(words[i][-2:]) % TAILS for i in rare.tolist()]
+        if place[-1] < 0:  # the end token, where nothing was learned from
+            ids[-1] = 0
+        return ids, place
 
 
 def _held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -341,9 +363,9 @@ def fit(docs: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "tex
             lexicon, start = sent.value
             net = Network({k: v.copy() for k, v in start.items() if "." not in k}, lexicon.heads)
             moments = {k: start[f"{k}.moment"].copy() for k in net.p}
-            numbers, weight, salt = _Numbers(lexicon), 0, 0
+            reader, weight, salt = Reader(lexicon), 0, 0
             for _, raws in _held(batches, 0):
-                texts = [_numbers(raw, numbers) for raw in raws]
+                texts = [reader.read(raw)[0] for raw in raws]
                 salt = zlib.crc32(raws[0] or b"") % 64
                 net.train(*packed(texts), rate, moments)
                 weight += sum(map(len, texts))
@@ -366,10 +388,11 @@ def fit(docs: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "tex
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    """From word counts: the KNOWN_WORDS most frequent words, sums by tail group and over all."""
-    top: list[Row] = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word", "n").collect()
+    """From word counts: the most frequent words, KNOWN_WORDS at most, and sums by tail group and over all."""
+    top: list[Row] = most_frequent(counts, KNOWN_WORDS).select("word", "n").collect()
     tails = {r["tail"]: (r["n"], r["v"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    return Lexicon([(bytes(r["word"]), r["n"]) for r in top], tails, sum(n for n, _ in tails.values()), sum(v for _, v in tails.values()))
+    ordered = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda w: (-w[1], w[0]))
+    return Lexicon(ordered, tails, sum(n for n, _ in tails.values()), sum(v for _, v in tails.values()))
 
 
 def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,20 +411,17 @@ def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, p = sent.value
-        net, numbers = Network(p, lexicon.heads), _Numbers(lexicon)
-        known = {w: np.log10(n + 0.5) for w, n in lexicon.known.items()}
+        net, reader = Network(p, lexicon.heads), Reader(lexicon)
         shift = np.log10(lexicon.tail_mass)
         for part, raws in _held(batches, 1):
-            texts = [_numbers(raw, numbers) for raw in raws]
-            logp = net.scores(*packed(texts), len(texts)) / np.log(10)
+            read = [reader.read(raw) for raw in raws]
+            logp = net.scores(*packed([ids for ids, _ in read]), len(read)) / np.log(10)
             rows = []
-            for raw, ids, value in zip(raws, texts, logp, strict=True):
-                words = tokens(raw)
-                found = np.fromiter(map(known.get, words, repeat(np.nan)), float, len(words))
+            for raw, (ids, place), value in zip(raws, read, logp, strict=True):
+                logs = np.where(place < 0, 0.0, reader.logs[place])
                 tail = ids >= lexicon.heads
-                seen = ~np.isnan(found)
-                value -= shift[ids[tail] - lexicon.heads].sum()
-                rows.append((len(words), int(seen.sum()), float(found[seen].sum()), float(value + found[tail & seen].sum()), zlib.crc32(raw or b"")))
+                value += logs[tail].sum() - shift[ids[tail] - lexicon.heads].sum()
+                rows.append((len(ids), int((place >= 0).sum()), float(logs.sum()), float(value), zlib.crc32(raw or b"")))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], ["doc_id", "n_tokens", "known", "seen_log", "net_log", "own"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

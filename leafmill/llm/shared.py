@@ -61,6 +61,25 @@ def annotated(docs: DataFrame, fields: list[T.StructField], make: Callable[[], C
     return docs.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the highest counts, as many as fit in `most` without parting rows of one band of counts.
+
+    Bands are sixteenths of a power of two; only their sizes reach the driver, so no task ranks all rows. If the highest
+    band alone holds more than `most` rows, they are ranked.
+    """
+    banded = counts.withColumn("_band", F.floor(F.log2(n) * 16))
+    sizes = {r["_band"]: r["rows"] for r in banded.groupBy("_band").agg(F.count("*").alias("rows")).collect()}
+    total, least = 0, None
+    for band in sorted(sizes, reverse=True):
+        total += sizes[band]
+        if total > most:
+            break
+        least = band
+    if least is None:
+        return counts.orderBy(F.desc(n)).limit(most) if sizes else counts
+    return banded.where(F.col("_band") >= least).drop("_band")
+
+
 def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
