@@ -143,8 +143,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     spark = docs.sparkSession
     counts = stored(word_counts(docs, pattern, text).where((F.octet_length("word") <= HEAD_BYTES) & (F.col("n") > 1)), "bpe-words")
     head = most_frequent(counts, head_words).repartition(32)
-    known = {bytes(r.word): np.array(r.ids, "<u4").tobytes() for r in encode_words(head, ranks).select("word", "ids").collect()}
-    sent = spark.sparkContext.broadcast(({w.decode(): ids for w, ids in known.items()}, ranks))
+    rows = encode_words(head, ranks).select("word", "ids").toArrow()
+    known = {word.decode(): np.array(ids, "<u4").tobytes() for word, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+    sent = spark.sparkContext.broadcast((known, ranks))
 
     def make():
         known, ranks = sent.value

@@ -115,8 +115,8 @@ def learn(docs: DataFrame, parts: int = 5, held: int = 0, text: str = "text", la
     own = docs.where(F.col(lang).isNotNull() & F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, lang).distinct()
     place = Window.partitionBy(lang).orderBy(F.xxhash64(doc), doc)
     some = own.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= SAMPLE).orderBy("_n", lang).limit(SAMPLE_ALL).select(doc, lang)
-    rows = docs.where(F.col(text).isNotNull()).select(doc, lang, text).join(F.broadcast(some), [doc, lang]).select(F.col(text).alias("t"), F.col(lang).alias("l")).collect()
-    return fit(sorted({(r.t, r.l) for r in rows}))
+    rows = docs.where(F.col(text).isNotNull()).select(doc, lang, text).join(F.broadcast(some), [doc, lang]).select(F.col(text).alias("t"), F.col(lang).alias("l")).toArrow()
+    return fit(sorted(set(zip(rows["t"].to_pylist(), rows["l"].to_pylist(), strict=True))))
 
 
 def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

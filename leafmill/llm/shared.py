@@ -121,8 +121,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     some = parted[0]
     for more in parted[1:]:
         some = some.unionByName(more)
-    rows = docs.select(doc, F.col(text).cast("binary").alias("raw")).where("raw is not null").join(F.broadcast(some), doc).select("raw", "label").collect()
-    return sorted({(bytes(r.raw), r.label) for r in rows})
+    rows = docs.select(doc, F.col(text).cast("binary").alias("raw")).where("raw is not null").join(F.broadcast(some), doc).select("raw", "label").toArrow()
+    return sorted(set(zip(rows["raw"].to_pylist(), rows["label"].to_pylist(), strict=True)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> np.ndarray:
