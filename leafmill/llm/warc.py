@@ -31,9 +31,9 @@ FIELDS = [f.split()[0] for f in ENTRY.split(", ")]
 def base32_sha1(payload: Column) -> Column:
     """The bare base32 SHA-1 of a binary column: five hexadecimal digits are four of base 32."""
     sha = F.sha1(payload)
-    group = lambda i: F.conv(F.substring(sha, 5 * i + 1, F.lit(5)), 16, 10).cast("int")
+    group = lambda i: F.conv(F.substring(sha, 5 * i + 1, 5), 16, 10).cast("int")
     digit = lambda v, bits: F.substring(F.lit(BASE32), F.shiftright(v, bits).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(*[digit(group(i), b) for b in (15, 10, 5, 0)])), "")
+    return F.concat(*[digit(group(i), bits) for i in range(8) for bits in (15, 10, 5, 0)])
 
 
 def url_key(url: Column) -> Column:
@@ -52,8 +52,8 @@ def records(pages: DataFrame) -> DataFrame:
     raw = raw.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
     thin = raw.select("page_id", "payload_digest")
     shared = thin.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    refers = thin.distinct().join(shared, "payload_digest").where("page_id is null or page_id <> first").select("page_id", "payload_digest", F.col("first").alias("refers_to"))
-    return raw.join(refers, (raw.page_id.eqNullSafe(refers.page_id)) & (raw.payload_digest == refers.payload_digest), "left").select(raw["*"], "refers_to")
+    refers = thin.distinct().join(shared, "payload_digest").where("page_id is null or page_id <> first").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to"))
+    return raw.join(refers, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
 
 def write_archives(found: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS) -> None:
