@@ -38,6 +38,8 @@ RATE = 0.15
 KNOWN_WORDS = 131_072
 #: Distinct words a task counts before it hands them on, and document bytes packed into lanes at once.
 HELD_WORDS, HELD_BYTES = 400_000, 24_000_000
+#: Words that training carries a state over at most; scoring carries it through whole documents.
+TRAINED = 1_024
 PARTS, HELD = 5, 1
 END = b""  # no word is empty
 
@@ -290,6 +292,11 @@ class Network:
                 self.p[k] -= rate * d / (np.sqrt(moments[k]) + 1e-6)
 
 
+def lengths_of(ids: np.ndarray) -> list[np.ndarray]:
+    """A long text in stretches of at most TRAINED words, so that no lane outlasts the others; for training only."""
+    return [ids[i : i + TRAINED] for i in range(0, len(ids), TRAINED)]
+
+
 class Reader:
     """Word numbers of texts, and the logarithms of their words' counts: one look-up a word, more only for rare ones."""
 
@@ -365,7 +372,7 @@ def fit(docs: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "tex
             moments = {k: start[f"{k}.moment"].copy() for k in net.p}
             reader, weight, salt = Reader(lexicon), 0, 0
             for _, raws in _held(batches, 0):
-                texts = [reader.read(raw)[0] for raw in raws]
+                texts = [part for raw in raws for part in lengths_of(reader.read(raw)[0])]
                 salt = zlib.crc32(raws[0] or b"") % 64
                 net.train(*packed(texts), rate, moments)
                 weight += sum(map(len, texts))
