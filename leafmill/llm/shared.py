@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII letters to lower case, digits kept, other ASCII to blanks; bytes of other characters are kept.
-WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from leafmill.sources.store import shared_dir, stored
+from leafmill.sources.tables import table
 
-_OWN: list[str] = []
+__all__ = ["annotated", "fold", "labelled_sample", "logistic", "mix", "most_frequent", "ranges", "raw_texts", "shared_dir", "sigmoid", "stored", "table", "words"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="leafmill-"))
-    return _OWN[0]
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII letters to lower case, digits kept, other ASCII to blanks; bytes of other characters are kept.
+WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
 def annotated(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
