@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ranges, stored
+from .shared import hash_sample, ranges, stored
 
 SUBSTRING = 8
-#: Rows that the rotation and the radius are learned from, chosen by a hash of the id; of them, queries for the radius.
+#: About so many rows, chosen by a hash of the id, teach the rotation and the radius; of them, queries for the radius.
 SAMPLE, SAMPLE_QUERIES = 20_000, 400
 RECALL = 0.975
 #: Queries that are broadcast at once.
@@ -166,8 +166,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
         return empty
     rows = rows.where(F.size("v") == dims["d"])
     asked = of(queries).where(F.size("v") == dims["d"]).groupBy("id").agg(F.min("v").alias("v"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    model = learn(np.array([r["v"] for r in sample]), k)
+    sample = hash_sample(rows, "id", SAMPLE).toArrow()["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    model = learn(sample.reshape(-1, dims["d"]), k)
     first = _search(rows, asked, model, model["radius"], k)
     if first is None:
         return empty

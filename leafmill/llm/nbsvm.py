@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .shared import annotated, labelled_sample, logistic, mix, raw_texts, sigmoid, words
 
 BITS = 20
-#: At most so many label rows of each label are fitted on.
+#: About so many label rows of each label are fitted on, by a hash of the id.
 SAMPLE = {0: 4_000, 1: 4_000}
 SHAPES = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 else 48 if 48 <= i <= 57 else 117 if i >= 128 else 10 if i == 10 else i if i > 32 else 32 for i in range(256))
 
@@ -109,5 +109,5 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "quality
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, label: str = "quality") -> dict:
-    """The model from the labelled documents outside the held-out fold, at most SAMPLE rows of each label."""
+    """The model from the labelled documents outside the held-out fold, about SAMPLE rows of each label."""
     return fit(labelled_sample(docs, labels, label, SAMPLE, parts, held))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from leafmill.sources.store import shared_dir, stored
 from leafmill.sources.tables import table
 
-__all__ = ["annotated", "fold", "labelled_sample", "logistic", "mix", "most_frequent", "ranges", "raw_texts", "shared_dir", "sigmoid", "stored", "table", "words"]
+__all__ = ["SLICES", "annotated", "fold", "hash_sample", "labelled_sample", "logistic", "mix", "most_frequent", "ranges", "raw_texts", "shared_dir", "sigmoid", "stored", "table", "words"]
 
 #: ASCII letters to lower case, digits kept, other ASCII to blanks; bytes of other characters are kept.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -89,13 +89,25 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+SLICES = 1 << 20
+
+
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows of those counted, by a hash of the key; all of them if there are no more.
+
+    A slice of hash values is kept, so nothing is ranked and no task sends the driver more than its own share.
+    """
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(SLICES)) < int(SLICES * most / n))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], parts: int, held: int, text: str = "text", doc: str = "doc_id") -> list[tuple[bytes, int]]:
-    """Texts and labels to fit a classifier on: of each label at most bounds[label] label rows, by a hash of the id.
+    """Texts and labels to fit a classifier on: of each label about bounds[label] label rows, by a hash of the id.
 
     Rows of the held-out fold (crc32 of the id modulo parts = held) never take part; equal texts are taken once.
     """
     wanted = labels.where(F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, F.col(label).cast("int").alias("label")).distinct()
-    parted = [wanted.where(F.col("label") == k).orderBy(F.xxhash64(doc), doc).limit(n) for k, n in bounds.items()]
+    parted = [hash_sample(wanted.where(F.col("label") == k), doc, n) for k, n in bounds.items()]
     some = parted[0]
     for more in parted[1:]:
         some = some.unionByName(more)

@@ -26,7 +26,7 @@ WINDOW = 256
 NEAR, FAR = 4, 6
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
-#: At most so many label rows of each label are fitted on.
+#: About so many label rows of each label are fitted on, by a hash of the id.
 SAMPLE = {0: 4_000, 1: 2_500}
 TABLE = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -136,5 +136,5 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicit
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, label: str = "toxic") -> dict:
-    """The model from the labelled documents outside the held-out fold, at most SAMPLE rows of each label."""
+    """The model from the labelled documents outside the held-out fold, about SAMPLE rows of each label."""
     return fit(labelled_sample(docs, labels, label, SAMPLE, parts, held))
