@@ -50,7 +50,12 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def folded(word: Column, ranks: Column) -> Column:
-    """The ids of a binary word: its bytes, then the leftmost lowest-ranked pair merged again and again."""
+    """The ids of a binary word; the literal stands in the plan once, bound as the one element of an array."""
+    return F.get(F.transform(F.array(ranks), lambda bound: _folded(word, bound)), 0)
+
+
+def _folded(word: Column, ranks: Column) -> Column:
+    """The word's bytes, then the leftmost lowest-ranked pair merged again and again."""
     rank = lambda key: F.try_element_at(F.get(ranks, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
     whole = F.hex(word)
     size = F.octet_length(word)
