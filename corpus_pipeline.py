@@ -43,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False), ranks)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -30,8 +30,8 @@ HEAD_WORDS = 65_536
 HEAD_BYTES = 48
 #: The literal rank map is an array of this many small maps, as Spark searches a literal map entry by entry.
 BUCKETS = 16_384
-#: A task forgets the rare words it has met beyond this many; results don't depend on it.
-REMEMBERED = 400_000
+#: Words that a task counts before it hands them on, and rare words whose ids it remembers; results don't depend on them.
+REMEMBERED, CACHED = 400_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,11 +139,12 @@ def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", head_words: int = HEAD_WORDS, keep_text: bool = True) -> DataFrame:
     """docs with `ids`: the ids as little-endian unsigned 32-bit integers (binary), `n_tokens` long.
 
     A null or empty text has no ids. Every row keeps its other columns, repeated rows stay repeated, and a column named
-    `ids` or `n_tokens` is replaced. Texts are cut by the pattern as wholes; no special token is known.
+    `ids` or `n_tokens` is replaced. Texts are cut by the pattern as wholes; no special token is known. The text itself
+    is left out where keep_text is false.
     """
     spark = docs.sparkSession
     counts = stored(word_counts(docs, pattern, text).where((F.octet_length("word") <= HEAD_BYTES) & (F.col("n") > 1)), "bpe-words")
@@ -166,14 +167,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
         def of(batch: pa.RecordBatch) -> list:
             nonlocal more
-            if len(more) > len(known) + REMEMBERED:
+            if len(more) > len(known) + CACHED:
                 more = Rare(known)
             ids = [b"".join(map(more.__getitem__, cut(value))) if value else b"" for value in batch.column(text).to_pylist()]
             return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
         return of
 
-    return annotated(docs, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], make)
+    return annotated(docs, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], make, () if keep_text else (text,))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

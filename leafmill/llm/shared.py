@@ -19,13 +19,13 @@ __all__ = ["SLICES", "annotated", "fold", "hash_sample", "labelled_sample", "log
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
-def annotated(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
-    """docs with the fields added, batch by batch and without a shuffle.
+def annotated(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], without: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the fields added and the columns `without` left out, batch by batch and without a shuffle.
 
     make() is called once a task and returns a function from a batch to one Arrow array for each field. Other columns
     pass through; one that bears the name of a field is replaced by it.
     """
-    names = {f.name for f in fields}
+    names = {f.name for f in fields} | set(without)
     kept = [f for f in docs.schema.fields if f.name not in names]
     source = [f.name for f in docs.schema.fields]
 
