@@ -432,11 +432,13 @@ def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], ["doc_id", "n_tokens", "known", "seen_log", "net_log", "own"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value[0].known
+        at = Reader(sent.value[0]).at
         for part, raws in _held(batches, 1):
             ids, owns, words, times = [], [], [], []
             for doc_id, raw in zip(part.column(0).to_pylist(), raws, strict=True):
-                found = Counter(w for w in tokens(raw) if w not in known)
+                own = tokens(raw)
+                place = np.fromiter(map(at, own, repeat(-1)), np.int32, len(own))
+                found = Counter([own[i] for i in np.nonzero(place < 0)[0].tolist()])
                 ids += [doc_id] * len(found)
                 owns += [zlib.crc32(raw or b"")] * len(found)
                 words += found
