@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .shared import fold, most_frequent, stored
 
 #: Words of the network's vocabulary (with the end token) and of each of its classes.
-VOCABULARY, CLASS_WORDS = 1_024, 32
+VOCABULARY, CLASS_WORDS = 2_048, 64
 #: Groups of other words, by their last two bytes.
 TAILS = 32
-STATE = 16
+STATE = 24
 LANES, LANE_WORDS, STEPS = 512, 2_048, 16
 ROUNDS = 4
 RATE = 0.15
@@ -38,8 +38,6 @@ RATE = 0.15
 KNOWN_WORDS = 131_072
 #: Distinct words a task counts before it hands them on, and document bytes packed into lanes at once.
 HELD_WORDS, HELD_BYTES = 400_000, 24_000_000
-#: Words that training carries a state over at most; scoring carries it through whole documents.
-TRAINED = 1_024
 PARTS, HELD = 5, 1
 END = b""  # no word is empty
 
@@ -292,11 +290,6 @@ class Network:
                 self.p[k] -= rate * d / (np.sqrt(moments[k]) + 1e-6)
 
 
-def lengths_of(ids: np.ndarray) -> list[np.ndarray]:
-    """A long text in stretches of at most TRAINED words, so that no lane outlasts the others; for training only."""
-    return [ids[i : i + TRAINED] for i in range(0, len(ids), TRAINED)]
-
-
 class Reader:
     """Word numbers of texts, and the logarithms of their words' counts: one look-up a word, more only for rare ones."""
 
@@ -318,6 +311,10 @@ class Reader:
             ids[-1] = 0
         return ids, place
 
+    def lessons(self, raws: list) -> list[np.ndarray]:
+        """What training reads: each text whole, so that its state is carried from its first word to its end token."""
+        return [self.read(raw)[0] for raw in raws]
+
 
 def _held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches that hold some megabytes of text."""
@@ -372,7 +369,7 @@ def fit(docs: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "tex
             moments = {k: start[f"{k}.moment"].copy() for k in net.p}
             reader, weight, salt = Reader(lexicon), 0, 0
             for _, raws in _held(batches, 0):
-                texts = [part for raw in raws for part in lengths_of(reader.read(raw)[0])]
+                texts = reader.lessons(raws)
                 salt = zlib.crc32(raws[0] or b"") % 64
                 net.train(*packed(texts), rate, moments)
                 weight += sum(map(len, texts))
