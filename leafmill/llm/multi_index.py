@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hash_sample, ranges, stored
+from .shared import SLICES, ranges, stored
 
 SUBSTRING = 8
-#: About so many rows, chosen by a hash of the id, teach the rotation and the radius; of them, queries for the radius.
+#: About so many distinct rows, chosen by a hash of id and vector, teach the rotation and the radius; of them, queries for the radius.
 SAMPLE, SAMPLE_QUERIES = 20_000, 400
 RECALL = 0.975
 #: Queries that are broadcast at once.
@@ -41,8 +41,11 @@ def encoded(x: np.ndarray, model: dict) -> np.ndarray:
     return np.packbits((x - model["mean"]) @ model["turn"] > 0, axis=1)
 
 
-def learn(x: np.ndarray, k: int = 10) -> dict:
-    """Mean, rotation and radius from sample vectors; the number of bits is the dimension, down to whole substrings."""
+def learn(x: np.ndarray, k: int = 10, ids: np.ndarray | None = None) -> dict:
+    """Mean, rotation and radius from sample vectors; the number of bits is the dimension, down to whole substrings.
+
+    ids: whose vectors they are, if an id may have several; only the k nearest other ids count for the radius.
+    """
     dims = x.shape[1]
     bits = max(SUBSTRING, dims // SUBSTRING * SUBSTRING)
     mean = x.mean(0)
@@ -62,10 +65,17 @@ def learn(x: np.ndarray, k: int = 10) -> dict:
         found = []
         for i in some:
             d = ((x - x[i]) ** 2).sum(1)
-            d[i] = np.inf
-            near = np.argpartition(d, k)[:k]
+            if ids is None:
+                d[i] = np.inf
+                near = np.argpartition(d, k)[:k]
+            else:
+                others = np.nonzero(ids != ids[i])[0]
+                near = others[np.argsort(d[others], kind="stable")]
+                near = near[np.sort(np.unique(ids[near], return_index=True)[1])[:k]]
             found.append(np.bitwise_count(codes[near] ^ codes[i]).sum(1, dtype=np.int64))
-        model["radius"] = int(np.quantile(np.concatenate(found), RECALL, method="higher"))
+        seen = np.concatenate(found)
+        if len(seen):
+            model["radius"] = int(np.quantile(seen, RECALL, method="higher"))
     return model
 
 
@@ -101,9 +111,13 @@ class Shard:
         rows = self.within(code, radius)
         rows = rows[self.ids[rows] != own]
         rough = ((self.x[rows] - q) ** 2).sum(1)
-        if len(rows) > 4 * k:  # all that tie with the last one stay
-            edge = np.partition(rough, 2 * k)[2 * k]
-            rows, rough = rows[rough <= edge * (1 + 1e-9)], rough[rough <= edge * (1 + 1e-9)]
+        last = 2 * k
+        while len(rows) > 2 * last:  # the edge widens until k ids are inside; all that tie with the last row stay
+            inside = rough <= np.partition(rough, last)[last] * (1 + 1e-9)
+            if len(np.unique(self.ids[rows[inside]])) >= k:
+                rows, rough = rows[inside], rough[inside]
+                break
+            last *= 4
         d = np.sqrt(rough)
         order = np.lexsort((self.ids[rows], d))
         ids = self.ids[rows][order]
@@ -150,6 +164,14 @@ def _search(rows: DataFrame, queries: DataFrame, model: dict, radius: int, k: in
     return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` of the distinct rows (id, v), by a hash of both: an id of many rows has its share, repeated rows count once."""
+    slot = F.xxhash64("id", "v")
+    n = rows.select(slot.alias("slot")).distinct().count()
+    some = rows if n <= most else rows.where(F.pmod(slot, F.lit(SLICES)) < int(SLICES * most / n))
+    return some.dropDuplicates(["id", "v"])
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each query row its k nearest among the vectors of another id.
 
@@ -166,8 +188,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
         return empty
     rows = rows.where(F.size("v") == dims["d"])
     asked = of(queries).where(F.size("v") == dims["d"]).groupBy("id").agg(F.min("v").alias("v"))
-    sample = hash_sample(rows, "id", SAMPLE).toArrow()["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    model = learn(sample.reshape(-1, dims["d"]), k)
+    sample = sampled(rows, SAMPLE).toArrow()
+    ids, x = sample["id"].to_numpy(), sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims["d"])
+    model = learn(x, k, ids if len(np.unique(ids)) < len(ids) else None)
     first = _search(rows, asked, model, model["radius"], k)
     if first is None:
         return empty
