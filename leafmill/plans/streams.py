@@ -14,6 +14,10 @@ def stream(spark, sf):
     return J.events_stream(spark, f"{sf}/events.parquet")
 
 
+def ordered(spark, sf):
+    return J.in_time_order(spark, f"{sf}/events.parquet")
+
+
 def stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STATE_STORE)
 
@@ -25,27 +29,27 @@ def events_stream(spark, sf):
 
 @query(f"""WITH {BURSTS} SELECT user_id AS key, min(ts) AS burst_start, max(ts) + INTERVAL 2 HOUR AS burst_end, arg_max(value, (ts, event_id)) AS payload FROM b GROUP BY user_id, burst HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def debounce_saves_stream(spark, sf):
-    rows = stream(spark, sf).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("payload"), F.when(F.col("event_type") == "error", "idle").otherwise("editing").alias("status"))
+    rows = ordered(spark, sf).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("payload"), F.when(F.col("event_type") == "error", "idle").otherwise("editing").alias("status"))
     found = J.drained(J.debounce_stream(rows, "2 hours"), "bursts")
     return found.withColumn("burst_start", F.col("burst_start").cast("timestamp_ntz")).withColumn("burst_end", F.col("burst_end").cast("timestamp_ntz"))
 
 
 @query(f"SELECT DISTINCT user_id || '-' || {K} AS gesture FROM events")
 def commit_once_stream(spark, sf):
-    rows = stream(spark, sf)
+    rows = ordered(spark, sf)
     return J.drained(J.commit_once_stream(rows.select(F.concat_ws("-", F.col("user_id").cast("string"), event_key(rows).cast("string")).alias("gesture"), "ts")), "commits").select("gesture").distinct()
 
 
 @query(ORACLES["fold_edits"])
 def fold_edits_stream(spark, sf):
     stateful(spark)
-    return J.latest_version(J.drained(J.fold_edits_stream(edit_log(stream(spark, sf))), "folded"))
+    return J.latest_version(J.drained(J.fold_edits_stream(edit_log(ordered(spark, sf))), "folded"))
 
 
 @query(ORACLES["take_handoff"].replace("SELECT key, take_ts, seq, save_ts,", "SELECT key, seq,"))
 def take_handoff_stream(spark, sf):
     stateful(spark)
-    rows = stream(spark, sf).where("event_type in ('signup', 'purchase')")
+    rows = ordered(spark, sf).where("event_type in ('signup', 'purchase')")
     kind = F.when(F.col("event_type") == "signup", "save").otherwise("take")
     return J.drained(J.take_handoff_stream(rows.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 7 > 0, F.col("value")).alias("payload")), 6 * 3600), "taken")
 

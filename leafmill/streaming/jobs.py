@@ -1,7 +1,8 @@
 """Structured Streaming twins of the record jobs.
 
 Event time is the rows' ts; rows that come more than ten minutes late are dropped by the jobs that keep a watermark. State
-is one small record, or one session's elements, a key.
+is one small record, or one session's elements, a key. The jobs take batches in event-time order: a registered drain
+reads the events through in_time_order(), so its result doesn't depend on how the rows lie in files.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,8 @@ from leafmill.sources.store import shared_dir
 from leafmill.sources.tables import SCHEMAS
 
 LATENESS = "10 minutes"
+#: Rows of a file that in_time_order() writes, about.
+FILE_ROWS = 1_000_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,6 +31,38 @@ def events_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
+def modified(status) -> int:
+    """When a file was modified last, in milliseconds."""
+    return status.getModificationTime()
+
+
+def in_time_order(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
+    """The events below a path as events_stream() gives them, but so that no batch holds rows that belong before an earlier one's.
+
+    The events are written to the shared folder by ranges of ts; a stream takes the files of the earliest modification
+    time first, so these are set in the ranges' order. Where the file system doesn't keep them, all is one batch.
+    """
+    import time
+    import uuid
+
+    rows = spark.read.schema(SCHEMAS["events"]).option("recursiveFileLookup", "true").parquet(path)
+    ordered = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    rows.repartitionByRange(rows.count() // FILE_ROWS + 1, "ts").sortWithinPartitions("ts", "event_id").write.parquet(ordered)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ordered)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = lambda: sorted((f for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    start = int(time.time() * 1000)
+    found = parts()
+    times = [start + i for i in range(len(found))]
+    try:
+        for f, t in zip(found, times, strict=True):
+            system.setTimes(f.getPath(), t, -1)
+        kept = [modified(f) for f in parts()] == times
+    except Py4JJavaError:
+        kept = False
+    return events_stream(spark, ordered, files if kept else max(1, len(found)))
+
+
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """What a stream gives for all that is there now, from a parquet sink with a checkpoint in the shared folder."""
     import uuid
