@@ -3,7 +3,7 @@
 The words (pieces) that a corpus repeats most are encoded on Spark: an `aggregate` over each distinct word's byte array
 folds the ranked merges, looking ranks up in a literal map. Each document is then cut into pieces and its ids are put
 together from that table; a piece beyond the table (rare words, very long runs) takes the same ranked merges inside the
-task. Decoding concatenates the binary pieces of the ids.
+task. Decoding indexes a literal array of the binary pieces by the ids and concatenates them, in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import annotated, most_frequent, stored
+from .shared import annotated, byte_slices, most_frequent, stored
 
 #: Distinct words that Spark encodes ahead and sends to every task: the bound of what is broadcast.
 HEAD_WORDS = 65_536
@@ -31,7 +31,9 @@ HEAD_BYTES = 48
 #: The literal rank map is an array of this many small maps, as Spark searches a literal map entry by entry.
 BUCKETS = 16_384
 #: Words that a task counts before it hands them on, and rare words whose ids it remembers; results don't depend on them.
-REMEMBERED, CACHED = 400_000, 150_000
+REMEMBERED, CACHED = 200_000, 150_000
+#: Characters of a text whose pieces are met one by one, not listed.
+LONG = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,69 +126,81 @@ def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
         cut, seen = regex.compile(pattern).findall, Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in seen], pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()).cast(pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                if value:
-                    seen.update(cut(value))
-                if len(seen) > REMEMBERED:
-                    yield out()
-                    seen.clear()
+            for (part,) in byte_slices((batch.column(0),)):
+                for value in part.to_pylist():
+                    if value:
+                        seen.update(cut(value))
+                    if len(seen) > REMEMBERED:
+                        yield out()
+                        seen.clear()
         if seen:
             yield out()
 
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", head_words: int = HEAD_WORDS, keep_text: bool = True) -> DataFrame:
-    """docs with `ids`: the ids as little-endian unsigned 32-bit integers (binary), `n_tokens` long.
+class Pieces(dict):
+    """The ids of pieces, as little-endian bytes: those encoded ahead, and those merged here, some of which are remembered."""
 
-    A null or empty text has no ids. Every row keeps its other columns, repeated rows stay repeated, and a column named
-    `ids` or `n_tokens` is replaced. Texts are cut by the pattern as wholes; no special token is known. The text itself
-    is left out where keep_text is false.
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
+        self.known, self.ranks = known.get, ranks
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.known(piece)
+        if ids is None:
+            ids = np.array(merged(piece.encode(), self.ranks), "<i4").tobytes()
+        self[piece] = ids
+        return ids
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+    """docs with `tokens` (array of int), `ids` (the same as little-endian unsigned 32-bit integers, binary), `n_tokens` long.
+
+    A null or empty text has no ids. Every row keeps its other columns, repeated rows stay repeated, and columns named as
+    the results are replaced. Texts are cut by the pattern as wholes; no special token is known.
     """
     spark = docs.sparkSession
     counts = stored(word_counts(docs, pattern, text).where((F.octet_length("word") <= HEAD_BYTES) & (F.col("n") > 1)), "bpe-words")
     head = most_frequent(counts, head_words).repartition(32)
     rows = encode_words(head, ranks).select("word", "ids").toArrow()
-    known = {word.decode(): np.array(ids, "<u4").tobytes() for word, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+    known = {word.decode(): np.array(ids, "<i4").tobytes() for word, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
     sent = spark.sparkContext.broadcast((known, ranks))
 
     def make():
-        known, ranks = sent.value
-        cut = regex.compile(pattern).findall
-
-        class Rare(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = np.array(merged(piece.encode(), ranks), "<u4").tobytes()
-                self[piece] = ids
-                return ids
+        expression, pieces = regex.compile(pattern), Pieces(*sent.value)
 
-        more = Rare(known)
-
-        def of(batch: pa.RecordBatch) -> list:
-            nonlocal more
-            if len(more) > len(known) + CACHED:
-                more = Rare(known)
-            ids = [b"".join(map(more.__getitem__, cut(value))) if value else b"" for value in batch.column(text).to_pylist()]
-            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+        def of(texts: pa.Array) -> list:
+            if len(pieces) > CACHED:
+                pieces.clear()
+            cut = lambda t: expression.findall(t) if len(t) < LONG else (m.group() for m in expression.finditer(t))
+            ids = [b"".join(map(pieces.__getitem__, cut(value))) if value else b"" for value in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
 
         return of
 
-    return annotated(docs, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], make, () if keep_text else (text,))
+    coded = annotated(docs.drop("ids", "n_tokens"), [T.StructField("tokens", T.ArrayType(T.IntegerType()))], make, (text,))
+    return coded.withColumn("ids", packed_ids(F.col("tokens"), max(ranks.values(), default=0))).withColumn("n_tokens", F.size("tokens").cast("long"))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """encoded with `decoded`: the binary pieces of `ids`, concatenated. Null ids give no bytes."""
-    sent = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+def _concatenated(tokens: Column, pieces: list[str]) -> Column:
+    """The binary pieces of the tokens, concatenated: a literal array of hexadecimal pieces is indexed by the tokens."""
+    table = F.split(F.lit(",".join(pieces)), ",")
+    piece = lambda i: F.coalesce(F.nullif(F.get(table, i), F.lit("")), F.raise_error(F.lit("an id beyond the ranks")))
+    return F.coalesce(F.unhex(F.array_join(F.transform(tokens, piece), "")), F.lit(b""))
 
-    def make():
-        piece = sent.value.__getitem__
 
-        def of(batch: pa.RecordBatch) -> list:
-            return [pa.array([b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in batch.column("ids").to_pylist()], pa.binary())]
+def packed_ids(tokens: Column, top: int) -> Column:
+    """Tokens up to `top` as little-endian unsigned 32-bit integers; null gives no bytes."""
+    return _concatenated(tokens, [i.to_bytes(4, "little").hex() for i in range(top + 1)])
 
-        return of
 
-    return annotated(encoded, [T.StructField("decoded", T.BinaryType())], make)
+def decode(encoded: DataFrame, ranks: dict[bytes, int], tokens: str = "tokens") -> DataFrame:
+    """encoded with `decoded`: the binary pieces of the tokens, concatenated by DataFrame functions. Null tokens give no bytes."""
+    pieces = [""] * (max(ranks.values(), default=0) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    return encoded.withColumn("decoded", _concatenated(F.col(tokens), pieces))

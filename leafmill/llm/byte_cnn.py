@@ -7,25 +7,27 @@ their bytes.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SLICES, annotated, fold
+from .shared import annotated, fold, stored, within_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
 BATCH = 128
-#: About so many texts of each language to learn from, by a hash of the id, and so many languages, the most frequent.
-SAMPLE, LANGUAGES = 1_200, 64
-TRAIN_WINDOWS = 30_000
-LETTER = re.compile(r"[^\W\d_]")
+#: About so many texts of each language to learn from, by a hash of the id, and of all languages together (LEAST_TEXTS of each at least).
+SAMPLE, ALL_TEXTS, LEAST_TEXTS = 1_200, 40_000, 8
+#: Windows to learn from: in all, and of one text.
+TRAIN_WINDOWS, TEXT_WINDOWS = 30_000, 16
+#: One text in so many is left out of the training and calibrates the least score of a text of any language.
+LEFT_OUT, LOWEST = 8, 0.002
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: str) -> np.ndarray:
@@ -67,6 +69,14 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[i : i + BATCH])[3] for i in range(0, len(x), BATCH)])
 
+    def document(self, text: str) -> tuple[int, float]:
+        """The likeliest language of a whole text and its probability: the mean over windows, weighted by their bytes."""
+        x = windows(text)
+        weight = np.maximum((x > 0).sum(1), 1).astype(float)
+        mean = weight @ self.probabilities(x) / weight.sum()
+        k = int(mean.argmax())
+        return k, min(1.0, float(mean[k]))
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
         columns, answers, pooled, prob = self.forward(x)
         n, places, total = answers.shape
@@ -85,15 +95,25 @@ class Network:
 
 
 def fit(texts: list[tuple[str, str]], epochs: int = 4) -> dict:
-    """The languages and the trained parameters; Adam over shuffled windows."""
+    """The languages, the trained parameters (Adam over shuffled windows) and `least`, the lowest scores of texts left out.
+
+    Every language has the same number of windows, or all that it has; a text has TEXT_WINDOWS of them at most.
+    """
     names = sorted({lang for _, lang in texts})
     rng = np.random.default_rng(5)
-    parts = [(windows(t), names.index(lang)) for t, lang in texts if t]
-    if len(names) < 2 or not parts:
-        return {"names": names}
-    x, y = np.concatenate([p for p, _ in parts]), np.repeat([k for _, k in parts], [len(p) for p, _ in parts])
-    some = rng.permutation(len(x))[:TRAIN_WINDOWS]
-    x, y = x[some], y[some]
+    texts = [(t, names.index(lang)) for t, lang in texts if t]
+    if len(names) < 2 or not texts:
+        return {"names": names, "least": 0.0}
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    apart = texts[::LEFT_OUT] if len(texts) >= 8 * LEFT_OUT else []
+    own: list[list] = [[] for _ in names]
+    for i, (t, k) in enumerate(texts):
+        if not apart or i % LEFT_OUT:
+            x = windows(t)
+            own[k].append(x[np.sort(rng.permutation(len(x))[:TEXT_WINDOWS])])
+    quota = max(1, TRAIN_WINDOWS // len(names))
+    drawn = [(w := np.concatenate(o))[rng.permutation(len(w))[:quota]] if o else np.zeros((0, WINDOW), np.uint8) for o in own]
+    x, y = np.concatenate(drawn), np.repeat(np.arange(len(names)), [len(d) for d in drawn])
     net = Network.fresh(len(names))
     net.p["filters"] *= net.mask()
     m, v, t = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}, 0
@@ -107,25 +127,27 @@ def fit(texts: list[tuple[str, str]], epochs: int = 4) -> dict:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 a -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
-    return {"names": names, "p": net.p}
+    scores = [net.document(t)[1] for t, _ in apart]
+    return {"names": names, "p": net.p, "least": float(np.quantile(scores, LOWEST, method="lower")) if scores else 0.0}
 
 
 def learn(docs: DataFrame, parts: int = 5, held: int = 0, text: str = "text", lang: str = "lang", doc: str = "doc_id") -> dict:
-    """The model from texts with a language outside the held-out fold: about SAMPLE of each of the LANGUAGES most frequent."""
+    """The model from texts with a language outside the held-out fold, some of every language that they hold."""
     own = docs.where(F.col(lang).isNotNull() & F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, lang)
-    sizes = own.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
-    kept = F.lit(False)
-    for r in sizes:
-        kept = kept | ((F.col(lang) == r[lang]) & (F.pmod(F.xxhash64(doc), F.lit(SLICES)) < min(SLICES, int(SLICES * SAMPLE / r["n"]))))
-    some = own.where(kept).distinct()
-    rows = docs.where(F.col(text).isNotNull()).select(doc, lang, text).join(F.broadcast(some), [doc, lang]).select(F.col(text).alias("t"), F.col(lang).alias("l")).toArrow()
+    sizes = own.groupBy(lang).agg(F.count("*").alias("n"))
+    each = max(LEAST_TEXTS, min(SAMPLE, ALL_TEXTS // max(1, sizes.count())))
+    part = F.xxhash64(doc).bitwiseAND(F.lit(2**63 - 1)) / float(2**63)
+    some = own.join(F.broadcast(sizes), lang).where(part * F.col("n") <= each).select(doc, lang).distinct()
+    rows = stored(docs.where(F.col(text).isNotNull()).select(doc, lang, text).join(F.broadcast(some), [doc, lang]).select(F.col(text).alias("t"), F.col(lang).alias("l")), "languages")
+    rows = within_bytes(rows, "t").toArrow()
     return fit(sorted(set(zip(rows["t"].to_pylist(), rows["l"].to_pylist(), strict=True))))
 
 
 def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score, from whole texts; `und` and 0 for a null text or one without a letter.
+    """docs with lang_pred and lang_score, from whole texts; `und` and 0 for a null text or one without a letter (category L).
 
-    With one learned language every text with a letter is of that language, with none every text is `und`.
+    With one learned language every text with a letter is of that language, with none every text is `und`. Rows of one
+    text, repeated ones included, have one result; columns named as the results are replaced; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -133,32 +155,14 @@ def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         model = sent.value
         names, net = model["names"], Network(model["p"]) if "p" in model else None
 
-        def of(batch: pa.RecordBatch) -> list:
-            texts = batch.column(text).to_pylist()
-            best, score = ["und"] * len(texts), [0.0] * len(texts)
-            live = [i for i, t in enumerate(texts) if t and names and LETTER.search(t)]
-            if net is None:
-                for i in live:
-                    best[i], score[i] = names[0], 1.0
-                live = []
-            at = 0
-            while at < len(live):  # some megabytes of windows at once
-                group, held, size = [], [], 0
-                while at < len(live) and size < 4_096:
-                    held.append(windows(texts[live[at]]))
-                    group.append(live[at])
-                    size += len(held[-1])
-                    at += 1
-                x = np.concatenate(held)
-                weight = np.maximum((x > 0).sum(1), 1).astype(float)
-                prob = net.probabilities(x) * weight[:, None]
-                first = np.concatenate([[0], np.cumsum([len(h) for h in held])[:-1]])
-                mean = np.add.reduceat(prob, first) / np.add.reduceat(weight, first)[:, None]
-                for i, row in zip(group, mean, strict=True):
-                    k = int(row.argmax())
-                    best[i], score[i] = names[k], min(1.0, float(row[k]))
+        def of(column: pa.Array) -> list:
+            best, score = [], []
+            for t in column.to_pylist():
+                k, value = (-1, 0.0) if not t or not names or not LETTER.search(t) else (0, 1.0) if net is None else net.document(t)
+                best.append("und" if k < 0 else names[k])
+                score.append(value)
             return [pa.array(best, pa.string()), pa.array(score, pa.float64())]
 
         return of
 
-    return annotated(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())], make)
+    return annotated(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())], make, (text,))

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WORD_BYTES, annotated, ranges, raw_texts, words
+from .shared import WORD_BYTES, annotated, ranges, raw_texts, stored, words
 
 WINDOW = 10
 #: Benchmark bytes that are broadcast at once; a larger benchmark is searched block by block.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
+#: Text bytes of a shard, which has an index of its own.
+SHARD_BYTES = 16_000_000
 SAMPLE = 8
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -128,7 +130,7 @@ class FMIndex:
         return out
 
 
-def phrases_of(items: list[tuple[str, bytes | None]], window: int) -> dict:
+def phrases_of(items: list[tuple[str | None, bytes | None]], window: int) -> dict:
     """The vocabulary and the windows of benchmark items: `window` words each, or all of a shorter item."""
     vocabulary: dict[bytes, int] = {}
     rows, lengths, owners = [], [], []
@@ -182,41 +184,45 @@ def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return doc[fresh], start[fresh], reach[last] - doc[fresh] * wide
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, bytes | None]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of bounded size, for the broadcasts."""
-    raw = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("raw")).where(F.col("item").isNotNull() & F.col("raw").isNotNull())
+    raw = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("raw")).where("raw is not null")
     total = raw.agg(F.sum(F.octet_length("raw") + 16)).first()[0] or 0
     n = total // BLOCK_BYTES + 1
     for block in range(n):
-        yield [(r.item, bytes(r.raw)) for r in raw.where(F.pmod(F.hash("item"), F.lit(n)) == block).collect()]
+        yield [(r.item, bytes(r.raw)) for r in raw.where(F.pmod(F.hash("item", "raw"), F.lit(n)) == block).collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, spans (merged, of word numbers, end after the last) and items (ids as sorted strings).
 
-    Null or empty texts have no words; items without words or without an id have no windows; repeated documents and
-    repeated items are each taken as they stand. Columns of docs named as the results are replaced.
+    Null or empty texts have no words; items without words have no windows; the windows of an item without an id make
+    spans, but there is no id to list; repeated documents and repeated items are each taken as they stand. Texts of any
+    length are searched whole. Columns of docs named as the results are replaced; an empty table gives no rows.
     """
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
     out = docs.drop("n_words", "spans", "items")
     for k, block in enumerate(_blocks(benchmark, item, item_text)):
         sent = docs.sparkSession.sparkContext.broadcast(phrases_of(block, window))
-        out = annotated(out, fields, lambda sent=sent, k=k: _searcher(sent.value, text, k > 0))
+        more = ("spans", "items") if k else ()
+        out = annotated(stored(out, "leaks") if k else out, fields, lambda sent=sent: _searcher(sent.value), (text, *more), SHARD_BYTES)
     return out
 
 
-def _searcher(bench: dict, text: str, more: bool) -> Callable[[pa.RecordBatch], list]:
-    known, owners = bench["vocabulary"].get, np.array(bench["owners"], object)
+def _searcher(bench: dict) -> Callable[..., list]:
+    known, owners = bench["vocabulary"].get, bench["owners"]
 
-    def of(batch: pa.RecordBatch) -> list:
-        ids = [np.fromiter(map(known, w, repeat(0)), np.int32, len(w)) for w in map(words, raw_texts(batch, text))]
+    def of(texts: pa.Array, earlier_spans: pa.Array | None = None, earlier_items: pa.Array | None = None) -> list:
+        """The second and third arrays are what earlier blocks of the benchmark have found."""
+        ids = [np.fromiter(map(known, w, repeat(0)), np.int32, len(w)) for w in map(words, raw_texts(texts))]
         doc, start, end, which = occurrences(ids, bench)
         items: list[set] = [set() for _ in ids]
         if len(doc):
             for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-                items[d].add(owners[w])
-        if more:  # what earlier blocks of the benchmark have found
-            for d, (spans, names) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                if owners[w] is not None:
+                    items[d].add(owners[w])
+        if earlier_spans is not None:
+            for d, (spans, names) in enumerate(zip(earlier_spans.to_pylist(), earlier_items.to_pylist(), strict=True)):
                 items[d].update(names)
                 doc, start, end = np.append(doc, [d] * len(spans)), np.append(start, [s["start"] for s in spans]), np.append(end, [s["end"] for s in spans])
             doc, start, end = doc.astype(np.int64), start.astype(np.int64), end.astype(np.int64)
@@ -232,15 +238,15 @@ def cut_spans(leaks: DataFrame, text: str = "text") -> DataFrame:
     """The texts of find_leaks() without the words of their spans; what stands between words is kept."""
 
     def make():
-        def of(batch: pa.RecordBatch) -> list:
+        def of(texts: pa.Array, found: pa.Array) -> list:
             out = []
-            for raw, spans in zip(raw_texts(batch, text), batch.column("spans").to_pylist(), strict=True):
+            for raw, spans in zip(raw_texts(texts), found.to_pylist(), strict=True):
                 out.append(raw if raw is None or not spans else without(raw, [(s["start"], s["end"]) for s in spans]))
             return [pa.array(out, pa.binary()).cast(pa.string())]
 
         return of
 
-    return annotated(leaks, [T.StructField("cut", T.StringType())], make)
+    return annotated(leaks, [T.StructField("cut", T.StringType())], make, (text, "spans"))
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

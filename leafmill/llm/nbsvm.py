@@ -87,7 +87,11 @@ def fit(texts: list[tuple[bytes, int]]) -> dict:
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "quality_score") -> DataFrame:
-    """docs with the probability that the whole text is of quality 1; null and empty texts are scored as empty."""
+    """docs with the probability that the whole text is of quality 1; null and empty texts are scored as empty.
+
+    Rows of one text, repeated ones included, score alike; texts of any length are read whole; a column named as `out`
+    is replaced; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -97,15 +101,15 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "quality
             r = features(raw)
             return float(model["w"][r] @ unit(model["scale"][r]) + model["bias"]) if len(r) else model["bias"]
 
-        def of(batch: pa.RecordBatch) -> list:
-            raws = raw_texts(batch, text)
+        def of(texts: pa.Array) -> list:
+            raws = raw_texts(texts)
             if "share" in model:
                 return [pa.array([model["share"]] * len(raws), pa.float64())]
             return [pa.array(sigmoid(np.array([one(raw) for raw in raws]) * model["line"][0] + model["line"][1]), pa.float64())]
 
         return of
 
-    return annotated(docs, [T.StructField(out, T.DoubleType())], make)
+    return annotated(docs, [T.StructField(out, T.DoubleType())], make, (text,))
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, label: str = "quality") -> dict:

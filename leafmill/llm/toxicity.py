@@ -27,7 +27,7 @@ NEAR, FAR = 4, 6
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 #: About so many label rows of each label are fitted on, by a hash of the id.
-SAMPLE = {0: 4_000, 1: 2_500}
+SAMPLE = {0: 6_000, 1: 3_000}
 TABLE = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,15 +116,19 @@ def fit(texts: list[tuple[bytes, int]]) -> dict:
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs with the probability that the whole text is toxic; null and empty texts are scored as empty."""
+    """docs with the probability that the whole text is toxic; null and empty texts are scored as empty.
+
+    Rows of one text, repeated ones included, score alike; texts of any length are read whole, window by window; a column
+    named as `out` is replaced; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = sent.value
         meter = Meter(*model["pair"]) if "pair" in model else None
 
-        def of(batch: pa.RecordBatch) -> list:
-            raws = raw_texts(batch, text)
+        def of(texts: pa.Array) -> list:
+            raws = raw_texts(texts)
             if meter is None:
                 return [pa.array([model["share"]] * len(raws), pa.float64())]
             x = (np.array([meter.features(raw) for raw in raws]) - model["mean"]) / model["scale"]
@@ -132,7 +136,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicit
 
         return of
 
-    return annotated(docs, [T.StructField(out, T.DoubleType())], make)
+    return annotated(docs, [T.StructField(out, T.DoubleType())], make, (text,))
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, label: str = "toxic") -> dict:
