@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, toxicity, near-duplicates, benchmark leaks, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-`documents`; the last returns each kept document's ids as digests.
+`documents`; the last returns each kept document's ids as digests. Every stage keeps null ids and repeated rows as they
+stand (a repeated row is kept or dropped with its like), drops columns beyond those of `documents`, reads whole texts of any
+length, and turns an empty table into an empty one.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ TOXIC = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language (null texts, texts without a letter) go."""
-    return byte_cnn.identified(docs, byte_cnn.learn(docs)).where(F.col("lang_pred") != "und").select(*COLUMNS)
+    """Documents without an identifiable language go: null texts, texts without a letter, and those scored lower than texts of known languages are."""
+    model = byte_cnn.learn(docs)
+    return byte_cnn.identified(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= model["least"])).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False), ranks)
+    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
