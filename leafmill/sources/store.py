@@ -11,10 +11,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none, as in tests."""
+    """The folder that all executors share. Where the session names none, a local session gets one of its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="leafmill-"))
     return _OWN[0]
