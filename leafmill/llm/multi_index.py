@@ -1,33 +1,40 @@
 """Approximate nearest neighbours by multi-index hashing over learned binary codes.
 
 Vectors are centred, turned by a rotation learned on a bounded sample (principal axes, then the rotation that brings the
-sample nearest to the corners of a cube) and cut to their signs. A code's substrings are indexed in every shard of the
-vectors. A code within Hamming radius r of a query must, in one of the m substrings, lie within r / m of it (the first
-r mod m + 1 substrings within the quotient, the others within one less), so probing those substring values retrieves every
-code within r. What is retrieved is ranked by its exact Euclidean distance on the original vectors.
-
-The radius is the smallest that holds RECALL of the sample's true neighbours; their distances shrink as data grow, so a
-sample's radius is on the safe side. Queries with fewer than k answers are searched again over all codes.
+sample nearest to the corners of a cube) and cut to their signs. Each of a code's m substrings has an index of its own: a
+table keyed by the substring's number and value, in which every row carries its whole code and vector. A code within
+Hamming radius r of a query must, in one of the m substrings, lie within r / m of it (the first r mod m + 1 substrings
+within the quotient, the others within one less), so probing those substring values retrieves every code within r. What is
+retrieved is ranked by its exact Euclidean distance on the original vectors.
+
+The radius grows by query. The sample tells, for pairs at each distance, the radius that holds RECALL of them, whatever the
+size of the data. A query is searched with a small radius first; its k-th distance found bounds the true one, so it is
+searched again only if that distance asks for a larger radius, with that radius, or if fewer than k were found.
+
+The index is dealt by (substring, leading bits of its value), with more bits as data grow and salts for keys of many rows;
+queries are sent to the keys that they probe, and each key answers with its k best of a query. No query or row passes
+through the driver. Rows of equal vectors are one row of the index that lists their k + 1 smallest ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SLICES, ranges, stored
+from .shared import share_of, stored
 
-SUBSTRING = 8
+SUBSTRING = 16
 #: About so many distinct rows, chosen by a hash of id and vector, teach the rotation and the radius; of them, queries for the radius.
 SAMPLE, SAMPLE_QUERIES = 20_000, 400
-RECALL = 0.975
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 4_096
+RECALL = 0.93
+#: Sample pairs of a query that teach the radius: its nearest, and as many others; bins of their distances.
+PAIRS, BINS = 64, 24
+#: Rows that a key of the index should hold.
+KEY_ROWS = 4_096
 
 
 def usable(vector: Column) -> Column:
@@ -38,13 +45,23 @@ def usable(vector: Column) -> Column:
 
 def encoded(x: np.ndarray, model: dict) -> np.ndarray:
     """Rows of substring values."""
-    return np.packbits((x - model["mean"]) @ model["turn"] > 0, axis=1)
+    return np.packbits((x - model["mean"]) @ model["turn"] > 0, axis=1).view(np.uint16)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+def reaches(radius: int, m: int) -> list[int]:
+    """How far to probe in each of m substrings; -1: not at all."""
+    deep, extra = divmod(radius, m)
+    return [min(SUBSTRING, deep if j <= extra else deep - 1) for j in range(m)]
 
 
 def learn(x: np.ndarray, k: int = 10, ids: np.ndarray | None = None) -> dict:
-    """Mean, rotation and radius from sample vectors; the number of bits is the dimension, down to whole substrings.
+    """Mean, rotation, and radii by distance from sample vectors; the number of bits is the dimension, down to whole substrings.
 
-    ids: whose vectors they are, if an id may have several; only the k nearest other ids count for the radius.
+    ids: whose vectors they are, if an id may have several; only other ids count for the k-th distance.
     """
     dims = x.shape[1]
     bits = max(SUBSTRING, dims // SUBSTRING * SUBSTRING)
@@ -58,117 +75,189 @@ def learn(x: np.ndarray, k: int = 10, ids: np.ndarray | None = None) -> dict:
     for _ in range(30):
         u, _, v = np.linalg.svd(np.sign(z @ turn).T @ z)
         turn = (u @ v).T
-    model = {"mean": mean, "turn": axes @ turn, "bits": bits, "radius": bits}
+    model = {"mean": mean, "turn": axes @ turn, "bits": bits, "distances": [], "radii": [], "first": bits, "next": bits}
     codes = encoded(x, model)
+    ids = np.arange(len(x)) if ids is None else ids
     if len(x) > 2 * k:
-        some = rng.permutation(len(x))[:SAMPLE_QUERIES]
-        found = []
-        for i in some:
-            d = ((x - x[i]) ** 2).sum(1)
-            if ids is None:
-                d[i] = np.inf
-                near = np.argpartition(d, k)[:k]
-            else:
-                others = np.nonzero(ids != ids[i])[0]
-                near = others[np.argsort(d[others], kind="stable")]
-                near = near[np.sort(np.unique(ids[near], return_index=True)[1])[:k]]
-            found.append(np.bitwise_count(codes[near] ^ codes[i]).sum(1, dtype=np.int64))
-        seen = np.concatenate(found)
-        if len(seen):
-            model["radius"] = int(np.quantile(seen, RECALL, method="higher"))
+        near, far, kth = [], [], []
+        for i in rng.permutation(len(x))[:SAMPLE_QUERIES]:
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            others = np.nonzero(ids != ids[i])[0]
+            order = others[np.argsort(d[others], kind="stable")]
+            distinct = np.sort(np.unique(ids[order], return_index=True)[1])
+            if len(distinct) >= k:
+                kth.append(d[order[distinct[k - 1]]])
+            near.append(order[:PAIRS])
+            far.append(rng.choice(others, min(PAIRS, len(others)), replace=False) if len(others) else others)
+            near[-1], far[-1] = (np.stack([d[r], hamming(codes[r], codes[i])]) for r in (near[-1], far[-1]))
+        pairs = np.concatenate(near + far, 1)
+        pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+        bins = [b for b in np.array_split(pairs, BINS, axis=1) if b.shape[1]]
+        if bins and kth:
+            model["distances"] = [float(b[0, -1]) for b in bins]
+            model["radii"] = [int(r) for r in np.maximum.accumulate([np.quantile(b[1], RECALL, method="higher") for b in bins])]
+            model["first"], model["next"] = (needed(model, float(np.quantile(kth, part))) for part in (0.1, 0.9))
     return model
 
 
+def needed(model: dict, distance: float) -> int:
+    """The radius that holds RECALL of the pairs of a distance; all bits beyond the distances of the sample."""
+    return next((r for d, r in zip(model["distances"], model["radii"], strict=True) if distance <= d), model["bits"])
+
+
 class Shard:
-    """One shard's vectors, codes and substring indexes."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, model: dict):
-        self.ids, self.x, self.model = ids, x, model
-        self.codes = encoded(x, model)
-        self.orders, self.starts = [], []
-        for j in range(self.codes.shape[1]):
-            order = np.argsort(self.codes[:, j], kind="stable")
-            self.orders.append(order)
-            self.starts.append(np.searchsorted(self.codes[order, j], np.arange(257)))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """The rows whose code lies within the radius: by the pigeonhole principle, through the substring indexes."""
-        m = len(code)
-        deep, extra = divmod(radius, m)
-        met = np.zeros(len(self.ids), bool)
-        for j in range(m):
-            reach = min(SUBSTRING, deep if j <= extra else deep - 1)
-            if reach < 0:
-                continue
-            values = code[j] ^ MASKS[: REACH[reach]]
-            first = self.starts[j][values]
-            met[self.orders[j][ranges(first, self.starts[j][values.astype(np.int64) + 1] - first)]] = True
-        rows = np.nonzero(met)[0]
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
+    """Rows of the index, each with the ids of its vector's copies, ordered by one substring's value."""
+
+    def __init__(self, ids: list[np.ndarray], x: np.ndarray, codes: np.ndarray, j: int):
+        order = np.argsort(codes[:, j], kind="stable")
+        self.x, self.codes, self.j = x[order], codes[order], j
+        sizes = np.array([len(ids[i]) for i in order], np.int64)
+        self.ids, self.row = np.concatenate([ids[i] for i in order]), np.repeat(np.arange(len(order)), sizes)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.values, self.starts = np.unique(self.codes[:, j], return_index=True)
+        self.starts = np.append(self.starts, len(order))
+
+    def probed(self, code: np.ndarray, reach: int) -> np.ndarray:
+        """The rows whose substring is within reach."""
+        met = np.nonzero(np.bitwise_count(self.values ^ code[self.j]) <= reach)[0] if reach >= 0 else np.zeros(0, np.int64)
+        return np.concatenate([np.arange(self.starts[v], self.starts[v + 1]) for v in met]) if len(met) else met
 
     def nearest(self, own: int, q: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and exact distances of the k nearest within the radius; ties go to smaller ids, an id comes once."""
-        rows = self.within(code, radius)
-        rows = rows[self.ids[rows] != own]
+        rows = self.probed(code, reaches(radius, len(code))[self.j])
+        rows = rows[hamming(self.codes[rows], code) <= radius]
         rough = ((self.x[rows] - q) ** 2).sum(1)
         last = 2 * k
-        while len(rows) > 2 * last:  # the edge widens until k ids are inside; all that tie with the last row stay
+        while len(rows) > 2 * last:  # the edge widens until k other ids are inside; all that tie with the last row stay
             inside = rough <= np.partition(rough, last)[last] * (1 + 1e-9)
-            if len(np.unique(self.ids[rows[inside]])) >= k:
+            found = np.unique(np.concatenate([self.ids[self.ends[r] : self.ends[r + 1]] for r in rows[inside]]))
+            if len(found) - (own in found) >= k:
                 rows, rough = rows[inside], rough[inside]
                 break
             last *= 4
-        d = np.sqrt(rough)
-        order = np.lexsort((self.ids[rows], d))
-        ids = self.ids[rows][order]
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        ids = np.concatenate([np.zeros(0, np.int64), *[self.ids[self.ends[r] : self.ends[r + 1]] for r in rows]])
+        d = np.sqrt(np.repeat(rough, sizes))
+        ids, d = ids[ids != own], d[ids != own]
+        order = np.lexsort((ids, d))
+        ids, d = ids[order], d[order]
         first = np.sort(np.unique(ids, return_index=True)[1])[:k]
-        return ids[first], d[order][first]
+        return ids[first], d[first]
+
 
+def folded(rows: DataFrame, k: int) -> DataFrame:
+    """ids, v: a row for each distinct vector with its k + 1 smallest ids; no task holds all ids of a vector."""
+    rows = rows.withColumn("s1", F.xxhash64(F.lit(1), "v")).withColumn("s2", F.xxhash64(F.lit(2), "v"))
+    place = Window.partitionBy("s1", "s2").orderBy("id")
+    few = rows.select("id", "s1", "s2").distinct().withColumn("at", F.row_number().over(place)).where(F.col("at") <= k + 1)
+    few = few.groupBy("s1", "s2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("id"))
+    return rows.join(few, ["id", "s1", "s2"]).groupBy("s1", "s2").agg(F.first("v").alias("v"), F.first("ids").alias("ids")).select("ids", "v")
 
-MASKS = np.array([sum(1 << b for b in c) for n in range(SUBSTRING + 1) for c in combinations(range(SUBSTRING), n)], np.uint8)
-REACH = np.cumsum([len(list(combinations(range(SUBSTRING), n))) for n in range(SUBSTRING + 1)])
 
+INDEX = "j int, value int, code binary, ids array<long>, v array<double>"
 
-def _answers(rows: DataFrame, queries: list[tuple[int, list[float]]], model: dict, radius: int, k: int) -> DataFrame:
-    """Each shard's k nearest of each query of a block."""
-    ids, q = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], float)
-    sent = rows.sparkSession.sparkContext.broadcast((ids, q, encoded(q, model), model))
+
+def indexed(rows: DataFrame, model: dict) -> DataFrame:
+    """INDEX: each row of folded() once for every substring."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, codes, model = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                codes = encoded(matrix(batch.column(1)), sent.value)
+                raw = pa.array([c.tobytes() for c in codes], pa.binary())
+                for j in range(codes.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([j] * len(codes), pa.int32()), pa.array(codes[:, j].astype(np.int32)), raw, batch.column(0), batch.column(1)], ["j", "value", "code", "ids", "v"])
+
+    return rows.select("ids", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, INDEX)
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(float)
+
+
+PROBE = "j int, high int, id long, radius int, code binary, v array<double>"
+
+
+def probes(asked: DataFrame, model: dict, high_bits: int) -> DataFrame:
+    """PROBE: each query (id, v, radius) once for every key that holds substring values within its reach."""
+    sent = asked.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        highs = np.arange(1 << high_bits)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
-            shard = Shard(batch.column(0).to_numpy(), x, model)
-            found = [shard.nearest(i, v, c, radius, k) for i, v, c in zip(own, q, codes, strict=True)]
-            sizes = [len(f[0]) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
-
-
-def _search(rows: DataFrame, queries: DataFrame, model: dict, radius: int, k: int) -> DataFrame | None:
-    """query_id, vec_id, score, rank of the k nearest over all shards, query block by query block."""
-    n = queries.count() // QUERY_BLOCK + 1
-    found = None
-    for block in range(n):
-        own = [(r["id"], r["v"]) for r in queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).collect()]
-        if own:
-            part = _answers(rows, own, model, radius, k)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return None
-    place = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+            codes = encoded(matrix(batch.column(1)), sent.value)
+            for i, (code, radius) in enumerate(zip(codes, batch.column(2).to_pylist(), strict=True)):
+                for j, reach in enumerate(reaches(radius, len(code))):
+                    met = highs[np.bitwise_count(highs ^ (int(code[j]) >> (SUBSTRING - high_bits))) <= reach]
+                    same = np.full(len(met), i)
+                    yield pa.RecordBatch.from_arrays([pa.array([j] * len(met), pa.int32()), pa.array(met, pa.int32()), batch.column(0).take(same), batch.column(2).take(same), pa.array([code.tobytes()] * len(met), pa.binary()), batch.column(1).take(same)], ["j", "high", "id", "radius", "code", "v"])
+
+    return asked.select("id", F.col("v").cast("array<double>").alias("v"), "radius").mapInArrow(run, PROBE)
+
+
+class Index:
+    """The stored index, the leading bits of its keys, and the salts of keys that hold many rows."""
+
+    def __init__(self, rows: DataFrame, model: dict):
+        self.model = model
+        table = stored(indexed(rows, model), "mih-index")
+        n = table.count() * SUBSTRING // model["bits"]
+        self.high_bits = int(np.clip(np.ceil(np.log2(max(1, n / KEY_ROWS))), 0, SUBSTRING))
+        table = table.withColumn("high", F.shiftright("value", SUBSTRING - self.high_bits))
+        # at most bits / SUBSTRING x 2^SUBSTRING keys, however many rows there are
+        self.large = F.broadcast(table.groupBy("j", "high").count().where(F.col("count") > 2 * KEY_ROWS).select("j", "high", F.ceil(F.col("count") / KEY_ROWS).cast("int").alias("salts")))
+        self.rows = table.join(self.large, ["j", "high"], "left").select(
+            self._key(F.coalesce(F.pmod(F.xxhash64("ids"), F.col("salts")), F.lit(0))), F.lit(0).alias("kind"), "j", F.lit(None).cast("long").alias("id"), F.lit(0).alias("radius"), "code", "ids", "v"
+        )
+
+    def _key(self, salt: Column) -> Column:
+        return F.xxhash64("j", "high", salt.cast("int")).alias("key")
+
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        """query_id, vec_id, score, rank, radius of the k nearest of each query (id, v, radius) within its radius."""
+        sent = probes(asked, self.model, self.high_bits).join(self.large, ["j", "high"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        sent = sent.select(self._key(F.col("salt")), F.lit(1).alias("kind"), "j", "id", "radius", "code", F.lit(None).cast("array<long>").alias("ids"), "v")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A key's rows come first, then its queries, which are answered batch by batch."""
+            key, rows, shard = None, [], None
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                edges = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    if keys[a] != key:
+                        key, rows, shard = keys[a], [], None
+                    part = batch.slice(a, b - a)
+                    of_rows = int((part.column(1).to_numpy() == 0).sum())
+                    if of_rows:
+                        rows.append(part.slice(0, of_rows))
+                    part = part.slice(of_rows)
+                    if not part.num_rows or not rows:
+                        continue
+                    if shard is None:
+                        ids = [np.array(i, np.int64) for r in rows for i in r.column(6).to_pylist()]
+                        codes = np.frombuffer(b"".join(c for r in rows for c in r.column(5).to_pylist()), np.uint16).reshape(len(ids), -1)
+                        shard = Shard(ids, np.concatenate([matrix(r.column(7)) for r in rows]), codes, rows[0].column(2)[0].as_py())
+                    found = [shard.nearest(i, q, np.frombuffer(c, np.uint16), r, k) for i, q, c, r in zip(part.column(3).to_pylist(), matrix(part.column(7)), part.column(5).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                    sizes = [len(f[0]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(3).to_numpy(), sizes)), pa.array(np.repeat(part.column(4).to_numpy(), sizes).astype(np.int32)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "radius", "vec_id", "score"])
+
+        n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = self.rows.unionByName(sent).repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, "query_id long, radius int, vec_id long, score double")
+        best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.first("radius").alias("radius"))
+        place = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:
     """About `most` of the distinct rows (id, v), by a hash of both: an id of many rows has its share, repeated rows count once."""
-    slot = F.xxhash64("id", "v")
-    n = rows.select(slot.alias("slot")).distinct().count()
-    some = rows if n <= most else rows.where(F.pmod(slot, F.lit(SLICES)) < int(SLICES * most / n))
+    n = rows.select(F.xxhash64("id", "v").alias("slot")).distinct().count()
+    some = rows if n <= most else rows.where(share_of(["id", "v"], most / n))
     return some.dropDuplicates(["id", "v"])
 
 
@@ -181,23 +270,31 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    of = lambda df: df.where(F.col(vec).isNotNull() & usable(F.col(embedding))).select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    of = lambda df: df.where(F.col(vec).isNotNull() & usable(F.col(embedding))).select(F.col(vec).cast("long").alias("id"), F.col(embedding).alias("v"))
     rows = of(vectors)
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return empty
     rows = rows.where(F.size("v") == dims["d"])
-    asked = of(queries).where(F.size("v") == dims["d"]).groupBy("id").agg(F.min("v").alias("v"))
+    asked = stored(of(queries).where(F.size("v") == dims["d"]).groupBy("id").agg(F.min("v").alias("v")), "mih-asked")
     sample = sampled(rows, SAMPLE).toArrow()
-    ids, x = sample["id"].to_numpy(), sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims["d"])
-    model = learn(x, k, ids if len(np.unique(ids)) < len(ids) else None)
-    first = _search(rows, asked, model, model["radius"], k)
-    if first is None:
-        return empty
-    first = stored(first, "mih-first")
-    full = first.groupBy("query_id").count().where(F.col("count") >= k)
-    short = stored(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"), "mih-short")
-    second = _search(rows, short, model, model["bits"], k)
-    if second is not None:
-        first = first.join(full, "query_id", "left_semi").unionByName(second)
-    return first.select("query_id", "rank", "vec_id", "score")
+    ids, x = sample["id"].to_numpy(), matrix(sample["v"].combine_chunks())
+    model = learn(x, k, ids)
+    index = Index(folded(rows, k), model)
+    asks = lambda d: F.coalesce(*[F.when(d <= edge, r) for edge, r in zip(model["distances"], model["radii"], strict=True)], F.lit(model["bits"]))
+    open_, parts = asked.withColumn("radius", F.lit(model["first"])), []
+    while True:
+        found = stored(index.search(open_, k), "mih-found")
+        ends = found.groupBy("query_id").agg(F.max("score").alias("far"), F.count("*").alias("n"))
+        told = open_.join(ends, F.col("id") == F.col("query_id"), "left").drop("query_id")
+        # with k answers the farthest one tells the radius, with fewer the radius grows to the next step, then to all bits
+        more = F.when(F.col("n") >= k, asks(F.col("far"))).otherwise(F.when(F.col("radius") < model["next"], model["next"]).otherwise(model["bits"]))
+        open_ = stored(told.withColumn("more", more).where(F.col("more") > F.col("radius")).select("id", "v", F.col("more").alias("radius")), "mih-open")
+        if open_.isEmpty():
+            parts.append(found)
+            break
+        parts.append(found.join(open_.select(F.col("id").alias("query_id")), "query_id", "left_anti"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("query_id", "rank", "vec_id", "score")

@@ -21,14 +21,15 @@ def test_an_exact_search_gives_k_ids():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 16))
     ids = np.array([*range(20), *[77] * 280])
-    shard = multi_index.Shard(ids, x, multi_index.learn(x))
+    codes = multi_index.encoded(x, multi_index.learn(x))
+    shard = multi_index.Shard([ids[i : i + 1] for i in range(300)], x, codes, 0)
     for i in range(0, 300, 23):
         best = {}
         for other, d in zip(ids.tolist(), np.sqrt(((x - x[i]) ** 2).sum(1)).tolist(), strict=True):
             if other != ids[i]:
                 best[other] = min(d, best.get(other, np.inf))
         want = sorted(best, key=lambda o: (best[o], o))[:10]
-        assert shard.nearest(ids[i], x[i], shard.codes[i], 16, 10)[0].tolist() == want
+        assert shard.nearest(ids[i], x[i], codes[i], 16, 10)[0].tolist() == want
 
 
 def test_the_sample_takes_each_row_of_an_id_by_itself(spark):

@@ -123,14 +123,39 @@ def test_neighbours_odd_rows(spark):
 
 
 def test_radius_holds_every_code():
+    """What the substrings' indexes fetch holds every code within the radius."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 24))
-    model = multi_index.learn(x)
-    shard = multi_index.Shard(np.arange(300), x, model)
-    for radius in (0, 1, 3, 4, 7, 11, 24):
+    x = rng.normal(size=(300, 64))
+    codes = multi_index.encoded(x, multi_index.learn(x))
+    shards = [multi_index.Shard([np.array([i]) for i in range(300)], x, codes, j) for j in range(codes.shape[1])]
+    for radius in (0, 1, 3, 4, 7, 11, 24, 30):
+        reach = multi_index.reaches(radius, len(shards))
         for i in range(0, 300, 50):
-            want = np.nonzero(np.bitwise_count(shard.codes ^ shard.codes[i]).sum(1) <= radius)[0]
-            assert shard.within(shard.codes[i], radius).tolist() == want.tolist()
+            want = set(np.nonzero(np.bitwise_count(codes ^ codes[i]).sum(1) <= radius)[0].tolist())
+            met = set()
+            for shard, far in zip(shards, reach):
+                met |= set(shard.ids[shard.row[np.isin(shard.row, shard.probed(codes[i], far))]].tolist())
+            assert want <= met
+
+
+def test_clustered_vectors_are_fetched_sparingly():
+    """Of rows in 40 clusters, the indexes fetch few for a query, though nine in ten of the true neighbours are among them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 4_000)] + 0.25 * rng.normal(size=(4_000, 64))
+    model = multi_index.learn(x)
+    codes = multi_index.encoded(x, model)
+    shards = [multi_index.Shard([np.array([i]) for i in range(4_000)], x, codes, j) for j in range(codes.shape[1])]
+    fetched, hit = 0, 0
+    for i in range(0, 4_000, 100):
+        order = np.argsort(((x - x[i]) ** 2).sum(1))[1:11]
+        radius = multi_index.needed(model, float(np.sqrt(((x[order[-1]] - x[i]) ** 2).sum())))
+        met = set()
+        for shard, far in zip(shards, multi_index.reaches(radius, len(shards))):
+            met |= set(shard.ids[shard.probed(codes[i], far)].tolist())
+        fetched += len(met)
+        hit += len(met & set(order.tolist()))
+    assert hit >= 0.9 * 400 and fetched < 0.2 * 40 * 4_000
 
 
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
