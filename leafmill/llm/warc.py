@@ -1,9 +1,10 @@
 """WARC archives of captured pages, and their capture index by an external merge.
 
 Records are made of SQL strings and written by Spark's text writer with the record separator as line end, so every part
-file is a WARC file and an executor's loss costs a task. Reading takes whole archives of bounded size, checks every
-digest and yields each archive's captures as a locally sorted run. The runs are dealt by ranges of (URL key, timestamp,
-page) and merged in each range by a loser tree; the ranges together hold globally ordered capture histories.
+file is a WARC file and an executor's loss costs a task. An archive holds as many records as make about ARCHIVE_BYTES on
+average; it is unzipped as a stream, record by record, every digest is checked, and its captures are a locally sorted run.
+The runs are dealt by ranges of (URL key, timestamp, page), of about RANGE_ENTRIES entries each; Spark's sort hands each
+range its runs one after another, and a loser tree merges them. The ranges together hold globally ordered histories.
 """
 
 from __future__ import annotations
@@ -11,17 +12,23 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored
+from .shared import HOT, hot_keys, shared_dir, stored
 
-#: Records of one archive; archives are read as wholes.
-ARCHIVE_RECORDS = 4_000
+#: Bytes of an archive's records before compression, on average, and the most records of one.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 32_000_000, 20_000
+#: Entries of a range, which its merge holds.
+RANGE_ENTRIES = 100_000
+#: Unzipped bytes read at once.
+READ_BYTES = 1 << 20
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ENTRY = "url_key string, ts string, page_id long, archive string, offset long, record_bytes long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -50,14 +57,28 @@ def records(pages: DataFrame) -> DataFrame:
     """
     raw = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     raw = raw.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
-    thin = raw.select("page_id", "payload_digest")
-    shared = thin.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    refers = thin.distinct().join(shared, "payload_digest").where("page_id is null or page_id <> first").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to"))
-    return raw.join(refers, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_page", "_digest")
-
-
-def write_archives(found: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """The WARC records of records(), with a header block, an HTTP block and, for responses, the payload; gzip files."""
+    thin = stored(raw.select("page_id", "payload_digest"), "warc-digests")
+    shared = stored(thin.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "warc-shared")
+    # a payload of many pages, as the empty one, is found where its pages lie
+    total = thin.count()
+    hot = hot_keys(shared, total)
+    near = raw.join(F.broadcast(hot.drop("n")), "payload_digest", "left").withColumn("hot", F.col("first").isNotNull())
+    cool = shared.where(F.col("n") * HOT <= total).select("payload_digest", F.col("first").alias("_first"))
+    # pages of hot payloads need no partner, so they meet the other side under keys of their own
+    near = near.withColumn("_digest", F.when(F.col("hot"), F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("payload_digest")))
+    found = near.join(cool.withColumnRenamed("payload_digest", "_digest"), "_digest", "left").withColumn("first", F.coalesce("first", "_first"))
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
+    return found.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+
+
+def archive_records(pages: DataFrame) -> int:
+    """How many records make an archive of about ARCHIVE_BYTES."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 600)).first()[0] or 600
+    return int(min(ARCHIVE_RECORDS, max(1, ARCHIVE_BYTES // mean)))
+
+
+def write_archives(found: DataFrame, path: str, each: int = ARCHIVE_RECORDS) -> None:
+    """The WARC records of records(), with a header block, an HTTP block and, for responses, the payload; gzip files of `each` records."""
     line = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(300_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     size = F.octet_length("html")
@@ -73,25 +94,44 @@ def write_archives(found: DataFrame, path: str, archive_records: int = ARCHIVE_R
         F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.when(revisit, 0).otherwise(size)).cast("string")),
     )
     record = F.concat(header, F.lit(END), http, F.when(revisit, "").otherwise(F.col("html")))
-    found.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", archive_records).option("compression", "gzip").text(path)
-
-
-def parsed(content: bytes, archive: str) -> Iterator[tuple]:
-    """The index entries of one archive; a record is as long as its Content-Length says."""
-    at = 0
-    while (start := content.find(b"WARC/1.", at)) >= 0:
-        body = content.index(b"\r\n\r\n", start) + 4
-        head = dict(x.split(": ", 1) for x in content[start : body - 4].decode().split("\r\n")[1:])
+    found.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
+
+
+def parsed(content: IO[bytes], archive: str) -> Iterator[tuple]:
+    """The index entries of one archive, read as a stream; a record is as long as its Content-Length says."""
+    held, at, done = b"", 0, False
+
+    def filled(until: int) -> bool:
+        """Whether `held` has so many bytes, after reading on."""
+        nonlocal held, done
+        parts, size = [held], len(held)
+        while size < until and not done:
+            more = content.read(max(READ_BYTES, until - size))
+            done = not more
+            parts.append(more)
+            size += len(more)
+        held = b"".join(parts)
+        return size >= until
+
+    def sought(mark: bytes, start: int) -> int:
+        while (found := held.find(mark, start)) < 0 and filled(len(held) + 1):
+            pass
+        return found
+
+    while (start := sought(b"WARC/1.", 0)) >= 0:
+        body = sought(b"\r\n\r\n", start) + 4
+        head = dict(x.split(": ", 1) for x in held[start : body - 4].decode().split("\r\n")[1:])
         end = body + int(head["Content-Length"])
-        block = content[body:end]
+        filled(end)
+        block = held[body:end]
         split = block.index(b"\r\n\r\n") + 4
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         number = lambda k: None if k not in head or head[k] == "<urn:page:none>" else int(head[k][10:-1])
         size = int(dict(x.split(": ", 1) for x in block[: split - 4].decode().split("\r\n")[1:])["Content-Length"])
         response = head["WARC-Type"] == "response"
         intact = not response or size == len(block) - split and base64.b32encode(hashlib.sha1(block[split:]).digest()).decode() == digest
-        yield head["WARC-URL-Key"], head["WARC-Date"], number("WARC-Record-ID"), archive, start, end - start, size, digest, head["WARC-Type"], number("WARC-Refers-To"), intact
-        at = end
+        yield head["WARC-URL-Key"], head["WARC-Date"], number("WARC-Record-ID"), archive, at + start, end - start, size, digest, head["WARC-Type"], number("WARC-Refers-To"), intact
+        at, held = at + end, held[end:]
 
 
 def order_of(entry: tuple) -> tuple:
@@ -109,8 +149,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if rows := sorted(parsed(gzip.decompress(content.as_py()), name.rsplit("/", 1)[-1]), key=order_of):
-                    yield batch_of(rows)
+                with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as unzipped:
+                    rows = sorted(parsed(unzipped, name.rsplit("/", 1)[-1]), key=order_of)
+                for i in range(0, len(rows), 10_000):
+                    yield batch_of(rows[i : i + 10_000])
 
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content").mapInArrow(run, ENTRY)
 
@@ -154,7 +196,8 @@ class LoserTree:
 def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The runs' entries in global order: ranges of (url_key, ts, page_id, archive, offset), each merged by a loser tree.
 
-    A URL with most of the captures spreads over several ranges, as the timestamp and page take part in the ranges.
+    A URL with most of the captures spreads over several ranges, as the timestamp and page take part in the ranges. A
+    range's runs come in Spark's order of archive and place, so a run is a stretch of the rows and is not sorted again.
     """
     spark = runs.sparkSession
 
@@ -163,8 +206,6 @@ def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by.setdefault(row[3], []).append(row)
-        for rows in by.values():
-            rows.sort(key=order_of)  # linear, as the shuffle hands a run on in order
         out: list[tuple] = []
         for row in LoserTree(list(by.values())):
             out.append(row)
@@ -174,8 +215,9 @@ def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_last(), F.col("archive"), F.col("offset")).mapInArrow(merge, ENTRY)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs.count() // RANGE_ENTRIES + 1)
+    order = [F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_last(), F.col("archive"), F.col("offset")]
+    return runs.repartitionByRange(n, *order).sortWithinPartitions("archive", *order[:3], "offset").mapInArrow(merge, ENTRY)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -186,5 +228,5 @@ def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(records(pages), path)
+    write_archives(records(pages), path, archive_records(pages))
     return merged_index(stored(read_runs(spark, path), "warc-runs"))
