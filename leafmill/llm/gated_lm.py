@@ -21,10 +21,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .shared import fold, most_frequent, stored
+from .shared import byte_slices, fold, most_frequent, stored
 
 #: Words of the network's vocabulary (with the end token) and of each of its classes.
 VOCABULARY, CLASS_WORDS = 2_048, 64
@@ -116,8 +116,27 @@ class Lexicon:
         return {k: np.ascontiguousarray(v, np.float32) for k, v in p.items()}
 
 
-def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents laid end to end in lanes, the longest lane first: word numbers and document numbers, -1 beyond.
+class Lanes:
+    """Documents laid end to end in lanes, the longest lane first, one lane after another in one array of word numbers."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray):
+        self.words, self.lengths = words, lengths
+        self.base = np.cumsum(lengths) - lengths
+
+    def window(self, owner: np.ndarray, at: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word and document numbers of the places at .. at + steps of the lanes that reach them, -1 beyond a lane's end."""
+        live = int(np.searchsorted(-self.lengths, -at))
+        place = np.arange(at, min(at + steps, int(self.lengths[0])))[:, None]
+        inside = place < self.lengths[:live]
+        place = np.where(inside, place + self.base[:live], 0)
+        return np.where(inside, self.words[place], -1), np.where(inside, owner[place], -1)
+
+    def __len__(self) -> int:
+        return int(self.lengths[0]) if len(self.lengths) else 0
+
+
+def packed(docs: list[np.ndarray]) -> tuple[Lanes, np.ndarray]:
+    """The documents in lanes, and the document number of each of the lanes' words; what is held is in proportion to the words.
 
     There are LANES lanes, fewer where they would be shorter than LANE_WORDS, so that little text still makes many windows.
     """
@@ -130,13 +149,11 @@ def packed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         lanes[k].append(i)
         loads[k] = load + len(docs[i])
         heapq.heappush(heap, (loads[k], k))
-    long = max(loads)
-    ids, owner = np.full((count, long), -1, np.int32), np.full((count, long), -1, np.int32)
-    for row, k in enumerate(sorted(range(count), key=lambda k: -loads[k])):
-        if lanes[k]:
-            ids[row, : loads[k]] = np.concatenate([docs[i] for i in lanes[k]])
-            owner[row, : loads[k]] = np.repeat(lanes[k], [len(docs[i]) for i in lanes[k]])
-    return np.ascontiguousarray(ids.T), np.ascontiguousarray(owner.T)
+    ranked = sorted(range(count), key=lambda k: -loads[k])
+    laid = [i for k in ranked for i in lanes[k]]
+    words = np.concatenate([np.zeros(0, np.int32), *(docs[i] for i in laid)]).astype(np.int32, copy=False)
+    owner = np.repeat(np.array(laid, np.int32), [len(docs[i]) for i in laid])
+    return Lanes(words, np.array([loads[k] for k in ranked], np.int64)), owner
 
 
 def weighed(z: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,14 +220,13 @@ class Network:
                 inner = ids[own] - c * CLASS_WORDS
                 yield c, own, inner, *weighed(z, inner)
 
-    def windows(self, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
+    def windows(self, ids: Lanes, owner: np.ndarray) -> Iterator[tuple]:
         """Windows of STEPS places with their states; lanes end in order of their length, state goes on to the next window."""
-        self.lanes = ids.shape[1]
+        self.lanes = len(ids.lengths)
         h, last, previous = np.zeros((STATE, self.lanes), np.float32), np.full(self.lanes, -1, np.int32), np.zeros(self.lanes, np.int32)
         for at in range(0, len(ids), STEPS):
-            w, o = ids[at : at + STEPS], owner[at : at + STEPS]
-            live = int((o[0] >= 0).sum())
-            w, o = w[:, :live], o[:, :live]
+            w, o = ids.window(owner, at, STEPS)
+            live = w.shape[1]
             fresh = np.concatenate([last[None, :live], o[:-1]]) != o
             before = np.where(fresh, 0, np.maximum(np.concatenate([previous[None, :live], w[:-1]]), 0))
             hs, olds, gates = self.states(before, fresh, h[:, :live])
@@ -219,7 +235,7 @@ class Network:
             flat, words, k, edges = self.sorted_by_class(flat, w.reshape(-1)[flat])
             yield before, fresh, hs, olds, gates, flat, words, k, edges, o
 
-    def scores(self, ids: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    def scores(self, ids: Lanes, owner: np.ndarray, docs: int) -> np.ndarray:
         """Natural log-probability of each document's words and tail groups."""
         out = np.zeros(docs)
         for _, _, hs, _, _, flat, words, k, edges, o in self.windows(ids, owner):
@@ -230,7 +246,7 @@ class Network:
             out += np.bincount(o.reshape(-1)[flat], logp, docs)
         return out
 
-    def train(self, ids: np.ndarray, owner: np.ndarray, rate: float, moments: dict) -> None:
+    def train(self, ids: Lanes, owner: np.ndarray, rate: float, moments: dict) -> None:
         """One pass of truncated backpropagation: gradients stop at a window's start, the state does not."""
         for *window, _ in self.windows(ids, owner):
             self.update(self.gradients(*window), rate, moments)
@@ -316,17 +332,11 @@ class Reader:
         return [self.read(raw)[0] for raw in raws]
 
 
-def _held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches that hold some megabytes of text."""
+def _held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Array, list]]:
+    """The first column and the texts of slices that hold some megabytes of text."""
     for batch in batches:
-        raws, at = batch.column(column).to_pylist(), 0
-        while at < len(raws):
-            stop, size = at, 0
-            while stop < len(raws) and size < HELD_BYTES:
-                size += len(raws[stop] or b"")
-                stop += 1
-            yield batch.slice(at, stop - at), raws[at:stop]
-            at = stop
+        for texts, first in byte_slices((batch.column(column), batch.column(0)), HELD_BYTES):
+            yield first, texts.to_pylist()
 
 
 BLOCKS = 16
@@ -399,60 +409,53 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon(ordered, tails, sum(n for n, _ in tails.values()), sum(v for _, v in tails.values()))
 
 
+SCORED = "doc_id long, n_tokens long, known long, seen_log double, net_log double, rare array<struct<word: binary, times: long>>"
+
+
 def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; scores are log10 probabilities.
 
     Learns from the documents whose crc32 fold is not the held-out one (a null id counts as fold 0). A null text is
-    empty: its one token is the end. Rows of one id and text score alike. With no training document every word is
-    unseen. Other columns take no part.
+    empty: its one token is the end. Texts of any length are scored whole, with the state carried to their end; repeated
+    rows score alike. With no training document every word is unseen; an empty table gives no rows. Other columns,
+    whatever their names, take no part.
     """
     spark = docs.sparkSession
     counts = stored(word_counts(docs, doc, text), "lm-counts")
     lexicon = lexicon_of(counts)
     p = fit(docs, lexicon, doc, text)
     sent = spark.sparkContext.broadcast((lexicon, p))
-    own = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, p = sent.value
         net, reader = Network(p, lexicon.heads), Reader(lexicon)
         shift = np.log10(lexicon.tail_mass)
-        for part, raws in _held(batches, 1):
-            read = [reader.read(raw) for raw in raws]
-            logp = net.scores(*packed([ids for ids, _ in read]), len(read)) / np.log(10)
-            rows = []
-            for raw, (ids, place), value in zip(raws, read, logp, strict=True):
+        for ids_of, raws in _held(batches, 1):
+            read, rows, rare_words, rare_times, ends = [], [], [], [], [0]
+            for raw in raws:
+                ids, place = reader.read(raw)
+                rare = np.nonzero(place < 0)[0]
+                if len(rare):
+                    own = tokens(raw)
+                    found = Counter([own[i] for i in rare.tolist()])
+                    rare_words += found
+                    rare_times += found.values()
+                ends.append(len(rare_words))
                 logs = np.where(place < 0, 0.0, reader.logs[place])
                 tail = ids >= lexicon.heads
-                value += logs[tail].sum() - shift[ids[tail] - lexicon.heads].sum()
-                rows.append((len(ids), int((place >= 0).sum()), float(logs.sum()), float(value), zlib.crc32(raw or b"")))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True))], ["doc_id", "n_tokens", "known", "seen_log", "net_log", "own"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = Reader(sent.value[0]).at
-        for part, raws in _held(batches, 1):
-            ids, owns, words, times = [], [], [], []
-            for doc_id, raw in zip(part.column(0).to_pylist(), raws, strict=True):
-                own = tokens(raw)
-                place = np.fromiter(map(at, own, repeat(-1)), np.int32, len(own))
-                found = Counter([own[i] for i in np.nonzero(place < 0)[0].tolist()])
-                ids += [doc_id] * len(found)
-                owns += [zlib.crc32(raw or b"")] * len(found)
-                words += found
-                times += found.values()
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["doc_id", "own", "word", "times"])
-
-    base = own.withColumn("doc_id", F.col("doc_id").cast("long"))
-    # rows that repeat an id and text each bring the same rare words, so the sums are divided by the rows' number
-    rows = Window.partitionBy("doc_id", "own")
-    marked = base.mapInArrow(score, "doc_id long, n_tokens long, known long, seen_log double, net_log double, own long").withColumn("rows", F.count("*").over(rows))
-    tails = base.mapInArrow(rare, "doc_id long, own long, word binary, times long").join(counts.select("word", "n"), "word", "left")
-    tails = tails.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
-    )
-    both = marked.join(tails, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")), "left")
-    both = both.withColumn("rare_log", F.col("rare_log") / F.col("rows")).withColumn("rare_known", (F.col("rare_known") / F.col("rows")).cast("long"))
+                read.append(ids)
+                rows.append((len(ids), int((place >= 0).sum()), float(logs.sum()), float(logs[tail].sum() - shift[ids[tail] - lexicon.heads].sum())))
+            logp = net.scores(*packed(read), len(read)) / np.log(10)
+            n, known, seen, moved = zip(*rows, strict=True)
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], ["word", "times"]))
+            yield pa.RecordBatch.from_arrays([ids_of, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(seen, pa.float64()), pa.array(logp + np.array(moved)), rare], [f.split()[0] for f in SCORED.split(", ", 5)])
+
+    base = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("raw"))
+    # each row's number is written with it, so that the rare words' counts come back to the row, whatever its id
+    marked = stored(base.mapInArrow(score, SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    tails = marked.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts.select("word", "n"), "word", "left")
+    tails = tails.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    both = marked.drop("rare").join(tails, "row", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return both.select(
         "doc_id", (fold("doc_id", PARTS) == HELD).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(lexicon.total).cast("long").alias("train_tokens"),
