@@ -187,3 +187,36 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
 
 def test_every_query_is_registered():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == []
+
+
+def test_turns_of_one_number_and_a_conversation_over_many_ranges(spark):
+    """All turns of one number, a conversation of most rows, rows repeated, a text of a million characters."""
+    rng = random.Random(3)
+    turns = [(1, 7, "user", f"t{i:04d}") for i in range(900)] + [(2, 7, "user", f"t{i:04d}") for i in range(450)]
+    turns += [(3, None, "user", rng.choice("abcdef")) for _ in range(300)] + [(4, 0, "user", "long " * 200_000)]
+    turns += [(5, t, None, None) for t in range(3)] + [(None, t, "user", "n") for t in range(40)]
+    rng.shuffle(turns)
+    found = chat.format_chats(spark.createDataFrame(turns, TURNS).withColumn("range", F.lit("clash")).repartition(7)).collect()
+    assert {r.conv_id: r.text for r in found} == brute_chats(turns)
+
+
+def test_chat_shuffles_texts_twice_at_most(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"{c % 3} {t}") for c in range(30) for t in range(4)], TURNS)
+    ordered = turns.select(F.col("conv_id"), "turn", "role", "text").repartitionByRange(4, "conv_id", "turn", "role", "text").dropDuplicates()
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    plan = chat.format_chats(turns)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_payload_of_many_pages_and_small_archives(spark, monkeypatch):
+    """Most pages share one payload; archives are cut by bytes and read in small pieces."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "READ_BYTES", 700)
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 50)
+    rng = random.Random(6)
+    pages = [(i, f"http://h{i % 5}.org/{i % 11}", "" if i % 3 else rng.choice(["<p>x</p>", "é" * 3_000, "WARC/1.1\r\n\r\n"])) for i in range(400)] + [(None, None, "")]
+    found = warc.capture_histories(spark.createDataFrame(pages, PAGES).repartition(3)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == brute_records(pages)
+    assert all(r.intact for r in found) and len({r.archive for r in found}) > 3
+    keys = [(r.url_key.encode(), r.ts) for r in found]
+    assert keys == sorted(keys)
