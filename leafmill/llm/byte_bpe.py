@@ -31,7 +31,7 @@ HEAD_BYTES = 48
 #: The literal rank map is an array of this many small maps, as Spark searches a literal map entry by entry.
 BUCKETS = 16_384
 #: Words that a task counts before it hands them on, and rare words whose ids it remembers; results don't depend on them.
-REMEMBERED, CACHED = 200_000, 150_000
+REMEMBERED, CACHED = 200_000, 300_000
 #: Characters of a text whose pieces are met one by one, not listed.
 LONG = 2_000_000
 
