@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import annotated, fold, stored, within_bytes
+from .shared import annotated, fitted, fold, stored, within_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -139,8 +139,7 @@ def learn(docs: DataFrame, parts: int = 5, held: int = 0, text: str = "text", la
     part = F.xxhash64(doc).bitwiseAND(F.lit(2**63 - 1)) / float(2**63)
     some = own.join(F.broadcast(sizes), lang).where(part * F.col("n") <= each).select(doc, lang).distinct()
     rows = stored(docs.where(F.col(text).isNotNull()).select(doc, lang, text).join(F.broadcast(some), [doc, lang]).select(F.col(text).alias("t"), F.col(lang).alias("l")), "languages")
-    rows = within_bytes(rows, "t").toArrow()
-    return fit(sorted(set(zip(rows["t"].to_pylist(), rows["l"].to_pylist(), strict=True))))
+    return fitted(within_bytes(rows, "t"), fit)
 
 
 def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import annotated, labelled_sample, logistic, mix, raw_texts, sigmoid, words
+from .shared import annotated, fitted, labelled_sample, logistic, mix, raw_texts, sigmoid, words
 
 BITS = 20
 #: About so many label rows of each label are fitted on, by a hash of the id.
@@ -114,4 +114,4 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "quality
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, label: str = "quality") -> dict:
     """The model from the labelled documents outside the held-out fold, about SAMPLE rows of each label."""
-    return fit(labelled_sample(docs, labels, label, SAMPLE, parts, held))
+    return fitted(labelled_sample(docs, labels, label, SAMPLE, parts, held), fit)

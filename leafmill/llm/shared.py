@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Tuple
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from leafmill.sources.store import shared_dir, stored
 from leafmill.sources.tables import table
 
-__all__ = ["annotated", "byte_slices", "fold", "hash_sample", "hot_keys", "join_keyed", "labelled_sample", "logistic", "mix", "most_frequent", "ranges", "raw_texts", "shared_dir", "sigmoid", "stored", "table", "within_bytes", "words"]
+__all__ = ["annotated", "byte_slices", "fitted", "fold", "hash_sample", "hot_keys", "join_keyed", "labelled_sample", "logistic", "mix", "most_frequent", "ranges", "raw_texts", "shared_dir", "sigmoid", "stored", "table", "within_bytes", "words"]
 
 #: ASCII letters to lower case, digits kept, other ASCII to blanks; bytes of other characters are kept.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -157,11 +158,11 @@ def within_bytes(rows: DataFrame, text: str, most: int = SAMPLE_BYTES) -> DataFr
     return rows if total <= most else rows.where(share_of(text, most / total))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], parts: int, held: int, text: str = "text", doc: str = "doc_id") -> list[tuple[bytes, int]]:
-    """Texts and labels to fit a classifier on: of each label about bounds[label] label rows, by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], parts: int, held: int, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """raw (binary), label to fit a classifier on: of each label about bounds[label] label rows, by a hash of the id.
 
-    Rows of the held-out fold (crc32 of the id modulo parts = held) never take part; equal texts are taken once. What
-    reaches the driver is bounded in rows and, by within_bytes(), in bytes.
+    Rows of the held-out fold (crc32 of the id modulo parts = held) never take part. The sample is bounded in rows and, by
+    within_bytes(), in bytes.
     """
     wanted = labels.where(F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, F.col(label).cast("int").alias("label")).distinct()
     parted = [hash_sample(wanted.where(F.col("label") == k), doc, n) for k, n in bounds.items()]
@@ -169,8 +170,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     for more in parted[1:]:
         some = some.unionByName(more)
     found = stored(docs.select(doc, F.col(text).cast("binary").alias("raw")).where("raw is not null").join(F.broadcast(some), doc).select("raw", "label"), "labelled")
-    rows = within_bytes(found, "raw").toArrow()
-    return sorted(set(zip(rows["raw"].to_pylist(), rows["label"].to_pylist(), strict=True)))
+    return within_bytes(found, "raw")
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], dict]) -> dict:
+    """The model that fit() makes of the distinct rows of a bounded sample, in order; it runs in a task, the driver gets the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: set[tuple] = set()
+        for batch in batches:
+            rows.update(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(rows)))], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import annotated, labelled_sample, logistic, raw_texts, sigmoid
+from .shared import annotated, fitted, labelled_sample, logistic, raw_texts, sigmoid
 
 GRAM = 5
 WINDOW = 256
@@ -141,4 +141,4 @@ def scored(docs: DataFrame, model: dict, text: str = "text", out: str = "toxicit
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, label: str = "toxic") -> dict:
     """The model from the labelled documents outside the held-out fold, about SAMPLE rows of each label."""
-    return fit(labelled_sample(docs, labels, label, SAMPLE, parts, held))
+    return fitted(labelled_sample(docs, labels, label, SAMPLE, parts, held), fit)
