@@ -177,30 +177,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 pieces.clear()
             cut = lambda t: expression.findall(t) if len(t) < LONG else (m.group() for m in expression.finditer(t))
             ids = [b"".join(map(pieces.__getitem__, cut(value))) if value else b"" for value in texts.to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)]) // 4
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+            ends, data = np.cumsum([0, *map(len, ids)]), pa.py_buffer(b"".join(ids))
+            whole = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), data])
+            return [pa.ListArray.from_arrays(pa.array(ends // 4, pa.int32()), pa.array(np.frombuffer(data, "<i4"))), whole]
 
         return of
 
-    coded = annotated(docs.drop("ids", "n_tokens"), [T.StructField("tokens", T.ArrayType(T.IntegerType()))], make, (text,))
-    return coded.withColumn("ids", packed_ids(F.col("tokens"), max(ranks.values(), default=0))).withColumn("n_tokens", F.size("tokens").cast("long"))
-
-
-def _concatenated(tokens: Column, pieces: list[str]) -> Column:
-    """The binary pieces of the tokens, concatenated: a literal array of hexadecimal pieces is indexed by the tokens."""
-    table = F.split(F.lit(",".join(pieces)), ",")
-    piece = lambda i: F.coalesce(F.nullif(F.get(table, i), F.lit("")), F.raise_error(F.lit("an id beyond the ranks")))
-    return F.coalesce(F.unhex(F.array_join(F.transform(tokens, piece), "")), F.lit(b""))
-
-
-def packed_ids(tokens: Column, top: int) -> Column:
-    """Tokens up to `top` as little-endian unsigned 32-bit integers; null gives no bytes."""
-    return _concatenated(tokens, [i.to_bytes(4, "little").hex() for i in range(top + 1)])
+    fields = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("ids", T.BinaryType())]
+    return annotated(docs.drop("n_tokens"), fields, make, (text,)).withColumn("n_tokens", F.size("tokens").cast("long"))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], tokens: str = "tokens") -> DataFrame:
-    """encoded with `decoded`: the binary pieces of the tokens, concatenated by DataFrame functions. Null tokens give no bytes."""
+    """encoded with `decoded`: the binary pieces of the tokens, concatenated by DataFrame functions. Null tokens give no bytes.
+
+    The pieces, in hexadecimal digits, are one array, which a scalar subquery holds so that plans don't print it.
+    """
     pieces = [""] * (max(ranks.values(), default=0) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    return encoded.withColumn("decoded", _concatenated(F.col(tokens), pieces))
+    table = encoded.sparkSession.createDataFrame([(pieces,)], "pieces array<string>").scalar()
+    piece = lambda i: F.coalesce(F.nullif(F.get(table, i), F.lit("")), F.raise_error(F.lit("an id beyond the ranks")))
+    return encoded.withColumn("decoded", F.coalesce(F.unhex(F.array_join(F.transform(tokens, piece), "")), F.lit(b"")))

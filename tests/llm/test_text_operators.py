@@ -166,6 +166,14 @@ def test_bpe_equals_tiktoken(spark, odd):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_decoding_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, reference().encode_ordinary("héllo wörld"))], "doc_id long, tokens array<int>").withColumn("decoded", F.lit(1))
+    assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(rows, RANKS).collect()} == {1: b"", 2: b"", 3: "héllo wörld".encode()}
+    wrong = byte_bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, tokens array<int>"), RANKS)
+    with pytest.raises(Exception, match="beyond the ranks"):
+        wrong.collect()
+
+
 def test_native_fold_equals_merges(spark):
     pieces = [b"", b"a", b" thonwhing", b"zzzzqqqq", " éèçà".encode(), b"!!!###", b" disgusting", b"12345678"]
     rows = byte_bpe.encode_words(spark.createDataFrame([(bytearray(p),) for p in pieces], "word binary"), RANKS).collect()
