@@ -190,11 +190,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 def decode(encoded: DataFrame, ranks: dict[bytes, int], tokens: str = "tokens") -> DataFrame:
     """encoded with `decoded`: the binary pieces of the tokens, concatenated by DataFrame functions. Null tokens give no bytes.
 
-    The pieces, in hexadecimal digits, are one array, which a scalar subquery holds so that plans don't print it.
+    The pieces, in hexadecimal digits, are one literal array, which the tokens index.
     """
     pieces = [""] * (max(ranks.values(), default=0) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    table = encoded.sparkSession.createDataFrame([(pieces,)], "pieces array<string>").scalar()
+    table = F.split(F.lit(",".join(pieces)), ",")
     piece = lambda i: F.coalesce(F.nullif(F.get(table, i), F.lit("")), F.raise_error(F.lit("an id beyond the ranks")))
     return encoded.withColumn("decoded", F.coalesce(F.unhex(F.array_join(F.transform(tokens, piece), "")), F.lit(b"")))
