@@ -28,13 +28,23 @@ def base_name(name: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)\.pdf$", ""), F.lit("")), F.lit(default))
 
 
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def natural_key(name: Column) -> Column:
-    """A key whose text order compares runs of digits as numbers and ignores case and Latin accents."""
-    plain = F.translate(F.lower(F.coalesce(name, F.lit(""))), ACCENTED, PLAIN)
-    return F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    """A key whose order compares runs of digits as numbers, whatever their length, and ignores case and accents of any script.
+
+    A run of digits gets its length, without leading zeros, ahead; the Unicode collation does the rest.
+    """
+    parts = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=[0-9])", "")
+    numbered = lambda x: F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))
+    return F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), numbered(x)).otherwise(x)), ""), "UNICODE_CI_AI")
+
+
+def rgb(colour: Column, fallback: str = "#000000") -> Column:
+    """struct<r,g,b> of a six-digit hexadecimal colour as shares of 255; black where it is none, the fallback where it is empty."""
+    shape = "^#?([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})$"
+    given = F.coalesce(F.nullif(colour, F.lit("")), F.lit(fallback))
+    share = lambda i: F.coalesce(F.conv(F.nullif(F.regexp_extract(given, shape, i), F.lit("")), 16, 10).cast("double") / 255, F.lit(0.0))
+    return F.struct(*[share(i).alias(c) for i, c in ((1, "r"), (2, "g"), (3, "b"))])
 
 
 def js_round(x: Column) -> Column:

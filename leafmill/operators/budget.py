@@ -48,3 +48,17 @@ def fit_to_budget(docs: DataFrame, sizes: DataFrame, target: int) -> DataFrame:
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("n = 1")
     total = F.col("bytes") + PAGE_BYTES * F.col("pages")
     return small.unionByName(best.select("doc_id", "tier", "quality", total.alias("bytes"), (total <= target).alias("met_target")))
+
+
+def fit_own(docs: DataFrame, target: int) -> DataFrame:
+    """fit_to_budget() of the modelled sizes, within the row: the candidates are a literal array, nothing is joined."""
+    grid = 2**STEPS
+    candidates = F.array(*[F.struct(F.lit(i + 1).alias("tier"), F.lit(k).alias("k"), F.lit(s).alias("scale"), F.lit(QUALITY_LOW + k * (QUALITY_HIGH - QUALITY_LOW) / grid).alias("quality")) for i, s in enumerate(TIERS) for k in range(grid)])
+    sized = F.transform(candidates, lambda c: F.struct(modelled_bytes(F.col("n_chars"), c["scale"], c["quality"]).alias("bytes"), c["tier"].alias("tier"), c["k"].alias("k"), c["quality"].alias("quality")))
+    rows = docs.withColumn("budget", F.greatest(F.lit(1), target - PAGE_BYTES * F.col("pages"))).withColumn("_sized", F.when(F.col("n_chars") > target, sized))
+    fits = F.array_min(F.transform(F.filter("_sized", lambda c: c["bytes"] <= F.col("budget")), lambda c: F.struct(c["tier"].alias("tier"), (-c["k"]).alias("k"), c["bytes"].alias("bytes"), c["quality"].alias("quality"))))
+    least = F.array_min(F.col("_sized"))
+    rows = rows.withColumn("_fit", fits).withColumn("_least", least)
+    pick = lambda c: F.coalesce(F.col(f"_fit.{c}"), F.col(f"_least.{c}"))
+    total = F.coalesce(pick("bytes") + PAGE_BYTES * F.col("pages"), F.col("n_chars"))
+    return rows.select("doc_id", F.coalesce(pick("tier"), F.lit(0)).alias("tier"), pick("quality").alias("quality"), total.alias("bytes"), (total <= target).alias("met_target"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import base_name, js_round, name_date, natural_key, size_label
-from leafmill.operators.ranks import with_rank
+from leafmill.operators.ranks import with_rank, with_running_sum
 from leafmill.sources.tables import page_counts
 
 #: Pages of one merged record at most: a larger collection goes on in the next part.
@@ -32,11 +32,12 @@ def asset_manifest(pages: DataFrame, own: str = "/manifest.json") -> DataFrame:
 
 
 def build_id(manifest: DataFrame) -> DataFrame:
-    """Twelve hexadecimal digits over the ordered manifest, by 256 ordered buckets: no task sees all rows."""
+    """Twelve hexadecimal digits over the ordered manifest, by a tree of ordered buckets: 16^6 of rows, 16^3 of those, one of these."""
     row = F.concat("url", F.lit(" "), "sha256")
-    buckets = manifest.groupBy(F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n").cast("binary"), 256).alias("h"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda b: b["h"]), "")
-    return buckets.agg(F.substring(F.sha2(ordered.cast("binary"), 256), 1, 12).alias("build_id"))
+    rows = manifest.groupBy(F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 6).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n").cast("binary"), 256).alias("h"))
+    ordered = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda b: b["h"]), "").cast("binary"), 256)
+    buckets = rows.groupBy(F.substring("bucket", 1, 3).alias("upper")).agg(ordered.alias("h")).withColumnRenamed("upper", "bucket")
+    return buckets.agg(F.substring(ordered, 1, 12).alias("build_id"))
 
 
 def sitemap_export(home: DataFrame, tools: DataFrame, pages: DataFrame) -> DataFrame:
@@ -46,16 +47,25 @@ def sitemap_export(home: DataFrame, tools: DataFrame, pages: DataFrame) -> DataF
     return best.select("loc", F.col("best.changefreq").alias("changefreq"), F.col("best.priority").alias("priority"), xml.alias("xml"))
 
 
-def write_sitemap(sitemap: DataFrame, path: str, shard: int = 50_000) -> None:
-    """One record a line, at most `shard` to a file, as the protocol allows."""
-    sitemap.select("xml").write.option("maxRecordsPerFile", shard).text(path)
+#: URLs of a sitemap file at most, as the protocol allows.
+SITEMAP_URLS = 50_000
+
+
+def sitemap_files(sitemap: DataFrame, most: int = SITEMAP_URLS) -> DataFrame:
+    """shard, urls, document: whole sitemap files, of at most `most` records each in the order of their URLs."""
+    rows = with_rank(sitemap.select("loc", "xml"), [F.col("loc")]).groupBy(F.floor((F.col("rank") - 1) / most).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("rank", "xml"))).alias("all"))
+    head, foot = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', "\n</urlset>\n"
+    return rows.select("shard", F.size("all").cast("long").alias("urls"), F.concat(F.lit(head), F.array_join("all.xml", "\n"), F.lit(foot)).alias("document"))
+
+
+def write_sitemap(sitemap: DataFrame, path: str, most: int = SITEMAP_URLS) -> None:
+    """Each document of sitemap_files() in a file of its own."""
+    sitemap_files(sitemap, most).select("document").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
 def paginate(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """pages with running_no: the number across the documents of a collection. Only document rows are windowed."""
-    counts = page_counts(docs)
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "doc_id", F.coalesce(F.sum("pages").over(before), F.lit(0)).alias("start"))
+    """pages with running_no: the number across the documents of a collection. A collection of any size is dealt over many tasks."""
+    starts = with_running_sum(page_counts(docs), ["source"], ["doc_id"], "pages", "start")
     return pages.join(starts, ["source", "doc_id"]).select("source", "doc_id", "page_no", (F.col("start") + F.col("page_no")).alias("running_no"), "text")
 
 
@@ -81,7 +91,8 @@ def select_pages(pages: DataFrame, counts: DataFrame, specs: DataFrame, dialect:
 
     def span(p: Column) -> Column:
         a, dash, b = (F.regexp_extract(p, shape, i) for i in (1, 2, 3))
-        number = lambda x: F.substring(x, 1, 9).try_cast("long")
+        digits = lambda x: F.regexp_replace(x, r"^0+(?=[0-9])", "")
+        number = lambda x: F.when(F.length(digits(x)) > 18, F.lit(10**18)).otherwise(digits(x).try_cast("long"))  # noqa: E731  beyond any page
         low = F.when(a != "", number(a)).otherwise(F.lit(1).cast("long"))
         high = F.when(b != "", number(b)).when(dash == "", number(a)).otherwise(F.col("pages").cast("long") if dialect == "strict" else F.lit(None).cast("long"))
         open_end = (dash == "") & (b != "") | (a == "") & (b == "")
@@ -94,8 +105,9 @@ def select_pages(pages: DataFrame, counts: DataFrame, specs: DataFrame, dialect:
     reason = F.when(F.size("parts") == 0, "empty").when(F.exists("spans", wrong), "invalid")
     reason = reason.when(F.exists("spans", outside), "out of range") if dialect == "strict" else reason.when(gone, "out of range")
     spec = spec.withColumn("reason", reason)
-    spans = spec.where(F.col("reason").isNull()).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.lo", "s.hi")
-    chosen = pages.join(spans, "doc_id").where(F.col("page_no").between(F.col("lo"), F.col("hi"))).select("doc_id", "page_no", "text").distinct()
+    # a document's spans stay together, so no page is met twice and no text is compared
+    spans = spec.where(F.col("reason").isNull()).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    chosen = pages.join(spans, "doc_id").where(F.exists("spans", lambda s: F.col("page_no").between(s["lo"], s["hi"]))).select("doc_id", "page_no", "text")
     return chosen, spec.where(F.col("reason").isNotNull()).select("doc_id", "spec", "reason")
 
 

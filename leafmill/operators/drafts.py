@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +62,8 @@ def commit_once(moves: DataFrame) -> DataFrame:
 
 def resume_list(live: DataFrame, registry: DataFrame) -> DataFrame:
     """tool, title, saved_at, rank of the live drafts of known tools, newest first (no stamp is oldest). One row a tool."""
-    rows = live.join(F.broadcast(registry), "tool")
+    newest = live.groupBy("tool").agg(F.max("saved_at").alias("saved_at"))  # the window then holds a row a known tool
+    rows = newest.join(registry, "tool")
     place = Window.orderBy(F.desc_nulls_last("saved_at"), "tool")
     return rows.select("tool", "title", "saved_at", F.row_number().over(place).alias("rank"))
 
@@ -85,17 +90,25 @@ def request_timeouts(requests: DataFrame, completions: DataFrame, limit: str) ->
 def current_page(visibility: DataFrame) -> DataFrame:
     """session, ts, seq, page: at each row the page of the highest last known ratio, the lowest page of equals.
 
-    Each page's last known ratio is carried along a session; pages are few (`pages` at most), each a windowed column.
+    A page that has not been seen counts as 0, so page 0 is the answer until some ratio is above 0. A session's rows come
+    in order and are read as a stream; what is held is the last ratio of each page that it has shown.
     """
-    own = Window.partitionBy("session").orderBy("ts", "seq")
-    known = visibility
-    names = []
-    for page in range(PAGES):
-        names.append(f"_p{page}")
-        known = known.withColumn(names[-1], F.last(F.when(F.col("page") == page, F.col("ratio")), ignorenulls=True).over(own))
-    best = F.array_max(F.array(*[F.struct(F.col(n).alias("ratio"), F.lit(-i).alias("page")) for i, n in enumerate(names)]))
-    return known.select("session", "ts", "seq", (-best["page"]).alias("page"))
-
-
-#: Pages that visibility rows name: 0 .. PAGES - 1.
-PAGES = 5
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, last, heap = None, {}, []
+        for rows in batches:
+            found = []
+            for key, page, ratio in zip(rows["session"].tolist(), rows["page"].tolist(), rows["ratio"].tolist(), strict=True):
+                if key != session:
+                    session, last, heap = key, {}, []
+                if page == page and ratio == ratio:  # neither is missing
+                    last[page] = ratio
+                    heapq.heappush(heap, (-ratio, page))
+                while heap and last[heap[0][1]] != -heap[0][0]:  # a ratio that no longer holds
+                    heapq.heappop(heap)
+                found.append(int(heap[0][1]) if heap and heap[0][0] < 0 else 0)
+            yield rows[["session", "ts", "seq"]].assign(page=pd.array(found, "Int32"))
+
+    kinds = dict(visibility.dtypes)
+    rows = visibility.select("session", "ts", "seq", "page", F.col("ratio").cast("double")).repartition("session").sortWithinPartitions("session", "ts", "seq")
+    return rows.mapInPandas(run, f"session {kinds['session']}, ts {kinds['ts']}, seq {kinds['seq']}, page int")

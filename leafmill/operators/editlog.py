@@ -65,8 +65,10 @@ def recent_top10(items: DataFrame, owner: str, at: str = "ts", tie: str = "event
 
 
 def id_seed(elements: DataFrame) -> DataFrame:
-    """next_id: one more than the largest number of ids shaped el-<n>, 1 if there is none."""
-    return elements.agg((F.coalesce(F.max(F.regexp_extract("id", r"^el-(\d{1,17})$", 1).try_cast("long")), F.lit(0)) + 1).alias("next_id"))
+    """next_id (decimal): one more than the largest number of ids shaped el-<n>, 0 if there is none; numbers of up to 37 digits."""
+    digits = F.regexp_extract("id", r"^el-0*([0-9]+)$", 1)
+    largest = F.max(F.when(digits != "", digits.cast("decimal(37,0)")))
+    return elements.agg((F.coalesce(largest, F.lit(-1)) + 1).alias("next_id"))
 
 
 def assign_ids(rows: DataFrame, next_id: int, keys: list) -> DataFrame:

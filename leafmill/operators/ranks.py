@@ -27,3 +27,22 @@ def with_rank(df: DataFrame, keys: list[Column], out: str = "rank", descending:
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     place = F.col("_start") + F.col("_at")
     return placed.join(F.broadcast(starts), "_pid").withColumn(out, F.col("_all") + 1 - place if descending else place).drop("_pid", "_at", "_start", "_all")
+
+
+def with_running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of `value` over the group's rows that stand before a row in `order`.
+
+    Rows are dealt by ranges of (group, order), so a group of any size spreads over many tasks. At most one group of a
+    range goes on from the range before: what its rows must add is a table of at most as many rows as there are ranges.
+    """
+    keys = [*group, *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "running")
+    key = F.struct(*group)
+    edges = placed.groupBy("_pid").agg(F.min(key).alias("_low"), F.max(key).alias("_high")).select(F.explode(F.array("_low", "_high")).alias("_g")).distinct()
+    sums = placed.withColumn("_g", key).join(F.broadcast(edges), "_g", "left_semi").groupBy("_g", "_pid").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_carried", F.sum("_sum").over(before)).where("_carried is not null").select("_g", "_pid", "_carried")
+    own = Window.partitionBy("_pid", "_g").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_g", key).join(F.broadcast(carried), ["_g", "_pid"], "left")
+    return rows.withColumn(out, F.coalesce("_carried", F.lit(0).cast("long")) + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("_g", "_pid", "_at", "_carried")

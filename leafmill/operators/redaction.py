@@ -38,12 +38,16 @@ def matches(text: Column, pattern: str) -> Column:
 SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def spans_in(text: Column, rules: dict[str, str] = RULES) -> Column:
+    """array<struct<type,start,end,value>> of every match of every rule in a text."""
+    text = F.coalesce(text, F.lit(""))
+    tagged = lambda kind, pattern: F.transform(F.when(text.rlike(pattern), matches(text, pattern)).otherwise(F.array().cast(SPANS)), lambda m: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return F.concat(*[tagged(kind, pattern) for kind, pattern in rules.items()])
+
+
 def detect_spans(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """doc_id, type, start, end, value of every match of every rule."""
-    text = F.coalesce("text", F.lit(""))
-    tagged = lambda kind, pattern: F.transform(F.when(text.rlike(pattern), matches(text, pattern)).otherwise(F.array().cast(SPANS)), lambda m: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    found = F.concat(*[tagged(kind, pattern) for kind, pattern in rules.items()])
-    return docs.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.type", "s.start", "s.end", "s.value")
+    return docs.select("doc_id", F.explode(spans_in(F.col("text"), rules)).alias("s")).select("doc_id", "s.type", "s.start", "s.end", "s.value")
 
 
 def page_objects(pages: DataFrame) -> DataFrame:
@@ -105,12 +109,42 @@ def redact_text(docs: DataFrame, redactions: DataFrame, salt: str = "leaf") -> D
     return rows.withColumn("text", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("text"))).withColumn("touched", F.col("spans").isNotNull()).drop("spans")
 
 
+def merged_in(spans: Column) -> Column:
+    """The union of overlapping or touching spans of an array, in order."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    step = lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), F.array().cast(kind), step)
+
+
+def apart_in(spans: Column) -> Column:
+    """Spans of an array that no longer overlap: the one that starts first (then ends last) keeps the common part."""
+    kind = "struct<reach:bigint,out:array<struct<start:bigint,end:bigint,type:string>>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["type"].alias("type"))))
+    start = lambda acc, s: F.greatest(s["start"], acc["reach"])
+    kept = lambda acc, s: F.when(-s["far"] > start(acc, s), F.concat(acc["out"], F.array(F.struct(start(acc, s).alias("start"), (-s["far"]).alias("end"), s["type"].alias("type"))))).otherwise(acc["out"])
+    begin = F.struct(F.lit(0).cast("long").alias("reach"), F.array().alias("out")).cast(kind)
+    return F.aggregate(ordered, begin, lambda acc, s: F.struct(F.greatest(acc["reach"], -s["far"]).alias("reach"), kept(acc, s).alias("out")), lambda acc: acc["out"])
+
+
+def splice_own(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+    """splice_out() of the texts' own matches of the rules, within the row: nothing is shuffled."""
+    rows = docs.withColumn("_spans", merged_in(spans_in(F.col("text"), rules)))
+    return rows.withColumn("text", F.when(F.size("_spans") > 0, _rebuilt(F.col("text"), F.col("_spans"), lambda s, old: F.lit("\n"))).otherwise(F.col("text"))).drop("_spans")
+
+
+def redact_own(docs: DataFrame, rules: dict[str, str] = RULES, salt: str = "leaf") -> DataFrame:
+    """redact_text() of the texts' own matches of the rules, within the row: nothing is shuffled."""
+    masked = {k: v for k, v in rules.items() if k != "delete"}
+    if not masked:
+        return docs.withColumn("touched", F.lit(False))
+    rows = docs.withColumn("_spans", apart_in(spans_in(F.col("text"), masked))).withColumn("touched", F.size("_spans") > 0)
+    return rows.withColumn("text", F.when(F.col("touched"), _rebuilt(F.col("text"), F.col("_spans"), lambda s, old: mask(s["type"], old, salt))).otherwise(F.col("text"))).drop("_spans")
+
+
 def apply_page_edits(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """Deletions first, then redactions, whose spans are found anew in what the deletions left."""
+    """Deletions first, then redactions, whose spans are found anew in what the deletions left; all within the row."""
     cuts = {k: v for k, v in rules.items() if k == "delete"}
-    rest = {k: v for k, v in rules.items() if k != "delete"}
-    left = splice_out(docs, detect_spans(docs, cuts)) if cuts else docs
-    return redact_text(left, detect_spans(left, rest)) if rest else left.withColumn("touched", F.lit(False))
+    return redact_own(splice_own(docs, cuts) if cuts else docs, rules)
 
 
 def redaction_summary(docs: DataFrame, redactions: DataFrame) -> DataFrame:
@@ -128,6 +162,13 @@ def redaction_audit(redacted: DataFrame, redactions: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("removed"), F.count_if(F.contains("text", "value")).alias("residual"))
 
 
+def edit_audit(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+    """redaction_audit() of apply_page_edits() by the same rules, in one pass over the documents."""
+    values = F.array_distinct(F.transform(spans_in(F.col("text"), rules), lambda s: s["value"]))
+    edited = apply_page_edits(docs.select("doc_id", "text", values.alias("_values")), rules).where(F.size("_values") > 0)
+    return edited.select("doc_id", F.size("_values").cast("long").alias("removed"), F.size(F.filter("_values", lambda v: F.contains("text", v))).cast("long").alias("residual"))
+
+
 def toggle_marks(clicks: DataFrame, objects: DataFrame) -> DataFrame:
     """object_id, marked of every object: an odd number of clicks marks it; clicks on other objects are ignored."""
     odd = clicks.groupBy("object_id").agg((F.count("*") % 2 == 1).alias("odd")).where("odd").select("object_id")

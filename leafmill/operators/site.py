@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.ranks import with_running_sum
+from leafmill.sources.store import stored
+
 #: Patterns that Java's and RE2's expressions read alike.
 LINK = r'<a [^>]*href="[^"]*"[^>]*>'
 HREF = r'href="([^"]*)"'
@@ -28,7 +31,7 @@ SEO_RULES = {
     **{k: f'<meta[^>]* property="{k}"' for k in ("og:title", "og:description", "og:url", "og:type")},
     **{k: f'<meta[^>]* name="{k}"' for k in ("twitter:card", "twitter:title", "twitter:description")},
 }
-APP_LD = r'"@type":\s*"SoftwareApplication"'
+JSON_LD = r'<script type="application/ld\+json">([^<]*)</script>'
 #: Byte limits of a page's document and scripts, and of its images.
 PAGE_LIMIT, IMAGE_LIMIT = 48_000, 15_000
 
@@ -76,7 +79,10 @@ def seo_audit(pages: DataFrame) -> DataFrame:
     heads = F.regexp_count(F.col("html"), F.lit(r"<h1[ >]"))
     broken = [F.when(heads != 1, F.struct(F.lit("h1").alias("rule"), heads.cast("string").alias("detail")))]
     broken += [F.when(~F.col("html").rlike(p), F.struct(F.lit(k).alias("rule"), F.lit("missing").alias("detail"))) for k, p in SEO_RULES.items()]
-    broken.append(F.when(~F.col("html").rlike(APP_LD) & ~F.col("url").contains("licenses"), F.struct(F.lit("software_application").alias("rule"), F.lit("missing").alias("detail"))))
+    data = every(F.col("html"), JSON_LD, 1)
+    kinds = F.transform(data, lambda b: F.get_json_object(b, "$.@type"))
+    broken.append(F.when(F.exists(data, lambda b: F.get_json_object(b, "$").isNull()), F.struct(F.lit("json_ld").alias("rule"), F.lit("invalid").alias("detail"))))
+    broken.append(F.when(~F.exists(kinds, lambda k: k.eqNullSafe(F.lit("SoftwareApplication"))) & ~F.col("url").contains("licenses"), F.struct(F.lit("software_application").alias("rule"), F.lit("missing").alias("detail"))))
     rows = audited.select("page_id", F.explode(F.filter(F.array(*broken), lambda r: r.isNotNull())).alias("r"))
     return rows.select("page_id", "r.rule", "r.detail")
 
@@ -86,7 +92,7 @@ def faq_match(pages: DataFrame) -> DataFrame:
 
     A different number of questions leaves one side null; a page with questions and no JSON-LD has every row so.
     """
-    blocks = every(F.col("html"), r'<script type="application/ld\+json">([^<]*)</script>', 1)
+    blocks = every(F.col("html"), JSON_LD, 1)
     faq = F.try_element_at(F.filter(blocks, lambda b: F.get_json_object(b, "$.@type") == "FAQPage"), F.lit(-1))
     schema = F.transform(F.from_json(F.get_json_object(faq, "$.mainEntity"), "array<struct<name:string>>"), lambda e: F.trim(e["name"]))
     shown = F.transform(every(F.col("html"), r'class="faq-(?:item|card)"[^>]*>\s*<h3[^>]*>([^<]*)</h3>', 1), lambda q: F.trim(q))
@@ -198,26 +204,43 @@ def pattern_ratchet(texts: DataFrame, column: str, pattern: str, allowed: DataFr
     return found.exceptAll(allowed).withColumn("state", F.lit("unexpected")).unionByName(allowed.distinct().exceptAll(found).withColumn("state", F.lit("missing")))
 
 
+NEW_TAB = 'target="_blank" rel="noopener noreferrer"'
+
+
+def href_problem(href: Column, new_tab: Column) -> Column:
+    """What is wrong with a link, or null."""
+    inside, outside = href.startswith("/"), href.startswith("https://")
+    return (
+        F.when(inside & new_tab, "internal link opens a new tab").when(inside & ~href.endswith("/"), "internal link without a slash")
+        .when(outside & ~new_tab, "external link without new-tab attributes").when(~inside & ~outside, "neither a site path nor https")
+    )
+
+
 def markup_lint(texts: DataFrame) -> DataFrame:
-    """id, pos, problem of texts (id, text) that may hold <strong> and <a href> only, nested in one another and closed."""
+    """id, pos, problem of texts (id, text) that may hold <strong> and <a href> only, nested in one another and closed.
+
+    First each bare ampersand, then the tags' problems in their order, a stray <, and what is left open.
+    """
     tags = every(F.col("text"), TAG)
-    kind = lambda t: F.when(t == "<strong>", "strong").when(t.rlike(r'^<a href="[^"]*"( target="_blank" rel="noopener noreferrer")?>$'), "a")
+    kind = lambda t: F.when(t == "<strong>", "strong").when(t.rlike(r'^<a href="[^"]+"( target="_blank" rel="noopener noreferrer")?>$'), "a")
     none = F.array().cast("array<string>")
 
     def step(acc: Column, tag: Column) -> Column:
         name, close = kind(tag), F.regexp_extract(tag, r"^</([a-zA-Z][a-zA-Z0-9]*)>$", 1)
         size = F.size(acc["stack"])
         top = F.when(size > 0, F.element_at(acc["stack"], F.when(size > 0, -1).otherwise(F.lit(None))))
-        new = F.when(close != "", F.when(top.eqNullSafe(close), F.lit(None)).otherwise(F.concat(F.lit("unbalanced "), tag)))
-        new = new.when(name.isNotNull(), F.when(F.array_contains(acc["stack"], name), F.concat(F.lit("nested "), name))).otherwise(F.concat(F.lit("unsupported "), tag))
+        first = F.when(close != "", F.when(top.eqNullSafe(close), F.lit(None)).otherwise(F.concat(F.lit("unbalanced "), tag)))
+        first = first.when(name.isNotNull(), F.when(F.array_contains(acc["stack"], name), F.concat(F.lit("nested "), name))).otherwise(F.concat(F.lit("unsupported "), tag))
+        link = F.when((close == "") & (name == "a"), href_problem(F.regexp_extract(tag, HREF, 1), tag.contains(NEW_TAB)))
+        new = F.array_compact(F.array(first, link))
         stack = F.when(close != "", F.slice(acc["stack"], 1, F.greatest(size - 1, F.lit(0)))).when(name.isNotNull(), F.concat(acc["stack"], F.array(name))).otherwise(acc["stack"])
-        return F.struct(stack.alias("stack"), F.when(new.isNotNull(), F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], new).alias("out"))
 
     folded = F.aggregate(tags, F.struct(none.alias("stack"), none.alias("out")), step)
     stray = F.when(F.regexp_count(F.col("text"), F.lit("<")) != F.size(tags), F.array(F.lit("stray <"))).otherwise(none)
-    bare = F.when(F.regexp_count(F.col("text"), F.lit("&")) > F.regexp_count(F.col("text"), F.lit(ENTITY)), F.array(F.lit("bare &"))).otherwise(none)
+    bare = F.array_repeat(F.lit("bare &"), F.regexp_count(F.col("text"), F.lit("&")) - F.regexp_count(F.col("text"), F.lit(ENTITY)))
     rows = texts.where("text is not null").withColumn("f", folded)
-    problems = F.concat(F.col("f.out"), bare, stray, F.transform("f.stack", lambda s: F.concat(F.lit("unclosed "), s)))
+    problems = F.concat(bare, F.col("f.out"), stray, F.transform("f.stack", lambda s: F.concat(F.lit("unclosed "), s)))
     return rows.select("id", F.posexplode(problems).alias("pos", "problem"))
 
 
@@ -229,18 +252,13 @@ def plain_text_lint(texts: DataFrame) -> DataFrame:
 
 def link_lint(pages: DataFrame) -> DataFrame:
     """page_id, href, problem: site paths end in a slash and open in place, other links are https and open a new tab."""
-    new_tab = F.col("tag").contains('target="_blank" rel="noopener noreferrer"')
-    inside, outside = F.col("href").startswith("/"), F.col("href").startswith("https://")
-    problem = (
-        F.when(inside & new_tab, "internal link opens a new tab").when(inside & ~F.col("href").endswith("/"), "internal link without a slash")
-        .when(outside & ~new_tab, "external link without new-tab attributes").when(~inside & ~outside, "neither a site path nor https")
-    )
+    problem = href_problem(F.col("href"), F.col("tag").contains(NEW_TAB))
     return page_links(pages).select("page_id", "href", problem.alias("problem")).where("problem is not null").distinct()
 
 
 def content_bounds(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """id, field, rule, actual of every field (id, field, value) outside its rule (field, least, most); rules are a few rows."""
-    rows = fields.join(F.broadcast(rules), "field").withColumn("actual", F.length(F.coalesce("value", F.lit(""))))
+    rows = fields.join(rules, "field").withColumn("actual", F.length(F.coalesce("value", F.lit(""))))
     rule = F.when(F.col("actual") < F.col("least"), "too short").when(F.col("actual") > F.col("most"), "too long")
     return rows.select("id", "field", rule.alias("rule"), "actual").where("rule is not null")
 
@@ -269,8 +287,8 @@ HUB_PART = 1_000
 
 def hub_rollup(pages: DataFrame) -> DataFrame:
     """hub, part, hrefs (in order of pos, blank-joined): at most HUB_PART of a hub's pages a part."""
-    place = F.row_number().over(Window.partitionBy("hub").orderBy("pos", "href"))
-    rows = pages.withColumn("n", place).groupBy("hub", F.floor((F.col("n") - 1) / HUB_PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", "href"))).alias("all"))
+    placed = with_running_sum(pages.withColumn("one", F.lit(1).cast("long")), ["hub"], ["pos", "href"], "one", "before")
+    rows = placed.withColumn("n", F.col("before") + 1).groupBy("hub", F.floor((F.col("n") - 1) / HUB_PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", "href"))).alias("all"))
     return rows.select("hub", "part", F.array_join("all.href", " ").alias("hrefs"))
 
 
@@ -281,12 +299,30 @@ def canonical_path(url: Column) -> Column:
     return F.when(path.endswith("/") | path.rlike(r"\.[a-z0-9]+$"), path).otherwise(F.concat(path, F.lit("/")))
 
 
-def resolve_redirects(urls: DataFrame, redirects: DataFrame, most: int = 3) -> DataFrame:
-    """url, canonical, target, hops: redirects (source, destination; a few rows) are followed up to `most` times."""
-    rows = urls.withColumn("canonical", canonical_path(F.col("url"))).withColumn("target", F.col("canonical")).withColumn("hops", F.lit(0))
-    for _ in range(most):
-        rows = rows.join(F.broadcast(redirects), F.col("target") == F.col("source"), "left").withColumn("hops", F.col("hops") + F.when(F.col("source").isNotNull(), 1).otherwise(0)).withColumn("target", F.coalesce("destination", "target")).drop("source", "destination")
-    return rows
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """source, target, hops, looped of redirects (source, destination; the smallest of several destinations counts).
+
+    Each round every source takes its destination's way in one step, so a chain of n hops takes about log2(n) rounds. A
+    source that still has a way to go after more hops than there are sources is in a loop, or leads into one.
+    """
+    own = stored(redirects.groupBy("source").agg(F.min("destination").alias("target")).withColumn("hops", F.lit(1).cast("long")), "redirects")
+    most, reach = own.count(), 1
+    while True:
+        step = own.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
+        met = own.join(step, "target", "left")
+        if reach > most or met.where("_next is not null").isEmpty():
+            return met.select("source", "target", "hops", F.col("_next").isNotNull().alias("looped"))
+        own = stored(met.select("source", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops")), "redirects")
+        reach *= 2
+
+
+def resolve_redirects(urls: DataFrame, redirects: DataFrame) -> DataFrame:
+    """urls with canonical, target, hops, looped: redirects (source, destination) are followed to their end; a loop leads nowhere."""
+    rows = urls.withColumn("canonical", canonical_path(F.col("url")))
+    ends = redirect_ends(redirects).select(F.col("source").alias("canonical"), F.col("target").alias("_to"), "hops", "looped")
+    looped = F.coalesce("looped", F.lit(False))
+    rows = rows.join(ends, "canonical", "left")
+    return rows.select(*urls.columns, "canonical", F.when(~looped, F.coalesce("_to", "canonical")).alias("target"), F.when(~looped, F.coalesce("hops", F.lit(0))).alias("hops"), looped.alias("looped"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

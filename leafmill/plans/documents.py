@@ -71,15 +71,19 @@ def asset_manifest(spark, sf):
     return D.asset_manifest(table(spark, sf, "pages"))
 
 
-@query(f"""WITH {MANIFEST}, b AS (SELECT substr(sha256(url), 1, 2) AS bucket, sha256(string_agg(url || ' ' || sha256, chr(10) ORDER BY url || ' ' || sha256)) AS h FROM manifest GROUP BY 1)
-SELECT substr(sha256(string_agg(h, '' ORDER BY bucket)), 1, 12) AS build_id FROM b""")
+@query(f"""WITH {MANIFEST}, b AS (SELECT substr(sha256(url), 1, 6) AS bucket, sha256(string_agg(url || ' ' || sha256, chr(10) ORDER BY url || ' ' || sha256)) AS h FROM manifest GROUP BY 1),
+c AS (SELECT substr(bucket, 1, 3) AS upper, sha256(string_agg(h, '' ORDER BY bucket)) AS h FROM b GROUP BY 1)
+SELECT substr(sha256(string_agg(h, '' ORDER BY upper)), 1, 12) AS build_id FROM c""")
 def asset_build_id(spark, sf):
     return D.build_id(D.asset_manifest(table(spark, sf, "pages")))
 
 
-@query("""WITH a AS (SELECT '/' AS loc, 'monthly' AS changefreq, '1.0' AS priority UNION ALL SELECT DISTINCT '/tools/' || replace(lower(p_brand), '#', '-') || '/', 'monthly', '0.9' FROM part UNION ALL SELECT DISTINCT url, 'yearly', '0.5' FROM pages),
-b AS (SELECT loc, max({'p': priority, 'c': changefreq}) AS best FROM a GROUP BY loc)
-SELECT loc, best.c AS changefreq, best.p AS priority, '<url><loc>' || loc || '</loc><changefreq>' || best.c || '</changefreq><priority>' || best.p || '</priority></url>' AS xml FROM b""")
+SITEMAP = """a AS (SELECT '/' AS loc, 'monthly' AS changefreq, '1.0' AS priority UNION ALL SELECT DISTINCT '/tools/' || replace(lower(p_brand), '#', '-') || '/', 'monthly', '0.9' FROM part UNION ALL SELECT DISTINCT url, 'yearly', '0.5' FROM pages),
+b AS (SELECT loc, max({'p': priority, 'c': changefreq}) AS best FROM a GROUP BY loc),
+sitemap AS (SELECT loc, best.c AS changefreq, best.p AS priority, '<url><loc>' || loc || '</loc><changefreq>' || best.c || '</changefreq><priority>' || best.p || '</priority></url>' AS xml FROM b)"""
+
+
+@query(f"WITH {SITEMAP} SELECT * FROM sitemap")
 def sitemap_export(spark, sf):
     tag = lambda df, freq, priority: df.distinct().select("loc", F.lit(freq).alias("changefreq"), F.lit(priority).alias("priority"))
     home = spark.range(1).select(F.lit("/").alias("loc"))
@@ -87,6 +91,12 @@ def sitemap_export(spark, sf):
     return D.sitemap_export(tag(home, "monthly", "1.0"), tag(tools, "monthly", "0.9"), tag(table(spark, sf, "pages").select(F.col("url").alias("loc")), "yearly", "0.5"))
 
 
+@query(f"""WITH {SITEMAP}, r AS (SELECT *, row_number() OVER (ORDER BY loc) AS n FROM sitemap)
+SELECT CAST((n - 1) // 300 AS BIGINT) AS shard, count(*) AS urls, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg(xml, chr(10) ORDER BY n) || chr(10) || '</urlset>' || chr(10) AS document FROM r GROUP BY (n - 1) // 300""")
+def sitemap_files(spark, sf):
+    return D.sitemap_files(sitemap_export(spark, sf), 300)
+
+
 RUNNING = f"{PAGES}, starts AS (SELECT source, doc_id, coalesce(sum(pages) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counts), numbered AS (SELECT source, doc_id, page_no, CAST(start + page_no AS BIGINT) AS running_no, text FROM doc_pages JOIN starts USING (source, doc_id))"
 
 
@@ -105,8 +115,15 @@ def select_pages(spark, sf):
     return selected(spark, sf)
 
 
-@query(f"""WITH {PAGES}, {SPEC_SQL} SELECT doc_id, spec, CASE WHEN doc_id % 6 IN (2, 3, 5) THEN 'invalid' ELSE 'out of range' END AS reason
-FROM specs JOIN counts USING (doc_id) WHERE doc_id % 6 IN (2, 3, 5)""")
+@query(f"""WITH {PAGES}, {SPEC_SQL}, parts AS (
+  SELECT s.doc_id, spec, pages, CASE WHEN trim(spec) = '' THEN ['1-' || pages] ELSE list_filter(list_transform(string_split(spec, ','), lambda x: trim(x)), lambda x: x <> '') END AS parts FROM specs s JOIN counts USING (doc_id)
+), spans AS (SELECT doc_id, spec, pages, unnest(parts) AS part FROM parts
+), ends AS (
+  SELECT *, regexp_matches(part, '^\\d+\\s*(-\\s*\\d+)?$') AS fine, CAST(regexp_extract(part, '^(\\d+)', 1) AS VARCHAR) AS a, CASE WHEN contains(part, '-') THEN regexp_extract(part, '(\\d+)$', 1) ELSE regexp_extract(part, '^(\\d+)', 1) END AS b FROM spans
+), judged AS (
+  SELECT doc_id, spec, bool_and(fine) AS fine, bool_and(fine AND (greatest(try_cast(a AS BIGINT), try_cast(b AS BIGINT)) < 1 OR least(try_cast(a AS BIGINT), try_cast(b AS BIGINT)) > pages)) AS gone FROM ends GROUP BY ALL
+), none AS (SELECT doc_id, spec FROM parts WHERE len(parts) = 0)
+SELECT doc_id, spec, 'empty' AS reason FROM none UNION ALL SELECT doc_id, spec, CASE WHEN NOT fine THEN 'invalid' ELSE 'out of range' END FROM judged WHERE NOT fine OR gone""")
 def select_pages_errors(spark, sf):
     return D.select_pages(doc_pages(docs(spark, sf)), page_counts(docs(spark, sf)), specs(spark, sf), "clamping")[1]
 
@@ -178,7 +195,7 @@ def files(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", name.alias("name"), F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
 
 
-@query(f"""WITH {FILES}, k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), '') AS key FROM files)
+@query(f"""WITH {FILES}, k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '') AS key FROM files)
 SELECT o_orderkey, name, row_number() OVER (ORDER BY key DESC, o_orderkey DESC) AS rank FROM k""")
 def sort_natural(spark, sf):
     return D.sort_natural(files(spark, sf).select("o_orderkey", "name"), "name", "o_orderkey", descending=True)

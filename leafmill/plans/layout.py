@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.functions.scalars import rgb
 from leafmill.operators import budget as B
 from leafmill.operators import geometry as G
 from leafmill.operators import text as T
@@ -32,22 +33,21 @@ u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bytes, tier, k)
 b AS (SELECT doc_id, tier, quality, bytes + 300 * pages AS bytes FROM f WHERE n = 1 UNION ALL SELECT doc_id, tier, quality, bytes + 300 * pages FROM u WHERE n = 1)
 SELECT doc_id, tier, quality, bytes, bytes <= 2000 AS met_target FROM b UNION ALL SELECT doc_id, 0, NULL, n_chars, true FROM d WHERE n_chars <= 2000""")
 def fit_to_budget(spark, sf):
-    pages = page_counts(docs(spark, sf)).select("doc_id", "pages")
-    return B.fit_to_budget(docs(spark, sf).select("doc_id", "n_chars").join(pages, "doc_id"), B.renditions(docs(spark, sf).where(F.col("n_chars") > TARGET)), TARGET)
+    return B.fit_own(page_counts(docs(spark, sf), more=["n_chars"]), TARGET)
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(regexp_extract(text, '[A-Za-z\x{0591}-\x{07FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]'), '^[A-Za-z]') THEN 'ltr' WHEN regexp_extract(text, '[A-Za-z\x{0591}-\x{07FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]') <> '' THEN 'rtl' WHEN regexp_matches(text, '^[0-9\s/\-.:,()+]+$') THEN 'ltr' WHEN doc_id % 2 = 0 THEN 'rtl' ELSE 'ltr' END AS dir
-FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 1) ELSE regexp_replace(text, '[A-Za-z]', '', 'g') END AS text FROM documents)""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text ELSE regexp_replace(text, '[A-Za-z]', '', 'g') END AS text FROM documents)""")
 def text_direction(spark, sf):
-    text = F.when(F.col("doc_id") % 7 == 0, F.substring("text", 1, 1)).otherwise(F.regexp_replace("text", "[A-Za-z]", ""))
+    text = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.regexp_replace("text", "[A-Za-z]", ""))
     return T.text_direction(docs(spark, sf).select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 2 == 0, "rtl").alias("stored")), "stored")
 
 
 FONTS = [*[(f, True, f in ("Gveret Levin", "Playpen Sans Hebrew")) for f in T.HEBREW_FONTS], ("Caveat", False, True), ("Inter", False, False)]
 
 
-@query("""SELECT doc_id AS id, requested, CASE WHEN doc_id % 3 > 0 THEN coalesce(nullif(requested, ''), 'Arimo') WHEN requested = 'Caveat' THEN 'Gveret Levin' WHEN requested = 'Heebo' THEN 'Heebo' ELSE 'Arimo' END AS resolved
-FROM (SELECT doc_id, ['Caveat', 'Inter', 'Heebo', '', 'Unknown'][doc_id % 5 + 1] AS requested FROM documents)""")
+@query("""SELECT doc_id AS id, requested, CASE WHEN NOT coalesce(regexp_matches(text, '[\\x{0590}-\\x{05FF}\\x{FB1D}-\\x{FB4F}]'), false) THEN coalesce(nullif(requested, ''), 'Arimo') WHEN requested = 'Caveat' THEN 'Gveret Levin' WHEN requested = 'Heebo' THEN 'Heebo' ELSE 'Arimo' END AS resolved
+FROM (SELECT doc_id, ['Caveat', 'Inter', 'Heebo', '', 'Unknown'][doc_id % 5 + 1] AS requested, CASE WHEN doc_id % 3 = 0 THEN 'א' || text ELSE text END AS text FROM documents)""")
 def font_fallback(spark, sf):
     fonts = spark.createDataFrame(FONTS, "family string, hebrew boolean, handwriting boolean")
     requested = F.element_at(F.array(*map(F.lit, ["Caveat", "Inter", "Heebo", "", "Unknown"])), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -111,3 +111,35 @@ def clamp_elements(spark, sf):
 @query(f"""WITH {ELEMENTS} SELECT doc, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height FROM elements GROUP BY doc""")
 def object_bounds(spark, sf):
     return G.object_bounds(placed(spark, sf), ["doc"])
+
+
+@query(f"""WITH {ELEMENTS}, b AS (SELECT *, CAST(0.5 AS DOUBLE) + page_index AS a, CAST(doc % 3 - 1 AS DOUBLE) AS s FROM elements WHERE width IS NOT NULL),
+c AS (SELECT *, a * "left" + -s * top + 10 AS x1, a * ("left" + width) + -s * top + 10 AS x2, a * "left" + -s * (top + height) + 10 AS x3, a * ("left" + width) + -s * (top + height) + 10 AS x4,
+  s * "left" + a * top - 5 AS y1, s * ("left" + width) + a * top - 5 AS y2, s * "left" + a * (top + height) - 5 AS y3, s * ("left" + width) + a * (top + height) - 5 AS y4 FROM b)
+SELECT id, least(x1, x2, x3, x4) AS min_x, least(y1, y2, y3, y4) AS min_y, greatest(x1, x2, x3, x4) AS max_x, greatest(y1, y2, y3, y4) AS max_y, width * CAST(1.5 AS DOUBLE) * (CAST(612 AS DOUBLE) / 792) AS height_pct FROM c""")
+def transform_boxes(spark, sf):
+    a, s = F.lit(0.5) + F.col("page_index"), (F.col("doc") % 3 - 1).cast("double")
+    x, y = F.col("left"), F.col("top")
+    ends = G.affine_box([a, s, -s, a, F.lit(10.0), F.lit(-5.0)], x, y, x + F.col("width"), y + F.col("height"))
+    high = G.height_percent(F.col("width"), F.lit(1.5), F.lit(G.PAGE_WIDTH), F.lit(G.PAGE_HEIGHT))
+    return placed(spark, sf).where("width is not null").select("id", *[e.alias(n) for e, n in zip(ends, ("min_x", "min_y", "max_x", "max_y"), strict=True)], high.alias("height_pct"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN 'red' WHEN l_partkey % 5 = 1 THEN '' ELSE '#' || printf('%02x%02X%02x', l_partkey % 256, l_suppkey % 256, l_linenumber * 30) END AS colour FROM lineitem),
+h AS (SELECT *, CASE WHEN starts_with(colour, '#') THEN colour ELSE '#000000' END AS hex FROM c)
+SELECT l_orderkey, l_linenumber, CAST('0x' || substr(hex, 2, 2) AS INTEGER) / CAST(255 AS DOUBLE) AS r, CAST('0x' || substr(hex, 4, 2) AS INTEGER) / CAST(255 AS DOUBLE) AS g, CAST('0x' || substr(hex, 6, 2) AS INTEGER) / CAST(255 AS DOUBLE) AS b FROM h""")
+def element_colours(spark, sf):
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    colour = F.when(part % 5 == 0, "red").when(part % 5 == 1, "").otherwise(F.concat(F.lit("#"), F.lower(two(part % 256)), two(supplier % 256), two(F.col("l_linenumber") * 30)))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rgb(colour).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+FAMILIES = ["Arimo", "Heebo", "Pacifico", "Unknown"]
+
+
+@query("""SELECT doc_id, family, CASE WHEN family = 'Unknown' THEN CAST(PADDING AS DOUBLE) ELSE greatest(CAST(PADDING AS DOUBLE), greatest(0, (CASE family WHEN 'Arimo' THEN CAST(0.905 AS DOUBLE) + CAST(0.212 AS DOUBLE) WHEN 'Heebo' THEN CAST(1.048 AS DOUBLE) + CAST(0.421 AS DOUBLE) ELSE CAST(1.303 AS DOUBLE) + CAST(0.453 AS DOUBLE) END - CAST(LINE AS DOUBLE)) / 2) + CAST(0.06 AS DOUBLE)) END AS padding
+FROM (SELECT doc_id, ['Arimo', 'Heebo', 'Pacifico', 'Unknown'][doc_id % 4 + 1] AS family FROM documents)""".replace("PADDING", str(T.LEAST_PADDING)).replace("LINE", str(T.LINE_HEIGHT)))
+def text_padding(spark, sf):
+    texts = docs(spark, sf).select("doc_id", F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("doc_id") % 4 + 1).cast("int")).alias("family"))
+    return T.box_padding(texts, spark.createDataFrame(T.METRICS, "family string, ascent double, descent double"))

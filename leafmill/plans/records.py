@@ -70,10 +70,10 @@ def recent_top10(spark, sf):
     return G.recent_top10(events(spark, sf).where("event_type = 'purchase'"), "user_id").select("user_id", "event_id", "rank")
 
 
-@query("SELECT max(CAST(substr(id, 4) AS BIGINT)) + 1 AS next_id FROM (SELECT CASE WHEN l_linenumber = 1 THEN 'el-' || l_orderkey ELSE 'el-x' || l_orderkey END AS id FROM lineitem) WHERE regexp_matches(id, '^el-\\d+$')")
+@query("SELECT CAST(coalesce(max(CAST(substr(id, 4) AS BIGINT)), -1) + 1 AS BIGINT) AS next_id FROM (SELECT CASE WHEN l_linenumber = 1 THEN 'el-' || l_orderkey ELSE 'el-x' || l_orderkey END AS id FROM lineitem) WHERE regexp_matches(id, '^el-\\d+$')")
 def id_seed(spark, sf):
     key = F.col("l_orderkey").cast("string")
-    return G.id_seed(table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("el-"), key)).otherwise(F.concat(F.lit("el-x"), key)).alias("id")))
+    return G.id_seed(table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("el-"), key)).otherwise(F.concat(F.lit("el-x"), key)).alias("id"))).select(F.col("next_id").cast("long"))
 
 
 @query("SELECT o_orderkey, 'el-' || (row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 100) AS id FROM orders")
@@ -171,11 +171,9 @@ def request_timeouts(spark, sf):
     return H.request_timeouts(rows.where("event_type = 'view'"), rows.where("event_type = 'click'"), "interval 6 hours")
 
 
-LASTS = ", ".join(f"last_value(CASE WHEN page = {p} THEN ratio END IGNORE NULLS) OVER w AS p{p}" for p in range(H.PAGES))
-
-
-@query(f"""WITH v AS (SELECT user_id AS session, ts, event_id AS seq, {K} % 5 AS page, value / 491 AS ratio FROM events), l AS (SELECT session, ts, seq, {LASTS} FROM v WINDOW w AS (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)), g AS (SELECT *, greatest(p0, p1, p2, p3, p4) AS top FROM l)
-SELECT session, ts, seq, CASE WHEN p0 = top THEN 0 WHEN p1 = top THEN 1 WHEN p2 = top THEN 2 WHEN p3 = top THEN 3 ELSE 4 END AS page FROM g""")
+@query(f"""WITH v AS (SELECT user_id AS session, ts, event_id AS seq, {K} AS page, value / 491 - CAST(0.2 AS DOUBLE) AS ratio FROM events),
+known AS (SELECT a.session, a.ts, a.seq, b.page, arg_max(b.ratio, (b.ts, b.seq)) AS ratio FROM v a JOIN v b ON b.session = a.session AND (b.ts, b.seq) <= (a.ts, a.seq) GROUP BY ALL)
+SELECT session, ts, seq, CAST(CASE WHEN max(ratio) > 0 THEN arg_max(page, (ratio, -page)) ELSE 0 END AS INTEGER) AS page FROM known GROUP BY ALL""")
 def current_page(spark, sf):
     rows = events(spark, sf)
-    return H.current_page(rows.select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), (event_key(rows) % 5).alias("page"), (F.col("value") / 491).alias("ratio")))
+    return H.current_page(rows.select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), event_key(rows).alias("page"), (F.col("value") / 491 - 0.2).alias("ratio")))

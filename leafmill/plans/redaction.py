@@ -54,7 +54,7 @@ FROM {source} d LEFT JOIN (SELECT doc_id, list(start ORDER BY start) AS s, list(
 
 @query(f"WITH {MERGED} SELECT * FROM {cut_sql('documents', 'merged')}")
 def splice_out(spark, sf):
-    return R.splice_out(docs(spark, sf).select("doc_id", "text"), R.detect_spans(docs(spark, sf)))
+    return R.splice_own(docs(spark, sf).select("doc_id", "text"))
 
 
 def masked_sql(source: str, spans: str) -> str:
@@ -67,7 +67,7 @@ redacted AS (SELECT doc_id, coalesce(head || substr(text, last + 1), text) AS te
 
 @query(f"WITH {SPANS}, {masked_sql('documents', 'spans')} SELECT * FROM redacted")
 def redact_text(spark, sf):
-    return R.redact_text(docs(spark, sf).select("doc_id", "text"), R.detect_spans(docs(spark, sf)))
+    return R.redact_own(docs(spark, sf).select("doc_id", "text"))
 
 
 DELETED = {k: v for k, v in R.RULES.items() if k == "delete"}
@@ -87,9 +87,10 @@ def redaction_summary(spark, sf):
     return R.redaction_summary(docs(spark, sf), R.detect_spans(docs(spark, sf)))
 
 
-@query(f"WITH {SPANS} SELECT doc_id, count(DISTINCT value) AS removed, CAST(0 AS BIGINT) AS residual FROM spans GROUP BY doc_id")
+@query(f"""WITH {SPANS}, {EDITED} SELECT v.doc_id, count(*) AS removed, count(*) FILTER (WHERE contains(r.text, v.value)) AS residual
+FROM (SELECT DISTINCT doc_id, value FROM spans) v JOIN redacted r USING (doc_id) GROUP BY v.doc_id""")
 def redaction_audit(spark, sf):
-    return R.redaction_audit(R.apply_page_edits(docs(spark, sf).select("doc_id", "text")), R.detect_spans(docs(spark, sf)))
+    return R.edit_audit(docs(spark, sf))
 
 
 @query(f"""WITH {IDS}, clicks AS (SELECT 'obj-' || (user_id % 250) || '-' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 7) AS object_id FROM events WHERE event_type = 'click'),

@@ -14,7 +14,7 @@ from leafmill.plans.registry import query
 from leafmill.sources.tables import event_key, table
 
 HEAD = """concat(CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="/c/">' ELSE '' END, CASE WHEN page_id % 3 = 0 THEN '<meta name="description" content="about"><meta property="og:title" content="t"><meta name="twitter:card" content="c">' ELSE '' END,
- CASE WHEN page_id % 4 = 0 THEN '<script type="application/ld+json">{"@type": "SoftwareApplication"}</script>' ELSE '' END, CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@type": "FAQPage", "mainEntity": [{"name": "First?"}, {"name": "Second?"}]}</script>' ELSE '' END,
+ CASE WHEN page_id % 4 = 0 THEN '<script type="application/ld+json">{"@type": "SoftwareApplication"}</script>' ELSE '' END, CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@type": "FAQPage", "mainEntity": [{"name": "First?"}, {"name": "Second?"}]}</script>' ELSE '' END, CASE WHEN page_id % 7 = 0 THEN '<script type="application/ld+json">{"@type": </script>' ELSE '' END,
  CASE WHEN page_id % 3 = 1 THEN '<meta http-equiv="Content-Security-Policy" content="default-src; style-src x sha256-y">' ELSE '' END,
  '<style>@layer utilities{.btn{color:red}.pad-', CAST(page_id % 40 AS INT), '{margin:1px}}.ghost{top:0}._box_ab1_2{left:0}</style></head>')"""
 BODY = """concat('<div class="btn pad-', CAST(page_id AS INT), ' mod-x &amp;raw" style="top:', CAST(page_id AS INT), 'px">x</div><section class="faq-item"><h3>First?</h3></section><img srcset="/img/', CAST(page_id AS INT), '-s.png 1x, /img/', CAST(page_id AS INT), '-l.png 2x"><img loading="lazy" src="/img/z.png"><script src="/js/', CAST(page_id AS INT), '.js"></script>',
@@ -32,8 +32,9 @@ RULES = " UNION ALL ".join(
 )
 
 
-@query(f"""WITH {SITE}, a AS (SELECT * FROM site WHERE NOT contains(url, '404') AND NOT contains(url, 'google'))
-SELECT page_id, 'h1' AS rule, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS VARCHAR) AS detail FROM a WHERE len(regexp_extract_all(html, '<h1[ >]')) <> 1 UNION ALL {RULES} UNION ALL SELECT page_id, 'software_application', 'missing' FROM a WHERE NOT regexp_matches(html, '{S.APP_LD}') AND NOT contains(url, 'licenses')""")
+@query(f"""WITH {SITE}, a AS (SELECT * FROM site WHERE NOT contains(url, '404') AND NOT contains(url, 'google')), ld AS (SELECT *, regexp_extract_all(html, '{S.JSON_LD}', 1) AS data FROM a)
+SELECT page_id, 'h1' AS rule, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS VARCHAR) AS detail FROM a WHERE len(regexp_extract_all(html, '<h1[ >]')) <> 1 UNION ALL {RULES} UNION ALL SELECT page_id, 'json_ld', 'invalid' FROM ld WHERE len(list_filter(data, lambda b: NOT json_valid(b))) > 0
+UNION ALL SELECT page_id, 'software_application', 'missing' FROM ld WHERE len(list_filter(data, lambda b: CASE WHEN json_valid(b) THEN json_extract_string(b, '$."@type"') = 'SoftwareApplication' ELSE false END)) = 0 AND NOT contains(url, 'licenses')""")
 def seo_audit(spark, sf):
     return S.seo_audit(site(spark, sf))
 
@@ -110,9 +111,21 @@ def pattern_ratchet(spark, sf):
     return S.pattern_ratchet(table(spark, sf, "documents"), "text", "[A-Z][a-z]+[A-Z][a-z]+|GNU [A-Z][a-z]+", spark.createDataFrame([("GNU General",), ("GNU Lesser",)], "token string"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SITE}, t AS (SELECT page_id AS id, html AS text, regexp_extract_all(html, '<[^>]*>') AS tags FROM site WHERE html IS NOT NULL),
+f AS (
+  SELECT id, tags, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS stack, CAST([] AS VARCHAR[]) AS found FROM t
+  UNION ALL
+  SELECT id, tags, i + 1, CASE WHEN close <> '' THEN stack[1:len(stack) - 1] WHEN name IS NOT NULL THEN list_append(stack, name) ELSE stack END,
+    list_concat(found, list_filter([CASE WHEN close <> '' THEN CASE WHEN len(stack) > 0 AND stack[len(stack)] = close THEN NULL ELSE 'unbalanced ' || tag END WHEN name IS NOT NULL THEN CASE WHEN list_contains(stack, name) THEN 'nested ' || name END ELSE 'unsupported ' || tag END,
+      CASE WHEN close = '' AND name = 'a' THEN CASE WHEN starts_with(href, '/') AND fresh THEN 'internal link opens a new tab' WHEN starts_with(href, '/') AND href NOT LIKE '%/' THEN 'internal link without a slash' WHEN starts_with(href, 'https://') AND NOT fresh THEN 'external link without new-tab attributes' WHEN NOT starts_with(href, '/') AND NOT starts_with(href, 'https://') THEN 'neither a site path nor https' END END], lambda p: p IS NOT NULL))
+  FROM (SELECT *, tags[i + 1] AS tag, regexp_extract(tags[i + 1], '^</([a-zA-Z][a-zA-Z0-9]*)>$', 1) AS close, regexp_extract(tags[i + 1], 'href="([^"]*)"', 1) AS href, contains(tags[i + 1], 'target="_blank" rel="noopener noreferrer"') AS fresh,
+    CASE WHEN tags[i + 1] = '<strong>' THEN 'strong' WHEN regexp_matches(tags[i + 1], '^<a href="[^"]+"( target="_blank" rel="noopener noreferrer")?>$') THEN 'a' END AS name FROM f WHERE i < len(tags))
+), whole AS (
+  SELECT id, list_concat(list_transform(range(len(regexp_extract_all(text, '&')) - len(regexp_extract_all(text, '{S.ENTITY}'))), lambda x: 'bare &'), found, CASE WHEN len(regexp_extract_all(text, '<')) <> len(t.tags) THEN ['stray <'] ELSE CAST([] AS VARCHAR[]) END, list_transform(stack, lambda s: 'unclosed ' || s)) AS problems
+  FROM f JOIN t USING (id) WHERE i = len(f.tags)
+) SELECT id, CAST(unnest(range(len(problems))) AS INTEGER) AS pos, unnest(problems) AS problem FROM whole""")
 def markup_lint(spark, sf):
-    return S.markup_lint(table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1).alias("text")))
+    return S.markup_lint(site(spark, sf).select(F.col("page_id").alias("id"), F.col("html").alias("text")))
 
 
 @query(f"""WITH t AS (SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN html ELSE regexp_replace(html, '<[^>]*>', '', 'g') END AS text FROM pages) SELECT id, 'markup' AS problem FROM t WHERE contains(text, '<') UNION ALL SELECT id, 'entity' FROM t WHERE regexp_matches(text, '{S.ENTITY}')""")
@@ -168,7 +181,7 @@ def hub_rollup(spark, sf):
     return S.hub_rollup(table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("hub"), F.col("page_id").alias("pos"), F.col("url").alias("href")))
 
 
-@query(rf"""WITH {PATHS}, c AS (SELECT page_id, url, {CANON} AS canonical FROM paths) SELECT page_id, url, canonical, CASE WHEN regexp_matches(canonical, '^/[a-z]+/4\d+/$') THEN '/b/' ELSE canonical END AS target, CASE WHEN regexp_matches(canonical, '^/[a-z]+/4\d+/$') THEN 2 ELSE 0 END AS hops FROM c""")
+@query(rf"""WITH {PATHS}, c AS (SELECT page_id, url, {CANON} AS canonical FROM paths) SELECT page_id, url, canonical, CASE WHEN regexp_matches(canonical, '^/[a-z]+/4\d+/$') THEN '/b/' ELSE canonical END AS target, CASE WHEN regexp_matches(canonical, '^/[a-z]+/4\d+/$') THEN 2 ELSE 0 END AS hops, false AS looped FROM c""")
 def resolve_redirects(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     found = pages.select(S.canonical_path(F.col("url")).alias("source")).where(F.col("source").rlike(r"^/[a-z]+/4\d+/$")).distinct().select("source", F.lit("/a/").alias("destination"))

@@ -45,9 +45,9 @@ def doc_pages(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
     return docs.select("source", "doc_id", F.posexplode(pages).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
 
 
-def page_counts(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
-    """source, doc_id, pages without making the pages."""
-    return docs.select("source", "doc_id", F.floor((F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1) / lines).cast("int").alias("last")).select("source", "doc_id", (F.col("last") + 1).alias("pages"))
+def page_counts(docs: DataFrame, lines: int = PAGE_LINES, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """source, doc_id, pages (and more columns of docs) without making the pages."""
+    return docs.select("source", "doc_id", *more, F.floor((F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1) / lines).cast("int").alias("last")).select("source", "doc_id", *more, (F.col("last") + 1).alias("pages"))
 
 
 def event_key(events: DataFrame) -> Column:
