@@ -87,7 +87,11 @@ LATEST = DRAFTS + ", latest AS (SELECT key, saved_at, payload FROM (SELECT *, ro
 
 
 def drafts(spark, sf):
-    return events(spark, sf).select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 11 > 0, F.col("ts")).alias("saved_at"), F.col("value").alias("payload"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"))
+    return drafts_of(events(spark, sf))
+
+
+def drafts_of(rows):
+    return rows.select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 11 > 0, F.col("ts")).alias("saved_at"), F.col("value").alias("payload"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"))
 
 
 def moment(text: str):

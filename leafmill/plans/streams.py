@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.plans.records import BURSTS, K
+from leafmill.plans.records import BURSTS, K, drafts_of
 from leafmill.plans.registry import ORACLES, query
 from leafmill.sources.tables import edit_log, event_key
 from leafmill.streaming import jobs as J
@@ -34,10 +34,26 @@ def debounce_saves_stream(spark, sf):
     return found.withColumn("burst_start", F.col("burst_start").cast("timestamp_ntz")).withColumn("burst_end", F.col("burst_end").cast("timestamp_ntz"))
 
 
-@query(f"SELECT DISTINCT user_id || '-' || {K} AS gesture FROM events")
+@query(f"""WITH g AS (SELECT user_id || '-' || {K} AS gesture, ts, event_id, value FROM events),
+b AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY gesture ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY gesture ORDER BY ts, event_id) + INTERVAL 6 HOUR, true) AS fresh FROM g))
+SELECT gesture, arg_max(value, (ts, event_id)) AS patch, max(ts) AS ts FROM b GROUP BY gesture, burst HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def commit_once_stream(spark, sf):
     rows = ordered(spark, sf)
-    return J.drained(J.commit_once_stream(rows.select(F.concat_ws("-", F.col("user_id").cast("string"), event_key(rows).cast("string")).alias("gesture"), "ts")), "commits").select("gesture").distinct()
+    moves = rows.select(F.concat_ws("-", F.col("user_id").cast("string"), event_key(rows).cast("string")).alias("gesture"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("patch"))
+    return J.drained(J.commit_once_stream(moves, "6 hours"), "commits").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(ORACLES["drop_superseded"])
+def drop_superseded_stream(spark, sf):
+    stateful(spark)
+    rows = ordered(spark, sf)
+    return J.drained(J.drop_superseded_stream(rows.select(F.col("user_id").alias("slot"), event_key(rows).cast("long").alias("generation"), "ts", F.col("event_id").alias("seq"))), "superseded").withColumn("generation", F.col("generation").cast("int"))
+
+
+@query(ORACLES["latest_draft"])
+def latest_draft_stream(spark, sf):
+    stateful(spark)
+    return J.latest_writes(J.drained(J.latest_draft_stream(drafts_of(ordered(spark, sf))), "drafts"))
 
 
 @query(ORACLES["fold_edits"])

@@ -79,9 +79,68 @@ def debounce_stream(edits: DataFrame, gap: str) -> DataFrame:
     return debounce_saves(edits, gap)
 
 
-def commit_once_stream(moves: DataFrame) -> DataFrame:
-    """One row a gesture among rows that are no further apart than the lateness allows."""
-    return moves.dropDuplicatesWithinWatermark(["gesture"])
+def commit_once_stream(moves: DataFrame, gap: str) -> DataFrame:
+    """gesture, patch, ts: one commit of the last patch for each run of a gesture's moves without a pause of `gap`."""
+    rows = moves.groupBy("gesture", F.session_window("ts", gap).alias("w")).agg(F.max_by("patch", F.struct("ts", "seq")).alias("patch"), F.max("ts").alias("last"))
+    return rows.select("gesture", "patch", F.col("last").alias("ts"))
+
+
+class Newest(StatefulProcessor):
+    """The newest generation that a slot has asked for; a result of an older one is superseded."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "generation long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, out = self.newest.get()[0] if self.newest.exists() else None, []
+        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            newest = int(row.generation) if newest is None else max(newest, int(row.generation))
+            out.append((key[0], int(row.generation), row.seq, row.generation == newest))
+        self.newest.update((newest,))
+        yield pd.DataFrame(out, columns=["slot", "generation", "seq", "kept"])
+
+    def close(self) -> None:
+        pass
+
+
+def drop_superseded_stream(results: DataFrame) -> DataFrame:
+    """slot, generation, seq, kept of results (slot, generation, ts, seq)."""
+    return results.groupBy("slot").transformWithStateInPandas(Newest(), "slot long, generation long, seq long, kept boolean", "Append", "None")
+
+
+class LatestDraft(StatefulProcessor):
+    """A key's last write; gives it, with a version, after each batch that changed it. A write without a stamp is the oldest."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.draft = handle.getValueState("draft", "version long, micros long, seq long, payload double, deleted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.draft.get() if self.draft.exists() else None
+        place = lambda d: (d[1] is not None, d[1] or 0, d[2])
+        new = old
+        for row in pd.concat(list(rows)).itertuples():
+            micros = None if pd.isna(row.saved_at) else row.saved_at.value // 1_000
+            draft = (0 if old is None else old[0], micros, int(row.seq), None if pd.isna(row.payload) else float(row.payload), bool(row.deleted))
+            if new is None or place(draft) > place(new):
+                new = draft
+        if new is not old:
+            new = (new[0] + 1, *new[1:])
+            self.draft.update(new)
+            yield pd.DataFrame([(key[0], new[0], new[1], new[3], new[4])], columns=["key", "version", "micros", "payload", "deleted"]).astype({"micros": "Int64", "payload": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_draft_stream(drafts: DataFrame) -> DataFrame:
+    """key, version, micros (of saved_at), payload, deleted of drafts (key, saved_at, payload, deleted, seq), whenever a key's last write changes."""
+    return drafts.groupBy("key").transformWithStateInPandas(LatestDraft(), "key long, version long, micros long, payload double, deleted boolean", "Append", "None")
+
+
+def latest_writes(changes: DataFrame) -> DataFrame:
+    """key, saved_at, payload of each key's last change, without deleted ones."""
+    last = changes.groupBy("key").agg(F.max_by(F.struct("micros", "payload", "deleted"), "version").alias("d")).where("not d.deleted")
+    return last.select("key", F.timestamp_micros("d.micros").cast("timestamp_ntz").alias("saved_at"), "d.payload")
 
 
 class FoldEdits(StatefulProcessor):

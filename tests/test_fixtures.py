@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions.scalars import name_date, natural_key, size_label
+from leafmill.functions.scalars import name_date, natural_key, rgb, size_label
 from leafmill.operators import budget, documents, drafts, editlog, geometry, redaction, site
 from leafmill.operators import text as words
 from leafmill.sources.tables import doc_pages, page_counts
@@ -193,3 +193,58 @@ def test_redirects_and_paths(spark):
     urls = spark.createDataFrame([("https://x.org/a/index.html?q#f",), ("/b",), ("/old/?x",), ("/file.pdf",)], "url string")
     rows = site.resolve_redirects(urls, spark.createDataFrame([("/old/", "/mid/"), ("/mid/", "/new/")], "source string, destination string"))
     assert values(rows, "url", "canonical", "target", "hops") == [("/b", "/b/", "/b/", 0), ("/file.pdf", "/file.pdf", "/file.pdf", 0), ("/old/?x", "/old/", "/new/", 2), ("https://x.org/a/index.html?q#f", "/a/", "/a/", 0)]
+
+
+def test_any_page_and_pages_not_seen(spark):
+    rows = [(1, 0, 7, 0.9), (1, 1, 2, 0.9), (1, 2, 7, 0.1), (1, 3, 2, 0.05), (1, 4, None, 0.9), (2, 0, 3, 0.0), (2, 1, 9, 0.5), (2, 2, 9, 0.0)]
+    df = spark.createDataFrame([(s, t, t, p, r) for s, t, p, r in rows], "session long, ts long, seq long, page int, ratio double")
+    assert values(drafts.current_page(df), "session", "ts", "page") == [(1, 0, 7), (1, 1, 2), (1, 2, 2), (1, 3, 7), (1, 4, 7), (2, 0, 0), (2, 1, 9), (2, 2, 0)]
+
+
+def test_numbers_of_any_length(spark):
+    names = ["a1000000000000000000002", "a1000000000000000000001", "a0009", "a10", "ŝ2", "S1", "Ærø"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n")), "n")
+    found = [r.n for r in df.collect()]
+    assert found[:4] == ["a0009", "a10", "a1000000000000000000001", "a1000000000000000000002"] and found[-2:] == ["S1", "ŝ2"]
+    docs = spark.createDataFrame([("s", 1, "x")], DOC)
+    pick = lambda spec: documents.select_pages(doc_pages(docs), page_counts(docs), spark.createDataFrame([(1, spec)], "doc_id long, spec string"))
+    assert pick("0000000001")[0].count() == 1 and pick("1" * 30)[1].first().reason == "out of range"
+    ids = lambda *x: int(editlog.id_seed(spark.createDataFrame([(i,) for i in x], "id string")).first().next_id)
+    assert (ids("x", None), ids("el-0"), ids("el-7", "el-007x"), ids("el-100000000000000000000")) == (0, 1, 8, 10**20 + 1)
+
+
+def test_long_and_looped_redirects(spark):
+    chain = [(f"/{i}/", f"/{i + 1}/") for i in range(20)] + [("/x/", "/y/"), ("/y/", "/x/"), ("/z/", "/x/")]
+    rows = site.resolve_redirects(spark.createDataFrame([("/0/",), ("/19/",), ("/z/",), ("/q/",)], "url string"), spark.createDataFrame(chain, "source string, destination string"))
+    assert sorted((r.url, r.target, r.hops, r.looped) for r in rows.collect()) == [("/0/", "/20/", 20, False), ("/19/", "/20/", 1, False), ("/q/", "/q/", 0, False), ("/z/", None, None, True)]
+
+
+@pytest.mark.parametrize("text,problems", [("a & b & c", ["bare &", "bare &"]), ('<a href="http://x">y</a>', ["neither a site path nor https"]), ('<a href="">y</a>', ['unsupported <a href="">', "unbalanced </a>"]), ('<a href="/x">y</a> &', ["bare &", "internal link without a slash"])])
+def test_links_in_markup(spark, text, problems):
+    assert [r.problem for r in site.markup_lint(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("pos").collect()] == problems
+
+
+def test_collections_span_ranges(spark):
+    docs = spark.createDataFrame([("hot" if i % 3 else f"s{i}", i, "\n".join(["x"] * (i % 25))) for i in range(200)], DOC)
+    found = documents.paginate(docs, doc_pages(docs)).where("source = 'hot'").orderBy("running_no").collect()
+    assert [r.running_no for r in found] == list(range(1, len(found) + 1)) and [r.doc_id for r in found] == sorted(r.doc_id for r in found)
+
+
+def test_spans_within_the_row_equal_joined_ones(spark):
+    docs = spark.createDataFrame([(1, "a.b@c.org 10.0.0.1 x 1234567812345678 This work is licensed to y"), (2, "none"), (3, None), (4, "9.9.9.9@mail.example.org")], "doc_id long, text string")
+    spans = redaction.detect_spans(docs)
+    assert values(redaction.redact_own(docs), "doc_id", "text", "touched") == values(redaction.redact_text(docs, spans), "doc_id", "text", "touched")
+    assert values(redaction.splice_own(docs), "doc_id", "text") == values(redaction.splice_out(docs, spans), "doc_id", "text")
+    plan = redaction.apply_page_edits(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("colour,want", [("#ff0080", (1.0, 0.0, 128 / 255)), ("FF0080", (1.0, 0.0, 128 / 255)), ("red", (0.0, 0.0, 0.0)), ("", (0.0, 0.0, 0.0)), (None, (0.0, 0.0, 0.0)), ("#fff", (0.0, 0.0, 0.0))])
+def test_colours(spark, colour, want):
+    assert tuple(spark.createDataFrame([(colour,)], "c string").select(rgb(F.col("c")).alias("x")).first().x) == pytest.approx(want)
+
+
+def test_padding_of_families(spark):
+    texts = spark.createDataFrame([("Arimo",), ("Pacifico",), ("Nope",)], "family string")
+    found = dict(values(words.box_padding(texts, spark.createDataFrame(words.METRICS, "family string, ascent double, descent double")), "family", "padding"))
+    assert found == {"Arimo": 0.12, "Nope": 0.12, "Pacifico": pytest.approx((1.303 + 0.453 - 1.05) / 2 + 0.06)}
