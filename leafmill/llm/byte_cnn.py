@@ -25,7 +25,8 @@ BATCH = 128
 SAMPLE, ALL_TEXTS, LEAST_TEXTS = 1_200, 40_000, 8
 #: Windows to learn from: in all, and of one text.
 TRAIN_WINDOWS, TEXT_WINDOWS = 30_000, 16
-#: One text in so many is left out of the training and calibrates the least score of a text of any language.
+#: One text in so many is left out of the training; this share of those scores below the least score of a text of any language
+#: (nothing does where too few texts are left out to tell such a share).
 LEFT_OUT, LOWEST = 8, 0.002
 LETTER = regex.compile(r"\p{L}")
 
@@ -128,7 +129,7 @@ def fit(texts: list[tuple[str, str]], epochs: int = 4) -> dict:
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 a -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
     scores = [net.document(t)[1] for t, _ in apart]
-    return {"names": names, "p": net.p, "least": float(np.quantile(scores, LOWEST, method="lower")) if scores else 0.0}
+    return {"names": names, "p": net.p, "least": float(np.quantile(scores, LOWEST, method="lower")) if len(scores) * LOWEST >= 1 else 0.0}
 
 
 def learn(docs: DataFrame, parts: int = 5, held: int = 0, text: str = "text", lang: str = "lang", doc: str = "doc_id") -> dict:

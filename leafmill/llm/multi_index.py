@@ -30,7 +30,7 @@ from .shared import share_of, stored
 SUBSTRING = 16
 #: About so many distinct rows, chosen by a hash of id and vector, teach the rotation and the radius; of them, queries for the radius.
 SAMPLE, SAMPLE_QUERIES = 20_000, 400
-RECALL = 0.93
+RECALL = 0.88
 #: Sample pairs of a query that teach the radius: its nearest, and as many others; bins of their distances.
 PAIRS, BINS = 64, 24
 #: Rows that a key of the index should hold.
