@@ -51,14 +51,17 @@ def fit_to_budget(docs: DataFrame, sizes: DataFrame, target: int) -> DataFrame:
 
 
 def fit_own(docs: DataFrame, target: int) -> DataFrame:
-    """fit_to_budget() of the modelled sizes, within the row: the candidates are a literal array, nothing is joined."""
+    """fit_to_budget() of the modelled sizes, within the row: sizes grow with quality, so a tier is chosen by its smallest rendition."""
     grid = 2**STEPS
-    candidates = F.array(*[F.struct(F.lit(i + 1).alias("tier"), F.lit(k).alias("k"), F.lit(s).alias("scale"), F.lit(QUALITY_LOW + k * (QUALITY_HIGH - QUALITY_LOW) / grid).alias("quality")) for i, s in enumerate(TIERS) for k in range(grid)])
-    sized = F.transform(candidates, lambda c: F.struct(modelled_bytes(F.col("n_chars"), c["scale"], c["quality"]).alias("bytes"), c["tier"].alias("tier"), c["k"].alias("k"), c["quality"].alias("quality")))
-    rows = docs.withColumn("budget", F.greatest(F.lit(1), target - PAGE_BYTES * F.col("pages"))).withColumn("_sized", F.when(F.col("n_chars") > target, sized))
-    fits = F.array_min(F.transform(F.filter("_sized", lambda c: c["bytes"] <= F.col("budget")), lambda c: F.struct(c["tier"].alias("tier"), (-c["k"]).alias("k"), c["bytes"].alias("bytes"), c["quality"].alias("quality"))))
-    least = F.array_min(F.col("_sized"))
-    rows = rows.withColumn("_fit", fits).withColumn("_least", least)
-    pick = lambda c: F.coalesce(F.col(f"_fit.{c}"), F.col(f"_least.{c}"))
-    total = F.coalesce(pick("bytes") + PAGE_BYTES * F.col("pages"), F.col("n_chars"))
-    return rows.select("doc_id", F.coalesce(pick("tier"), F.lit(0)).alias("tier"), pick("quality").alias("quality"), total.alias("bytes"), (total <= target).alias("met_target"))
+    quality = lambda k: F.lit(QUALITY_LOW) + k * (QUALITY_HIGH - QUALITY_LOW) / grid
+    size = lambda scale, k: modelled_bytes(F.col("n_chars"), scale, quality(k))
+    tiers = F.array(*[F.struct(F.lit(i + 1).alias("tier"), F.lit(s).alias("scale")) for i, s in enumerate(TIERS)])
+    smallest = F.transform(tiers, lambda t: F.struct(size(t["scale"], F.lit(0)).alias("bytes"), t["tier"].alias("tier"), t["scale"].alias("scale")))
+    rows = docs.withColumn("budget", F.greatest(F.lit(1), target - PAGE_BYTES * F.col("pages"))).withColumn("_smallest", F.when(F.col("n_chars") > target, smallest))
+    fits = F.array_min(F.transform(F.filter("_smallest", lambda c: c["bytes"] <= F.col("budget")), lambda c: F.struct(c["tier"].alias("tier"), c["scale"].alias("scale"))))
+    least = F.array_min("_smallest")
+    rows = rows.withColumn("_fit", fits).withColumn("_tier", F.coalesce("_fit", F.when(least.isNotNull(), F.struct(least["tier"].alias("tier"), least["scale"].alias("scale")))))
+    best = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(grid - 1)), lambda k: size(F.col("_tier.scale"), k) <= F.col("budget")))
+    rows = rows.withColumn("_k", F.when(F.col("_tier").isNotNull(), F.coalesce(F.when(F.col("_fit").isNotNull(), best), F.lit(0))))
+    total = F.coalesce(size(F.col("_tier.scale"), F.col("_k")) + PAGE_BYTES * F.col("pages"), F.col("n_chars"))
+    return rows.select("doc_id", F.coalesce("_tier.tier", F.lit(0)).alias("tier"), quality(F.col("_k")).alias("quality"), total.alias("bytes"), (total <= target).alias("met_target"))

@@ -37,6 +37,7 @@ def with_running_sum(df: DataFrame, group: list[str], order: list[str], value: s
     """
     keys = [*group, *order]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = stored(df, "summed")  # the bounds of ranges are sampled: what makes the rows should not run twice
     placed = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "running")
     key = F.struct(*group)
     edges = placed.groupBy("_pid").agg(F.min(key).alias("_low"), F.max(key).alias("_high")).select(F.explode(F.array("_low", "_high")).alias("_g")).distinct()

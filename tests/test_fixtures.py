@@ -248,3 +248,10 @@ def test_padding_of_families(spark):
     texts = spark.createDataFrame([("Arimo",), ("Pacifico",), ("Nope",)], "family string")
     found = dict(values(words.box_padding(texts, spark.createDataFrame(words.METRICS, "family string, ascent double, descent double")), "family", "padding"))
     assert found == {"Arimo": 0.12, "Nope": 0.12, "Pacifico": pytest.approx((1.303 + 0.453 - 1.05) / 2 + 0.06)}
+
+
+def test_budgets_within_the_row_equal_joined_ones(spark):
+    docs = spark.createDataFrame([(i, n, 1 + i % 9) for i, n in enumerate([0, 900, 1_000, 1_001, 2_500, 5_000, 20_000, 100_000, 10**7])], "doc_id long, n_chars long, pages int")
+    names = ("doc_id", "tier", "quality", "bytes", "met_target")
+    for target in (1_000, 5_000, 50_000):
+        assert sorted(map(str, values(budget.fit_own(docs, target).fillna(-1.0), *names))) == sorted(map(str, values(budget.fit_to_budget(docs, budget.renditions(docs), target).fillna(-1.0), *names)))
