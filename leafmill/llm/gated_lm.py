@@ -175,19 +175,21 @@ class Network:
     def __init__(self, p: dict[str, np.ndarray], heads: int):
         self.p, self.heads, self.head_classes = p, heads, len(p["word_w"])
 
-    def states(self, before: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """States ahead of each word of a window (steps, lanes): the gate z and candidate c move h to h + z (c - h).
+    def states(self, before: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list, list]:
+        """States ahead of each word of a window (steps, lanes), and each step's old states and gates.
+
+        The gate z and candidate c move h to h + z (c - h).
 
         before: the word before each place; fresh: where a document starts, whose state is zero and which reads the end token.
         """
         steps, lanes = before.shape
-        hs, olds, gates = np.empty((STATE, steps, lanes), np.float32), np.empty((STATE, steps, lanes), np.float32), np.empty((2 * STATE, steps, lanes), np.float32)
-        stays = (~fresh).astype(np.float32)
+        hs, olds, gates = np.empty((STATE, steps, lanes), np.float32), [], []
+        stays, rows = (~fresh).astype(np.float32), np.ascontiguousarray(self.p["inputs"].T)
         for t in range(steps):
             h = h * stays[t]
-            olds[:, t] = h
+            olds.append(h)
             g = self.p["state"] @ h
-            g += self.p["inputs"][:, before[t]]
+            g += rows.take(before[t], 0).T
             size = np.abs(g)
             size += 1
             g /= size
@@ -195,7 +197,7 @@ class Network:
             z *= 0.5
             z += 0.5
             h = h + z * (c - h)
-            gates[:, t] = g
+            gates.append(g)
             hs[:, t] = h
         return hs, olds, gates
 
@@ -239,7 +241,7 @@ class Network:
         """Natural log-probability of each document's words and tail groups."""
         out = np.zeros(docs)
         for _, _, hs, _, _, flat, words, k, edges, o in self.windows(ids, owner):
-            states = hs.reshape(STATE, -1)[:, flat]
+            states = hs.reshape(STATE, -1).take(flat, 1)
             logp, _, _ = self.class_part(states, k)
             for _, own, _, inner, _, _ in self.word_parts(states, words, edges):
                 logp[own] += inner
@@ -253,7 +255,7 @@ class Network:
 
     def gradients(self, before, fresh, hs, olds, gates, flat, words, k, edges) -> dict[str, np.ndarray]:
         p, n = self.p, np.float32(max(len(flat), self.lanes * STEPS // 2))  # a window of few words moves little
-        states = hs.reshape(STATE, -1)[:, flat]
+        states = hs.reshape(STATE, -1).take(flat, 1)
         _, prob, total = self.class_part(states, k)
         prob *= 1 / (n * total)
         prob[k, np.arange(len(k))] -= 1 / n
@@ -265,32 +267,33 @@ class Network:
             g["word_w"][c] = z @ states[:, own].T
             g["word_b"][c] = z.sum(1)
             d[:, own] += p["word_w"][c].T @ z
-        dh = np.zeros((STATE, hs[0].size), np.float32)
-        dh[:, flat] = d
-        dh = dh.reshape(hs.shape)
-        into = np.empty_like(gates)
+        place = np.full(hs[0].size, len(flat))  # of each place in d, whose last column is zero
+        place[flat] = np.arange(len(flat))
+        dh = np.concatenate([d, np.zeros((STATE, 1), np.float32)], 1).take(place, 1).reshape(hs.shape)
+        into = np.empty((2 * STATE, *hs.shape[1:]), np.float32)
+        g["state"] = np.zeros_like(p["state"])
         carry = np.zeros((STATE, hs.shape[2]), np.float32)
         stays, back = (~fresh).astype(np.float32), p["state"].T
         for t in range(hs.shape[1] - 1, -1, -1):
             carry += dh[:, t]
-            g_t = gates[:, t]
+            g_t = gates[t]
             z, c = g_t[:STATE], g_t[STATE:]
             slope = np.abs(g_t)
             slope[:STATE] = np.abs(2 * z - 1)
             np.subtract(1, slope, out=slope)
             slope *= slope
-            d_t = np.concatenate([carry * (c - olds[:, t]) * 0.5, carry * z])
+            d_t = np.concatenate([carry * (c - olds[t]) * 0.5, carry * z])
             d_t *= slope
             into[:, t] = d_t
+            g["state"] += d_t @ olds[t].T
             carry *= 1 - z
             carry += back @ d_t
             carry *= stays[t]
         flat_into = into.reshape(2 * STATE, -1)
-        g["state"] = flat_into @ olds.reshape(STATE, -1).T
         order = np.argsort(before.reshape(-1).astype(np.int16), kind="stable")
         ids = before.reshape(-1)[order]
         first = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
-        g["inputs"] = (ids[first], np.add.reduceat(flat_into[:, order], first, axis=1))
+        g["inputs"] = (ids[first], np.add.reduceat(flat_into.take(order, 1), first, axis=1))
         return g
 
     def update(self, g: dict, rate: float, moments: dict) -> None:
