@@ -68,6 +68,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "intact")
 
 
+ORACLES["op6_warc"] = r"""
+WITH page AS (
+  SELECT page_id, lower(trim(url)) AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), part AS (
+  SELECT *, '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:]*)(?::\d+)?([^#]*)' AS shape, page_id IS DISTINCT FROM first AS revisit FROM page
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to,
+       CASE WHEN url IS NULL THEN ')/' ELSE regexp_replace(concat(array_to_string(list_reverse(string_split(regexp_extract(url, shape, 1), '.')), ','), ')', coalesce(nullif(regexp_extract(url, shape, 2), ''), '/')), '[\r\n]', '', 'g') END AS url_key,
+       strftime(TIMESTAMP '2024-01-01' + to_seconds(((coalesce(page_id, 0) % 300000000) + 300000000) % 300000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, true AS intact
+FROM part
+"""
+
+
 @registered
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
