@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import base_name, js_round, name_date, natural_key, size_label
 from leafmill.operators.ranks import with_rank, with_running_sum
-from leafmill.sources.tables import page_counts
+from leafmill.sources.tables import PAGE_LINES, n_pages, page_counts, page_texts
 
 #: Pages of one merged record at most: a larger collection goes on in the next part.
 MERGED_PAGES = 1_000
@@ -64,9 +64,26 @@ def write_sitemap(sitemap: DataFrame, path: str, most: int = SITEMAP_URLS) -> No
 
 
 def paginate(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """pages with running_no: the number across the documents of a collection. A collection of any size is dealt over many tasks."""
-    starts = with_running_sum(page_counts(docs), ["source"], ["doc_id"], "pages", "start")
-    return pages.join(starts, ["source", "doc_id"]).select("source", "doc_id", "page_no", (F.col("start") + F.col("page_no")).alias("running_no"), "text")
+    """pages with running_no: the number across the documents of a collection. A collection of any size is dealt over many tasks.
+
+    Pages made elsewhere find their document by (source, doc_id), nulls included, so no document may stand twice; paginate_own()
+    takes any rows.
+    """
+    starts = with_running_sum(page_counts(docs), ["source"], ["doc_id"], "pages", "start").alias("d")
+    own = F.col("p.source").eqNullSafe(F.col("d.source")) & F.col("p.doc_id").eqNullSafe(F.col("d.doc_id"))
+    return pages.alias("p").join(starts, own).select("p.source", "p.doc_id", "page_no", (F.col("start") + F.col("page_no")).alias("running_no"), "p.text")
+
+
+def paginate_own(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
+    """source, doc_id, page_no, running_no, text: the pages of docs, numbered across the rows of each collection.
+
+    Every row counts once, rows with a null source or id (these come first) and repeated ones (by the md5 of their text) too.
+    A row learns where it starts before its pages are made, so whole texts are dealt once by ranges and no page is joined.
+    """
+    rows = docs.select("source", "doc_id", "text", F.md5(F.col("text").cast("binary")).alias("_mark"), n_pages(F.col("text"), lines).cast("long").alias("_pages"))
+    starts = with_running_sum(rows, ["source"], ["doc_id", "_mark"], "_pages", "start", settled=True)
+    pages = starts.select("source", "doc_id", "start", F.posexplode(page_texts(F.col("text"), lines)).alias("n", "text"))
+    return pages.select("source", "doc_id", (F.col("n") + 1).alias("page_no"), (F.col("start") + F.col("n") + 1).alias("running_no"), "text")
 
 
 def merge_collection(numbered: DataFrame, label: bool = False) -> DataFrame:
@@ -84,7 +101,8 @@ def select_pages(pages: DataFrame, counts: DataFrame, specs: DataFrame, dialect:
     are dropped, and an error only when none is left. Reversed ranges are turned, blank is all, blank parts are skipped,
     commas alone are an error.
     """
-    spec = specs.join(counts.select("doc_id", "pages"), "doc_id").withColumn("trimmed", F.trim(F.coalesce("spec", F.lit(""))))
+    known = counts.select(F.col("doc_id").alias("_doc"), "pages").distinct()
+    spec = specs.join(known, specs["doc_id"].eqNullSafe(F.col("_doc"))).drop("_doc").withColumn("trimmed", F.trim(F.coalesce("spec", F.lit(""))))
     parts = F.filter(F.transform(F.split("trimmed", ","), lambda p: F.trim(p)), lambda p: p != "")
     spec = spec.withColumn("parts", F.when(F.col("trimmed") == "", F.array(F.concat(F.lit("1-"), F.col("pages").cast("string")))).otherwise(parts))
     shape = r"^(\d*)\s*(-?)\s*(\d*)$" if dialect == "strict" else r"^(\d+)\s*(-?)\s*(\d*)$"
@@ -106,8 +124,8 @@ def select_pages(pages: DataFrame, counts: DataFrame, specs: DataFrame, dialect:
     reason = reason.when(F.exists("spans", outside), "out of range") if dialect == "strict" else reason.when(gone, "out of range")
     spec = spec.withColumn("reason", reason)
     # a document's spans stay together, so no page is met twice and no text is compared
-    spans = spec.where(F.col("reason").isNull()).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    chosen = pages.join(spans, "doc_id").where(F.exists("spans", lambda s: F.col("page_no").between(s["lo"], s["hi"]))).select("doc_id", "page_no", "text")
+    spans = spec.where(F.col("reason").isNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    chosen = pages.join(spans, pages["doc_id"].eqNullSafe(F.col("_doc"))).where(F.exists("spans", lambda s: F.col("page_no").between(s["lo"], s["hi"]))).select("doc_id", "page_no", "text")
     return chosen, spec.where(F.col("reason").isNotNull()).select("doc_id", "spec", "reason")
 
 

@@ -27,6 +27,40 @@ def fold_edits(log: DataFrame) -> DataFrame:
     return live.where(~gone).select("session", "element", "page_index", "value")
 
 
+def fold_records(log: DataFrame, fields: list[str], page: str = "page_index") -> DataFrame:
+    """session, element and a column for each field: the records that are left of a log whose `patch` maps fields to values.
+
+    ADD starts a record afresh. UPDATE sets the fields that its patch names, to null where it says null, and leaves the others.
+    DELETE ends a record, and so does CLEAR_PAGE of the page on which it stands at that time. Updates of unknown records do
+    nothing. Order is (ts, event_id). Each field's last patch is an aggregate, so a record of any number of patches is
+    gathered nowhere; only changes of pages are put in order.
+    """
+    at, add = F.struct("ts", "event_id"), F.col("action") == "ADD"
+    names = lambda field: add | ((F.col("action") == "UPDATE") & F.map_contains_key("patch", field))
+    last = lambda field: F.max_by(F.struct(F.col("patch")[field].alias("v")), F.when(names(field), at)).alias(field)
+    own = log.where("action in ('ADD', 'UPDATE', 'DELETE')").groupBy("session", "element")
+    now = own.agg(F.max(F.when(add, at)).alias("added"), F.max(F.when(F.col("action") == "DELETE", at)).alias("deleted"), *map(last, fields))
+    live = now.where("added is not null and (deleted is null or deleted < added)").select("session", "element", *[F.col(f)["v"].alias(f) for f in fields])
+    return live.join(_cleared(log.where("action in ('ADD', 'UPDATE')").where(names(page)), log.where("action = 'CLEAR_PAGE'"), page), ["session", "element"], "left_anti")
+
+
+def _cleared(moves: DataFrame, clears: DataFrame, page: str) -> DataFrame:
+    """session, element of the records that stood on a page when it was cleared, since they were added last.
+
+    The next clearing after a record comes to a page is found in one sorted pass over a page, not in a join of all pairs.
+    """
+    at = F.struct("ts", "event_id")
+    own = Window.partitionBy("session", "element")
+    rows = moves.select("session", "element", F.col("patch")[page].alias("_page"), at.alias("at"), F.max(F.when(F.col("action") == "ADD", at)).over(own).alias("added"), F.lead(at).over(own.orderBy("ts", "event_id")).alias("until"))
+    stays = rows.where("added is not null and at >= added").drop("added")
+    none = lambda kind: F.lit(None).cast(kind)
+    cleared = clears.select("session", none("string").alias("element"), F.col("page_index").cast("string").alias("_page"), at.alias("at"), none(dict(stays.dtypes)["until"]).alias("until"))
+    both = stays.unionByName(cleared).where("_page is not null")
+    later = Window.partitionBy("session", "_page").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("next", F.min(F.when(F.col("element").isNull(), F.col("at"))).over(later)).where("element is not null and next is not null")
+    return found.where("until is null or next < until").select("session", "element").distinct()
+
+
 def undo_match(log: DataFrame) -> DataFrame:
     """session, event_id, undone_by, noop: each undo takes back the latest action not yet undone.
 

@@ -29,15 +29,16 @@ def with_rank(df: DataFrame, keys: list[Column], out: str = "rank", descending:
     return placed.join(F.broadcast(starts), "_pid").withColumn(out, F.col("_all") + 1 - place if descending else place).drop("_pid", "_at", "_start", "_all")
 
 
-def with_running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def with_running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, settled: bool = False) -> DataFrame:
     """df with the sum of `value` over the group's rows that stand before a row in `order`.
 
     Rows are dealt by ranges of (group, order), so a group of any size spreads over many tasks. At most one group of a
     range goes on from the range before: what its rows must add is a table of at most as many rows as there are ranges.
+    settled says that df is read from a table with little more to work out, so that it need not be written first.
     """
     keys = [*group, *order]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = stored(df, "summed")  # the bounds of ranges are sampled: what makes the rows should not run twice
+    df = df if settled else stored(df, "summed")  # the bounds of ranges are sampled: what makes the rows should not run twice
     placed = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "running")
     key = F.struct(*group)
     edges = placed.groupBy("_pid").agg(F.min(key).alias("_low"), F.max(key).alias("_high")).select(F.explode(F.array("_low", "_high")).alias("_g")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import bound, pieces_joined, running
+
 #: Detectors: pattern by type of redaction. Patterns keep to what both Java's and RE2's expressions know.
 RULES = {
     "blackout": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -30,9 +32,10 @@ def matches(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    size = lambda x: F.length(x).cast("long")
-    step = lambda acc, x: F.struct((acc["at"] + size(x["gap"]) + F.coalesce(size(x["value"]), F.lit(0))).alias("at"), F.concat(acc["out"], F.when(x["value"].isNotNull(), F.array(F.struct((acc["at"] + size(x["gap"])).alias("start"), (acc["at"] + size(x["gap"]) + size(x["value"])).alias("end"), x["value"].alias("value")))).otherwise(F.array().cast(SPANS))).alias("out"))
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    size = lambda x: F.char_length(x).cast("long")
+    placed = lambda values, ends: F.transform(values, lambda v, i: F.struct((F.get(ends, i) - size(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value")))
+    ends = lambda values: running(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value")), lambda x: size(x["gap"]) + size(x["value"])), lambda a, x: a + x)
+    return bound(found, lambda values: bound(ends(values), lambda e: placed(values, e)))
 
 
 SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -74,19 +77,10 @@ def _with_spans(docs: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
     return docs.join(own, "doc_id", "left")
 
 
-def _rebuilt(text: Column, spans: Column, cut) -> Column:
-    """text with each span replaced by cut(span); spans are clamped to the text, and may not overlap."""
-    size = F.length(text).cast("long")
-    clamp = lambda x: F.greatest(F.lit(0), F.least(x, size))
-    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], piece(acc["at"], clamp(s["start"])), cut(s, piece(clamp(s["start"]), clamp(s["end"])))).alias("out"), clamp(s["end"]).alias("at"))
-    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], size)))
-
-
 def splice_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the merged spans cut out, one line break left for each cut; others are unchanged."""
     rows = _with_spans(docs, merge_spans(spans))
-    return rows.withColumn("text", F.when(F.col("spans").isNotNull(), _rebuilt(F.col("text"), F.col("spans"), lambda s, old: F.lit("\n"))).otherwise(F.col("text"))).drop("spans")
+    return rows.withColumn("text", F.when(F.col("spans").isNotNull(), pieces_joined(F.col("text"), F.col("spans"), lambda s, old: F.lit("\n"))).otherwise(F.col("text"))).drop("spans")
 
 
 def mask(kind: Column, value: Column, salt: str) -> Column:
@@ -105,31 +99,39 @@ def redact_text(docs: DataFrame, redactions: DataFrame, salt: str = "leaf") -> D
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     apart = redactions.where("type <> 'delete'").withColumn("start", F.greatest("start", F.coalesce(reach, F.lit(0)))).where("end > start")
     rows = _with_spans(docs, apart, "type")
-    masked = _rebuilt(F.col("text"), F.col("spans"), lambda s, old: mask(s["type"], old, salt))
+    masked = pieces_joined(F.col("text"), F.col("spans"), lambda s, old: mask(s["type"], old, salt))
     return rows.withColumn("text", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("text"))).withColumn("touched", F.col("spans").isNotNull()).drop("spans")
 
 
 def merged_in(spans: Column) -> Column:
     """The union of overlapping or touching spans of an array, in order."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    step = lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), F.array().cast(kind), step)
+
+    def islands(own: Column, reach: Column) -> Column:
+        # a span that starts beyond all before it begins an island, which ends with what is reached before the next one
+        first = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["start"] > F.get(reach, i - 1)))
+        last = lambda starts, k: F.coalesce(F.get(starts, k + 1), F.size(own)) - 1
+        return bound(first, lambda starts: F.transform(starts, lambda i, k: F.struct(F.get(own, i)["start"].alias("start"), F.get(reach, last(starts, k)).alias("end"))))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    joined = lambda own: bound(running(F.transform(own, lambda s: s["end"]), F.greatest), lambda reach: islands(own, reach))
+    return bound(ordered, lambda own: F.when(F.size(own) > 0, joined(own)).otherwise(own))
 
 
 def apart_in(spans: Column) -> Column:
     """Spans of an array that no longer overlap: the one that starts first (then ends last) keeps the common part."""
-    kind = "struct<reach:bigint,out:array<struct<start:bigint,end:bigint,type:string>>>"
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("far"), s["type"].alias("type"))))
-    start = lambda acc, s: F.greatest(s["start"], acc["reach"])
-    kept = lambda acc, s: F.when(-s["far"] > start(acc, s), F.concat(acc["out"], F.array(F.struct(start(acc, s).alias("start"), (-s["far"]).alias("end"), s["type"].alias("type"))))).otherwise(acc["out"])
-    begin = F.struct(F.lit(0).cast("long").alias("reach"), F.array().alias("out")).cast(kind)
-    return F.aggregate(ordered, begin, lambda acc, s: F.struct(F.greatest(acc["reach"], -s["far"]).alias("reach"), kept(acc, s).alias("out")), lambda acc: acc["out"])
+
+    def kept(own: Column, reach: Column) -> Column:
+        start = lambda s, i: F.when(i > 0, F.greatest(s["start"], F.get(reach, i - 1))).otherwise(s["start"])
+        return F.filter(F.transform(own, lambda s, i: F.struct(start(s, i).alias("start"), (-s["far"]).alias("end"), s["type"].alias("type"))), lambda s: s["end"] > s["start"])
+
+    return bound(ordered, lambda own: bound(running(F.transform(own, lambda s: -s["far"]), F.greatest), lambda reach: kept(own, reach)))
 
 
 def splice_own(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """splice_out() of the texts' own matches of the rules, within the row: nothing is shuffled."""
     rows = docs.withColumn("_spans", merged_in(spans_in(F.col("text"), rules)))
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, _rebuilt(F.col("text"), F.col("_spans"), lambda s, old: F.lit("\n"))).otherwise(F.col("text"))).drop("_spans")
+    return rows.withColumn("text", F.when(F.size("_spans") > 0, pieces_joined(F.col("text"), F.col("_spans"), lambda s, old: F.lit("\n"))).otherwise(F.col("text"))).drop("_spans")
 
 
 def redact_own(docs: DataFrame, rules: dict[str, str] = RULES, salt: str = "leaf") -> DataFrame:
@@ -138,7 +140,7 @@ def redact_own(docs: DataFrame, rules: dict[str, str] = RULES, salt: str = "leaf
     if not masked:
         return docs.withColumn("touched", F.lit(False))
     rows = docs.withColumn("_spans", apart_in(spans_in(F.col("text"), masked))).withColumn("touched", F.size("_spans") > 0)
-    return rows.withColumn("text", F.when(F.col("touched"), _rebuilt(F.col("text"), F.col("_spans"), lambda s, old: mask(s["type"], old, salt))).otherwise(F.col("text"))).drop("_spans")
+    return rows.withColumn("text", F.when(F.col("touched"), pieces_joined(F.col("text"), F.col("_spans"), lambda s, old: mask(s["type"], old, salt))).otherwise(F.col("text"))).drop("_spans")
 
 
 def apply_page_edits(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:

@@ -97,17 +97,23 @@ def sitemap_files(spark, sf):
     return D.sitemap_files(sitemap_export(spark, sf), 300)
 
 
-RUNNING = f"{PAGES}, starts AS (SELECT source, doc_id, coalesce(sum(pages) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counts), numbered AS (SELECT source, doc_id, page_no, CAST(start + page_no AS BIGINT) AS running_no, text FROM doc_pages JOIN starts USING (source, doc_id))"
+RUNNING = """rows AS (
+  SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, md5(text) AS mark FROM documents
+), starts AS (
+  SELECT source, doc_id, lines, coalesce(sum((len(lines) + 9) // 10) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, mark NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows
+), numbered AS (
+  SELECT source, doc_id, CAST(p + 1 AS INTEGER) AS page_no, CAST(start + p + 1 AS BIGINT) AS running_no, array_to_string(lines[p * 10 + 1 : p * 10 + 10], chr(10)) AS text FROM (SELECT *, unnest(range(0, (len(lines) + 9) // 10)) AS p FROM starts)
+)"""
 
 
 @query(f"WITH {RUNNING} SELECT * FROM numbered")
 def paginate(spark, sf):
-    return D.paginate(docs(spark, sf), doc_pages(docs(spark, sf)))
+    return D.paginate_own(docs(spark, sf))
 
 
 @query(f"WITH {RUNNING} SELECT source, CAST((running_no - 1) // 1000 AS BIGINT) AS part, count(*) AS pages, string_agg('[' || running_no || ']' || chr(10) || text, chr(10) ORDER BY running_no) AS text FROM numbered GROUP BY source, (running_no - 1) // 1000")
 def merge_collection(spark, sf):
-    return D.merge_collection(D.paginate(docs(spark, sf), doc_pages(docs(spark, sf))), label=True)
+    return D.merge_collection(D.paginate_own(docs(spark, sf)), label=True)
 
 
 @query(f"WITH {SELECTED} SELECT doc_id, page_no, text FROM selected")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import drafts as H
 from leafmill.operators import editlog as G
 from leafmill.plans.registry import query
-from leafmill.sources.tables import edit_log, elements, event_key, table
+from leafmill.sources.tables import RECORD_FIELDS, edit_log, elements, event_key, record_log, table
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 LOG = f"""log AS (SELECT user_id AS session, ts, event_id, CASE event_type WHEN 'click' THEN 'ADD' WHEN 'view' THEN 'UPDATE' WHEN 'purchase' THEN 'DELETE' WHEN 'signup' THEN 'CLEAR_PAGE' WHEN 'error' THEN 'UNDO' END AS action, 'el-' || ({K} % 10) AS element, {K} % 5 AS page_index, value FROM events)"""
@@ -28,6 +28,26 @@ def fold_edits(spark, sf):
     return G.fold_edits(log(spark, sf))
 
 
+RECORDS = f"""act AS (SELECT user_id AS session, (ts, event_id) AS moment, event_id, CASE event_type WHEN 'click' THEN 'ADD' WHEN 'view' THEN 'UPDATE' WHEN 'purchase' THEN 'DELETE' WHEN 'signup' THEN 'CLEAR_PAGE' END AS action, 'el-' || ({K} % 10) AS element, {K} AS k, value FROM events),
+patch AS (SELECT session, element, moment, action = 'ADD' AS fresh, unnest(CASE WHEN action = 'ADD' THEN [{{'f': 'page_index', 'v': CAST(event_id % 5 AS VARCHAR)}}, {{'f': 'value', 'v': CAST(value AS VARCHAR)}}, {{'f': 'colour', 'v': ['red', 'green', 'blue'][k % 3 + 1]}}, {{'f': 'size', 'v': CASE WHEN event_id % 3 > 0 THEN CAST(k % 7 AS VARCHAR) END}}]
+  WHEN event_id % 4 = 0 THEN [{{'f': 'value', 'v': CASE WHEN event_id % 5 > 0 THEN CAST(value AS VARCHAR) END}}] WHEN event_id % 4 = 1 THEN [{{'f': 'colour', 'v': CASE WHEN k % 2 = 1 THEN 'black' END}}] WHEN event_id % 4 = 2 THEN [{{'f': 'page_index', 'v': CAST(event_id % 5 AS VARCHAR)}}]
+  ELSE [{{'f': 'size', 'v': CAST(k % 9 AS VARCHAR)}}, {{'f': 'value', 'v': CAST(value AS VARCHAR)}}] END) AS p FROM act WHERE action IN ('ADD', 'UPDATE')),
+added AS (SELECT session, element, max(moment) AS added FROM act WHERE action = 'ADD' GROUP BY ALL),
+life AS (SELECT session, element, moment, p.f AS f, p.v AS v, lead(moment) OVER (PARTITION BY session, element, p.f ORDER BY moment) AS until FROM patch JOIN added USING (session, element) WHERE moment >= added),
+gone AS (SELECT a.session, a.element FROM added a JOIN act d ON d.session = a.session AND d.action = 'DELETE' AND d.element = a.element AND d.moment > a.added
+  UNION SELECT l.session, l.element FROM life l JOIN act c ON c.session = l.session AND c.action = 'CLEAR_PAGE' AND l.f = 'page_index' AND CAST(c.k % 5 AS VARCHAR) = l.v AND c.moment > l.moment AND (l.until IS NULL OR c.moment < l.until))"""
+
+
+@query(f"""WITH {RECORDS} SELECT session, element, CAST(max(v) FILTER (f = 'page_index') AS INTEGER) AS page_index, CAST(max(v) FILTER (f = 'value') AS DOUBLE) AS value, max(v) FILTER (f = 'colour') AS colour, CAST(max(v) FILTER (f = 'size') AS INTEGER) AS size
+FROM life WHERE until IS NULL AND (session, element) NOT IN (SELECT (session, element) FROM gone) GROUP BY ALL""")
+def fold_records(spark, sf):
+    return typed(G.fold_records(record_log(events(spark, sf)), RECORD_FIELDS))
+
+
+def typed(records):
+    return records.withColumns({"page_index": F.col("page_index").cast("int"), "value": F.col("value").cast("double"), "size": F.col("size").cast("int")})
+
+
 @query(f"""WITH RECURSIVE {LOG}, l AS (SELECT session, event_id, action = 'UNDO' AS undo, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS n FROM log),
 r AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS stack, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS undoes, false AS noop FROM (SELECT DISTINCT session FROM l)
   UNION ALL SELECT r.session, l.n, CASE WHEN l.undo THEN stack[1:len(stack) - 1] ELSE list_append(stack, l.event_id) END, l.event_id, CASE WHEN l.undo AND len(stack) > 0 THEN stack[len(stack)] END, l.undo AND len(stack) = 0 FROM r JOIN l ON l.session = r.session AND l.n = r.n + 1)
@@ -90,8 +110,8 @@ def drafts(spark, sf):
     return drafts_of(events(spark, sf))
 
 
-def drafts_of(rows):
-    return rows.select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 11 > 0, F.col("ts")).alias("saved_at"), F.col("value").alias("payload"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"))
+def drafts_of(rows, *more):
+    return rows.select(*more, F.col("user_id").alias("key"), F.when(F.col("event_id") % 11 > 0, F.col("ts")).alias("saved_at"), F.col("value").alias("payload"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"))
 
 
 def moment(text: str):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import bound
+
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "pages": "page_id long, url string, html string",
@@ -38,16 +40,26 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return found
 
 
+def page_texts(text: Column, lines: int = PAGE_LINES) -> Column:
+    """The pages of a text: `lines` consecutive lines each; a null text is one empty page. The text is split once."""
+    cut = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    pages = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / lines).cast("int")), lambda p: F.array_join(F.slice(all_, p * lines + 1, lines), "\n"))
+    return bound(cut, pages)
+
+
 def doc_pages(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
-    """source, doc_id, page_no (from 1), text: a page is `lines` consecutive lines; a null text is one empty page."""
-    cut = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / lines).cast("int")), lambda p: F.array_join(F.slice(cut, p * lines + 1, lines), "\n"))
-    return docs.select("source", "doc_id", F.posexplode(pages).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
+    """source, doc_id, page_no (from 1), text of the pages of each document."""
+    return docs.select("source", "doc_id", F.posexplode(page_texts(F.col("text"), lines)).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
+
+
+def n_pages(text: Column, lines: int = PAGE_LINES) -> Column:
+    """How many pages page_texts() has, without making them."""
+    return F.floor((F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)) - 1) / lines).cast("int") + 1
 
 
 def page_counts(docs: DataFrame, lines: int = PAGE_LINES, more: list[str] = []) -> DataFrame:  # noqa: B006
     """source, doc_id, pages (and more columns of docs) without making the pages."""
-    return docs.select("source", "doc_id", *more, F.floor((F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1) / lines).cast("int").alias("last")).select("source", "doc_id", *more, (F.col("last") + 1).alias("pages"))
+    return docs.select("source", "doc_id", *more, n_pages(F.col("text"), lines).alias("pages"))
 
 
 def event_key(events: DataFrame) -> Column:
@@ -68,8 +80,28 @@ def elements(lineitem: DataFrame) -> DataFrame:
 ACTIONS = {"click": "ADD", "view": "UPDATE", "purchase": "DELETE", "signup": "CLEAR_PAGE", "error": "UNDO"}
 
 
-def edit_log(events: DataFrame) -> DataFrame:
+def edit_log(events: DataFrame, *more: str) -> DataFrame:
     """session, ts, event_id, action, element, page_index, value."""
     action = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in ACTIONS.items()])
     k = event_key(events)
-    return events.select(F.col("user_id").alias("session"), "ts", "event_id", action.alias("action"), F.concat(F.lit("el-"), (k % 10).cast("string")).alias("element"), (k % 5).alias("page_index"), "value")
+    return events.select(F.col("user_id").alias("session"), "ts", "event_id", action.alias("action"), F.concat(F.lit("el-"), (k % 10).cast("string")).alias("element"), (k % 5).alias("page_index"), "value", *more)
+
+
+#: Fields of an element's record that record_log() patches.
+RECORD_FIELDS = ["page_index", "value", "colour", "size"]
+
+
+def record_log(events: DataFrame) -> DataFrame:
+    """session, ts, event_id, action, element, page_index (of a cleared page), patch: the fields that an action sets, by name.
+
+    An added element has a page, a value, a colour and for the most part a size; an update sets one or two fields, some to null.
+    """
+    k, text = event_key(events), lambda c: c.cast("string")
+    name = lambda field, v: (F.lit(field), v)
+    value, page = name("value", text(F.col("value"))), name("page_index", text(F.col("event_id") % 5))
+    whole = [*page, *value, *name("colour", F.element_at(F.array(F.lit("red"), F.lit("green"), F.lit("blue")), k % 3 + 1))]
+    added = F.when(F.col("event_id") % 3 > 0, F.create_map(*whole, *name("size", text(k % 7)))).otherwise(F.create_map(*whole))
+    changed = F.when(F.col("event_id") % 4 == 0, F.create_map(*name("value", F.when(F.col("event_id") % 5 > 0, value[1])))).when(F.col("event_id") % 4 == 1, F.create_map(*name("colour", F.when(k % 2 == 1, F.lit("black")))))
+    changed = changed.when(F.col("event_id") % 4 == 2, F.create_map(*page)).otherwise(F.create_map(*name("size", text(k % 9)), *value))
+    log = edit_log(events.withColumn("_patch", F.when(F.col("event_type") == "click", added).when(F.col("event_type") == "view", changed)), "_patch")
+    return log.drop("value").withColumnRenamed("_patch", "patch")

@@ -7,6 +7,7 @@ reads the events through in_time_order(), so its result doesn't depend on how th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -184,6 +185,56 @@ def latest_version(folded: DataFrame) -> DataFrame:
     return folded.join(last, ["session", "version"], "left_semi").where("element is not null").select("session", "element", "page_index", "value")
 
 
+class FoldRecords(StatefulProcessor):
+    """A session's records as fold_records() has them; gives those that a batch changed, with a version, and none (null) where one ended."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.records = handle.getMapState("records", "element string", "page string, fields string")
+        self.version = handle.getValueState("version", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        changed: dict[str, str | None] = {}
+
+        def put(element: str, fields: dict) -> None:
+            changed[element] = json.dumps(fields)
+            self.records.updateValue((element,), (fields.get("page_index"), changed[element]))
+
+        def drop(element: str) -> None:
+            changed[element] = None
+            self.records.removeKey((element,))
+
+        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            known = row.action in ("UPDATE", "DELETE") and self.records.containsKey((row.element,))
+            if row.action == "ADD":
+                put(row.element, json.loads(row.patch))
+            elif row.action == "UPDATE" and known:
+                put(row.element, json.loads(self.records.getValue((row.element,))[1]) | json.loads(row.patch))
+            elif row.action == "DELETE" and known:
+                drop(row.element)
+            elif row.action == "CLEAR_PAGE":
+                for e in [e[0] for e, record in self.records.iterator() if record[0] == str(row.page_index)]:
+                    drop(e)
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        self.version.update((version,))
+        yield pd.DataFrame([(key[0], version, e, fields) for e, fields in changed.items()], columns=["session", "version", "element", "fields"]).astype({"session": "int64", "version": "int64", "element": "object", "fields": "object"})
+
+    def close(self) -> None:
+        pass
+
+
+def fold_records_stream(log: DataFrame) -> DataFrame:
+    """session, version, element, fields (JSON; null where the record ended) of each record that a batch of the log changed."""
+    rows = log.withColumn("patch", F.to_json("patch", {"ignoreNullFields": "false"}))
+    return rows.groupBy("session").transformWithStateInPandas(FoldRecords(), "session long, version long, element string, fields string", "Append", "None")
+
+
+def latest_records(changes: DataFrame, fields: list[str]) -> DataFrame:
+    """session, element and the fields of the records that are left after all changes, in whatever order these are read."""
+    last = changes.groupBy("session", "element").agg(F.max_by(F.struct("fields"), "version").alias("r")).where("r.fields is not null")
+    parsed = F.from_json("r.fields", "map<string,string>")
+    return last.select("session", "element", *[parsed[f].alias(f) for f in fields])
+
+
 class TakeHandoff(StatefulProcessor):
     """The last unconsumed save of a key; a take consumes it and says whether it was fresh."""
 

@@ -20,7 +20,7 @@ def scattered(spark, tmp_path_factory):
     return str(where)
 
 
-@pytest.mark.parametrize("name", ["debounce_saves_stream", "commit_once_stream", "fold_edits_stream", "take_handoff_stream", "drop_superseded_stream", "latest_draft_stream"])
+@pytest.mark.parametrize("name", ["debounce_saves_stream", "commit_once_stream", "fold_edits_stream", "take_handoff_stream", "drop_superseded_stream", "latest_draft_stream", "request_timeouts_stream", "handoff_timers_stream", "expire_drafts_stream", "latest_draft_upserts"])
 @pytest.mark.parametrize("stamped", [True, False])
 def test_files_do_not_change_a_stream(spark, scattered, monkeypatch, name, stamped):
     monkeypatch.setattr(jobs, "FILE_ROWS", 60)
