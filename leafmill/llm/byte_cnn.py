@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,10 @@ EMBED = 8
 BATCH = 128
 #: About so many texts of each language to learn from, by a hash of the id, and of all languages together (LEAST_TEXTS of each at least).
 SAMPLE, ALL_TEXTS, LEAST_TEXTS = 1_200, 40_000, 8
+#: Rows (an id and a language) of a sample that is broadcast, at most.
+MOST_BROADCAST = 200_000
+#: Of a text of more than LONG characters so many pieces are learned from, LONG characters together.
+LONG, PASSAGES = 131_072, 64
 #: Windows to learn from: in all, and of one text.
 TRAIN_WINDOWS, TEXT_WINDOWS = 30_000, 16
 #: One text in so many is left out of the training; this share of those scores below the least score of a text of any language
@@ -133,14 +137,28 @@ def fit(texts: list[tuple[str, str]], epochs: int = 4) -> dict:
 
 
 def learn(docs: DataFrame, parts: int = 5, held: int = 0, text: str = "text", lang: str = "lang", doc: str = "doc_id") -> dict:
-    """The model from texts with a language outside the held-out fold, some of every language that they hold."""
-    own = docs.where(F.col(lang).isNotNull() & F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, lang)
+    """The model from texts with a language outside the held-out fold, some of every language that they hold.
+
+    An id that stands in many rows counts with one of its texts (the first by hash), equal texts of a language count once,
+    and of a very long text passages from all over it do.
+    """
+    own = docs.where(F.col(lang).isNotNull() & F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, lang).distinct()
     sizes = own.groupBy(lang).agg(F.count("*").alias("n"))
-    each = max(LEAST_TEXTS, min(SAMPLE, ALL_TEXTS // max(1, sizes.count())))
+    n_languages = sizes.count()
+    each = max(LEAST_TEXTS, min(SAMPLE, ALL_TEXTS // max(1, n_languages)))
     part = F.xxhash64(doc).bitwiseAND(F.lit(2**63 - 1)) / float(2**63)
-    some = own.join(F.broadcast(sizes), lang).where(part * F.col("n") <= each).select(doc, lang).distinct()
-    rows = stored(docs.where(F.col(text).isNotNull()).select(doc, lang, text).join(F.broadcast(some), [doc, lang]).select(F.col(text).alias("t"), F.col(lang).alias("l")), "languages")
-    return fitted(within_bytes(rows, "t"), fit)
+    some = own.join(sizes, lang).where(part * F.col("n") <= each).select(doc, lang)
+    some = F.broadcast(some) if n_languages * each <= MOST_BROADCAST else some
+    rows = docs.where(F.col(text).isNotNull()).select(doc, lang, _passages(F.col(text)).alias("t")).join(some, [doc, lang])
+    one = rows.groupBy(doc, lang).agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", F.col(lang).alias("l")).distinct()
+    return fitted(within_bytes(stored(one, "languages"), "t"), fit)
+
+
+def _passages(text: Column) -> Column:
+    """A text of up to LONG characters as it is; PASSAGES evenly spaced pieces of a longer one."""
+    step = F.floor(F.char_length(text) / PASSAGES)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda k: F.substring(text, (k * step + 1).cast("int"), F.lit(LONG // PASSAGES)))
+    return F.when(F.char_length(text) <= LONG, text).otherwise(F.array_join(pieces, " "))
 
 
 def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -42,10 +42,10 @@ def annotated(docs: DataFrame, fields: list[T.StructField], make: Callable[[], C
     """docs with the fields added, without a shuffle: only `columns` go to Python, and only the fields come back.
 
     make() is called once a task and returns a function from Arrow arrays of the columns, some megabytes of the first
-    one, to one Arrow array for each field. A column of docs that bears the name of a field is replaced by it.
+    one, to one Arrow array for each field. A column of docs that bears the name of a field, in whatever case, is replaced by it.
     """
     names = [f.name for f in fields]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     none = [pa.array([], _arrow(f.dataType)) for f in fields]
 
     def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -161,15 +161,18 @@ def within_bytes(rows: DataFrame, text: str, most: int = SAMPLE_BYTES) -> DataFr
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], parts: int, held: int, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """raw (binary), label to fit a classifier on: of each label about bounds[label] label rows, by a hash of the id.
 
-    Rows of the held-out fold (crc32 of the id modulo parts = held) never take part. The sample is bounded in rows and, by
-    within_bytes(), in bytes.
+    Rows of the held-out fold (crc32 of the id modulo parts = held) never take part. An id that stands in many rows counts
+    with one of its texts (the first by hash), and equal texts of a label count once, so neither crowds out the others. The
+    sample is bounded in rows and, by within_bytes(), in bytes.
     """
     wanted = labels.where(F.col(doc).isNotNull() & (fold(doc, parts) != held)).select(doc, F.col(label).cast("int").alias("label")).distinct()
     parted = [hash_sample(wanted.where(F.col("label") == k), doc, n) for k, n in bounds.items()]
     some = parted[0]
     for more in parted[1:]:
         some = some.unionByName(more)
-    found = stored(docs.select(doc, F.col(text).cast("binary").alias("raw")).where("raw is not null").join(F.broadcast(some), doc).select("raw", "label"), "labelled")
+    rows = docs.select(doc, F.col(text).cast("binary").alias("raw")).where("raw is not null").join(F.broadcast(some), doc)
+    one = rows.groupBy(doc, "label").agg(F.min_by("raw", F.xxhash64("raw")).alias("raw")).select("raw", "label").distinct()
+    found = stored(one, "labelled")
     return within_bytes(found, "raw")
 
 
