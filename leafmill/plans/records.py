@@ -38,14 +38,14 @@ gone AS (SELECT a.session, a.element FROM added a JOIN act d ON d.session = a.se
   UNION SELECT l.session, l.element FROM life l JOIN act c ON c.session = l.session AND c.action = 'CLEAR_PAGE' AND l.f = 'page_index' AND CAST(c.k % 5 AS VARCHAR) = l.v AND c.moment > l.moment AND (l.until IS NULL OR c.moment < l.until))"""
 
 
-@query(f"""WITH {RECORDS} SELECT session, element, CAST(max(v) FILTER (f = 'page_index') AS INTEGER) AS page_index, CAST(max(v) FILTER (f = 'value') AS DOUBLE) AS value, max(v) FILTER (f = 'colour') AS colour, CAST(max(v) FILTER (f = 'size') AS INTEGER) AS size
+@query(f"""WITH {RECORDS} SELECT session, element, max(v) FILTER (f = 'page_index') AS page_index, CAST(max(v) FILTER (f = 'value') AS DOUBLE) AS value, max(v) FILTER (f = 'colour') AS colour, max(v) FILTER (f = 'size') AS size
 FROM life WHERE until IS NULL AND (session, element) NOT IN (SELECT (session, element) FROM gone) GROUP BY ALL""")
 def fold_records(spark, sf):
     return typed(G.fold_records(record_log(events(spark, sf)), RECORD_FIELDS))
 
 
 def typed(records):
-    return records.withColumns({"page_index": F.col("page_index").cast("int"), "value": F.col("value").cast("double"), "size": F.col("size").cast("int")})
+    return records.withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"""WITH RECURSIVE {LOG}, l AS (SELECT session, event_id, action = 'UNDO' AS undo, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS n FROM log),
