@@ -1,8 +1,10 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text's 5-word k-mers carry their occurrence number (the second time a k-mer stands in a text is another element). Each
-of SKETCHES hash functions picks the two smallest elements, kept in the order in which they stand in the text: equal
-sketches are likely where the edit similarity is high, and rearranged texts agree less than their k-mer sets do.
+A text's k-mers of words carry their occurrence number (the second time a k-mer stands in a text is another element). Each
+hash function picks the two smallest elements, kept in the order in which they stand in the text: equal sketches are
+likely where the edit similarity is high, and rearranged texts agree less than their k-mer sets do. Edits that are spread
+evenly leave no five words in a row long before the similarity falls to 0.8, so a series of shorter k-mers stands beside
+the 5-word one (SERIES).
 Documents that share a sketch are candidates, each with a representative of the sketch's bucket; a banded alignment of
 their words accepts pairs of edit similarity 0.8 or more. Exact copies are folded into one text beforehand.
 
@@ -25,7 +27,11 @@ from pyspark.sql import types as T
 from .shared import HOT, annotated, byte_slices, hot_keys, join_keyed, mix, stored, words
 
 K = 5
-SKETCHES = 16
+#: Words of a k-mer and hash functions of each series.
+SERIES = ((K, 16), (3, 40))
+ALL_SKETCHES = sum(n for _, n in SERIES)
+#: Products of elements and factors held at once.
+SKETCH_CELLS = 1_000_000
 SIMILARITY = 0.8
 #: Hash functions that bucket the unmatched by the rest of their texts.
 REST_SKETCHES = 16
@@ -40,58 +46,76 @@ def hashed_words(raw: bytes | None) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
 
 
-def elements(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def elements(texts: list[np.ndarray], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the occurrence-labelled k-mers of each text in text order, and where each text's begin.
 
-    A text of fewer than K words has its whole self as its one k-mer; a text without words has none.
+    A text of fewer than k words has its whole self as its one k-mer; a text without words has none.
     """
-    sizes = np.array([max(len(w) - K + 1, min(len(w), 1)) for w in texts], np.int64)
+    sizes = np.array([max(len(w) - k + 1, min(len(w), 1)) for w in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    kmers = np.zeros(int(first[-1]), np.uint64)
+    kmers, label = np.zeros(int(first[-1]), np.uint64), np.zeros(int(first[-1]), np.uint64)
     for w, a, n in zip(texts, first, sizes, strict=False):
-        h = np.zeros(n, np.uint64)
-        for j in range(min(K, len(w))):
-            h = h * np.uint64(0x100000001B3) + w[j : j + n]
-        kmers[a : a + n] = h
-    kmers = mix(kmers, 1)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    order = np.lexsort((kmers, owner))
-    k, o = kmers[order], owner[order]
-    same = np.concatenate([[False], (k[1:] == k[:-1]) & (o[1:] == o[:-1])]) if len(k) else np.zeros(0, bool)
-    at = np.arange(len(k))
-    run = at - np.maximum.accumulate(np.where(same, 0, at))
-    label = np.zeros(len(k), np.uint64)
-    label[order] = run
-    return mix(kmers + label * np.uint64(0xD6E8FEB86659FD93), 2), first
+        h = kmers[a : a + n]
+        for j in range(min(k, len(w))):
+            h *= np.uint64(0x100000001B3)
+            h += w[j : j + n]
+        ordered = np.sort(h)
+        if (ordered[1:] == ordered[:-1]).any():
+            label[a : a + n] = occurrences(h)
+    return mix(mix(kmers, 1) + label * np.uint64(0xD6E8FEB86659FD93), 2), first
+
+
+def occurrences(values: np.ndarray) -> np.ndarray:
+    """How often each value stood before, at each place."""
+    order = np.argsort(values, kind="stable")
+    ordered, at = values[order], np.arange(len(values))
+    same = np.concatenate([[False], ordered[1:] == ordered[:-1]])
+    out = np.zeros(len(values), np.uint64)
+    out[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    return out
+
+
+def two_smallest(items: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each factor the two elements whose product with it is smallest, in text order; one element stands for both."""
+    a, b = np.zeros(len(factors), np.uint64), np.zeros(len(factors), np.uint64)
+    step = max(1, SKETCH_CELLS // len(items))
+    for at in range(0, len(factors), step):
+        h = factors[at : at + step, None] * items
+        one = h.argmin(1)
+        h[np.arange(len(h)), one] = np.uint64(2**64 - 1)
+        two = h.argmin(1)
+        a[at : at + step], b[at : at + step] = items[np.minimum(one, two)], items[np.maximum(one, two)]
+    return a, b
 
 
 def sketches(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text with words: its number, and a row of SKETCHES hashes of two elements in text order."""
-    items, first = elements(texts)
-    live = np.nonzero(np.diff(first))[0]
-    if not len(live):
-        return live, np.zeros((0, SKETCHES), np.int64)
-    starts, sizes = first[live], np.diff(first)[live]
-    out = np.zeros((len(live), SKETCHES), np.int64)
-    top = np.uint64(2**64 - 1)
-    for s in range(SKETCHES):
-        h = mix(items, 10 + s)
-        low = np.minimum.reduceat(h, starts)
-        hits = np.nonzero(h == np.repeat(low, sizes))[0]
-        owner = np.searchsorted(starts, hits, side="right") - 1
-        one = np.zeros(len(live), np.int64)
-        one[owner[::-1]] = hits[::-1]  # the first place of the smallest
-        h[one] = top
-        low = np.minimum.reduceat(h, starts)
-        hits = np.nonzero(h == np.repeat(low, sizes))[0]
-        owner = np.searchsorted(starts, hits, side="right") - 1
-        two = np.zeros(len(live), np.int64)
-        two[owner[::-1]] = hits[::-1]
-        a, b = items[np.minimum(one, two)], items[np.maximum(one, two)]
-        out[:, s] = mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b, 3), 100 + s).view(np.int64)
+    """For each text with words: its number, and a row of hashes of two elements in text order, of each series in turn."""
+    live = np.array([i for i, w in enumerate(texts) if len(w)], np.int64)
+    out = np.zeros((len(live), ALL_SKETCHES), np.int64)
+    at = 0
+    for k, n in SERIES:
+        items, first = elements(texts, k)
+        factors = mix(np.arange(at, at + n, dtype=np.uint64), 10) | np.uint64(1)
+        pairs = np.zeros((2, len(live), n), np.uint64)
+        for i, t in enumerate(live.tolist()):
+            pairs[0, i], pairs[1, i] = two_smallest(items[first[t] : first[t + 1]], factors)
+        for s in range(n):
+            out[:, at + s] = mix(pairs[0, :, s] * np.uint64(0x9E3779B97F4A7C15) + mix(pairs[1, :, s], 3), 100 + at + s).view(np.int64)
+        at += n
     return live, out
 
 
+def least_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: an edit takes at most two pairs of neighbouring words away."""
+    most = max(len(a), len(b)) - 1
+    if most < 1 or min(len(a), len(b)) < 2:
+        return abs(len(a) - len(b))
+    (x, n), (y, m) = (np.unique(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:], return_counts=True) for w in (a, b))
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int(np.minimum(n, m[at])[y[at] == x].sum())
+    return (most - common + 1) // 2
+
+
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Word edit distances of pairs inside a band of diagonals, all pairs a row at a time; right where at most `band`."""
     n, width = len(pairs), 2 * band + 1
@@ -144,7 +168,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARIT
     gap = np.array([abs(len(a) - len(b)) for a, b in trimmed], np.int64)
     size = np.array([max(len(a), len(b)) for a, b in trimmed], np.int64)
     out[size <= allowed] = True
-    live = np.nonzero((gap <= allowed) & ~out)[0]
+    live = np.array([i for i in np.nonzero((gap <= allowed) & ~out)[0] if least_distance(*trimmed[i]) <= allowed[i]], np.int64)
     band = 8
     while len(live):
         own = live[gap[live] <= band]
@@ -167,7 +191,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARIT
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """key, sketch number, bucket of texts (key, raw); the text's words are hashed once."""
+    """key, bucket (which names its hash function too) of texts (key, raw); the text's words are hashed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +204,10 @@ def _signatures(texts: DataFrame) -> DataFrame:
                     stop += 1
                 live, rows = sketches([hashed_words(r) for r in raws[at:stop]])
                 if len(live):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[at:stop][live], SKETCHES)), pa.array(np.tile(np.arange(SKETCHES, dtype=np.int32), len(live))), pa.array(rows.reshape(-1))], ["key", "sketch", "bucket"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[at:stop][live], ALL_SKETCHES)), pa.array(rows.reshape(-1))], ["key", "bucket"])
                 at = stop
 
-    return texts.mapInArrow(run, "key long, sketch int, bucket long")
+    return texts.mapInArrow(run, "key long, bucket long")
 
 
 def _hashed_texts(raw: DataFrame) -> DataFrame:
@@ -297,9 +321,10 @@ def classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", least: flo
     shared = stored(hashes.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "omh-shared")
     copies = stored(join_keyed(hashes, shared, ["hash"], hashes.count()).where("key <> first").groupBy("key").agg(F.min("first").alias("first")), "omh-copies")
     buckets = stored(_signatures(raw).join(copies.select("key"), "key", "left_anti"), "omh-buckets")
-    group = buckets.groupBy("sketch", "bucket").agg(F.min("key").alias("low"), F.min(F.struct(F.xxhash64("key", "sketch").alias("h"), "key")).alias("any"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high")
-    group = stored(group.select("sketch", "bucket", "low", F.col("any.key").alias("some"), "n"), "omh-group")
-    met = stored(join_keyed(buckets, group, ["sketch", "bucket"], buckets.count()).where("key <> low or key <> some").select("key", "low", "some"), "omh-met")
+    by_bucket = F.col("key").bitwiseXOR(F.col("bucket"))  # the smallest picks another key in each bucket
+    group = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.min(by_bucket).alias("some"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high")
+    group = stored(group.select("bucket", "low", F.col("some").bitwiseXOR(F.col("bucket")).alias("some"), "n"), "omh-group")
+    met = stored(join_keyed(buckets, group, ["bucket"], buckets.count()).where("key <> low or key <> some").select("key", "low", "some"), "omh-met")
     members = met.select("key").union(met.select("low")).union(met.select("some")).distinct()
     texts = stored(_hashed_texts(raw.join(members, "key", "left_semi").dropDuplicates(["key"])), "omh-texts")
     first = met.where("key <> low").select("key", F.col("low").alias("other")).distinct()
