@@ -337,3 +337,47 @@ def cache_hit_report(log: DataFrame, manifest: DataFrame) -> DataFrame:
     asked = log.where("method = 'GET'").withColumn("n", F.row_number().over(Window.partitionBy("cache", "path").orderBy("ts", "seq")))
     rows = asked.join(manifest.select("path", F.lit(True).alias("listed")).distinct(), "path", "left").withColumn("hit", F.coalesce("listed", F.lit(False)) | (F.col("n") > 1))
     return rows.groupBy("path").agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits")).withColumn("rate", F.col("hits") / F.col("requests"))
+
+
+IMPORT = r"import\s+\w+\s+from\s+['\"][^'\"]+\.module\.css['\"]"
+LOOKUP = r"\b\w+(?:\['[^']+'\]|\.[A-Za-z_]\w*)"
+COMMENT = r"(?s)/\*.*?\*/"
+MODULE_CLASS = r"\.(-?[_a-zA-Z][a-zA-Z0-9_-]*)"
+
+
+def resolved_path(file: Column, path: Column) -> Column:
+    """A path relative to a file's folder, without `.` and `..`; a path from the root stays."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(file, "[^/]*$", ""), path))
+    parts = F.filter(F.split(whole, "/"), lambda s: ~s.isin("", "."))
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def module_imports(sources: DataFrame) -> DataFrame:
+    """file, binding, module of the style modules that sources (file, text) import; of a binding's imports the last counts."""
+    rows = sources.select("file", F.posexplode(every(F.col("text"), IMPORT)).alias("n", "line"))
+    named = rows.select("file", "n", F.regexp_extract("line", r"import\s+(\w+)", 1).alias("binding"), resolved_path(F.col("file"), F.regexp_extract("line", r"['\"]([^'\"]+)['\"]$", 1)).alias("module"))
+    return named.groupBy("file", "binding").agg(F.max_by("module", "n").alias("module"))
+
+
+def undefined_lookups(sources: DataFrame, modules: DataFrame) -> DataFrame:
+    """file, line (from 1), binding, key, module: look-ups binding['key'] or binding.key of a class that the module does not have.
+
+    Sources are (file, text), modules (module, css); comments of a style sheet define nothing, a module that is not there has
+    no class. A look-up stands within one line; each place gives one row, also one in a comment or in a path (`t.module.css` under a binding t).
+    """
+    keys = modules.select("module", F.explode(every(F.regexp_replace("css", COMMENT, ""), MODULE_CLASS, 1)).alias("key")).distinct()
+    lines = sources.select("file", F.posexplode(F.split("text", "\n")).alias("line", "code"))
+    uses = lines.select("file", (F.col("line") + 1).alias("line"), F.explode(every(F.col("code"), LOOKUP)).alias("use"))
+    split = uses.select("file", "line", F.regexp_extract("use", r"^(\w+)", 1).alias("binding"), F.regexp_replace("use", r"^\w+(?:\['|\.)|'\]$", "").alias("key"))
+    return split.join(module_imports(sources), ["file", "binding"]).join(keys, ["module", "key"], "left_anti").select("file", "line", "binding", "key", "module")
+
+
+def stale_caches(caches: DataFrame, prefix: str) -> DataFrame:
+    """origin, name of the caches (origin, name, created) with the own prefix that are not their origin's newest.
+
+    Caches of another prefix belong to others and stay, as do those without a name. Of equal times the larger name is the newer.
+    """
+    own = caches.where(F.col("name").startswith(prefix)).select("origin", "name", "created")
+    newest = own.groupBy(F.col("origin").alias("_origin")).agg(F.max(F.struct("created", "name"))["name"].alias("_newest"))
+    return own.join(newest, F.col("origin").eqNullSafe(F.col("_origin"))).where("name <> _newest").select("origin", "name").distinct()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators import documents as D
 from leafmill.plans.registry import query
-from leafmill.sources.tables import SCHEMAS, doc_pages, page_counts, table
+from leafmill.sources.store import shared_dir, write_by_key
+from leafmill.sources.tables import SCHEMAS, as_declared, doc_pages, page_counts, table
 
 PAGES = """doc_pages AS (
   SELECT source, doc_id, CAST(p + 1 AS INTEGER) AS page_no, array_to_string(lines[p * 10 + 1 : p * 10 + 10], chr(10)) AS text
@@ -212,3 +215,21 @@ SELECT o_orderkey, name, CAST(sort_ts AS TIMESTAMP) AS sort_ts, row_number() OVE
 def sort_by_date(spark, sf):
     found = files(spark, sf).withColumn("created", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")))
     return D.sort_by_date(found, "name", "created", "o_orderdate", "o_orderkey").select("o_orderkey", "name", "sort_ts", "rank")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN n_chars || '?' ELSE CAST(n_chars AS VARCHAR) END AS n_chars, CASE WHEN doc_id % 9 = 0 THEN 'n_chars' ELSE '' END AS uncast FROM documents WHERE n_chars IS NOT NULL OR doc_id % 9 > 0""")
+def declared_read(spark, sf):
+    found = docs(spark, sf)
+    text = F.col("n_chars").cast("string")
+    found = found.withColumn("n_chars", F.when(F.col("doc_id") % 9 == 0, F.concat(text, F.lit("?"))).otherwise(text)).withColumn("more", F.lit(1))
+    fine, broken = as_declared(found, SCHEMAS["documents"])
+    rows = fine.select("doc_id", F.col("n_chars").cast("string").alias("n_chars"), F.lit("").alias("uncast"))
+    return rows.unionByName(broken.select("doc_id", "n_chars", F.array_join("uncast", ",").alias("uncast")))
+
+
+@query(f"WITH {SELECTED} SELECT doc_id, 'doc' || doc_id || '-page-' || page_no AS filename, text, CAST(doc_id % 16 AS INTEGER) AS shelf FROM selected")
+def split_documents_by_shelf(spark, sf):
+    path = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    outputs = D.split_documents(selected(spark, sf), file_name(), "separate").withColumn("shelf", (F.col("doc_id") % 16).cast("int"))
+    write_by_key(outputs, path, "shelf")
+    return spark.read.schema(outputs.schema).parquet(path)

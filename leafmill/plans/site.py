@@ -203,3 +203,33 @@ def cache_hit_report(spark, sf):
     path = F.concat(F.lit("/p/"), event_key(rows).cast("string"), F.lit("/"))
     log = rows.select(F.col("user_id").alias("cache"), path.alias("path"), F.when(F.col("event_type") == "error", "POST").otherwise("GET").alias("method"), "ts", F.col("event_id").alias("seq"), event_key(rows).alias("k"))
     return S.cache_hit_report(log.drop("k"), log.where("k < 20").select("path"))
+
+
+#: Sources and style modules of a page each, as SQL that both sides read alike.
+SOURCE_TEXT = """concat('import styles from ', chr(39), './m', CAST(page_id % 5 AS INT), '.module.css', chr(39), ';', chr(10), 'import more from "../shared/n.module.css";', chr(10), 'const a = styles[', chr(39), 'key-', CAST(page_id % 7 AS INT), chr(39), '] + more.', CASE WHEN page_id % 2 = 0 THEN 'pad' ELSE 'gone' END, ';', chr(10), 'other.key = styles.top; // ', substr(html, 1, 40))"""
+SOURCE_FILE = "concat('/src/d', CAST(page_id % 50 AS INT), '/f', CAST(page_id AS STRING), '.tsx')"
+MODULE_CSS = "concat('.key-', CAST(page_id % 6 AS INT), ':hover{left:0} /* .gone{} */ .pad{top:0}')"
+MODULE_NAME = "CASE WHEN page_id % 9 = 0 THEN '/src/shared/n.module.css' ELSE concat('/src/d', CAST(page_id % 50 AS INT), '/m', CAST(page_id % 5 AS INT), '.module.css') END"
+
+
+@query(f"""WITH s AS (SELECT {SOURCE_FILE} AS file, {SOURCE_TEXT} AS text FROM pages),
+i AS (SELECT file, regexp_extract(t, 'import\\s+(\\w+)', 1) AS binding, regexp_extract(t, '[''"]([^''"]+)[''"]$', 1) AS path FROM (SELECT file, unnest(regexp_extract_all(text, 'import\\s+\\w+\\s+from\\s+[''"][^''"]+\\.module\\.css[''"]')) AS t FROM s)),
+m AS (SELECT file, binding, CASE WHEN starts_with(path, './') THEN regexp_replace(file, '/[^/]*$', '') || substr(path, 2) ELSE regexp_replace(file, '/[^/]*/[^/]*$', '') || substr(path, 3) END AS module FROM i),
+l AS (SELECT file, unnest(string_split(text, chr(10))) AS code, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM s),
+u AS (SELECT file, line, regexp_extract(t, '^(\\w+)', 1) AS binding, regexp_replace(t, '^\\w+(\\[''|\\.)|''\\]$', '', 'g') AS key FROM (SELECT file, line, unnest(regexp_extract_all(code, '\\b\\w+(?:\\[''[^'']+''\\]|\\.[A-Za-z_]\\w*)')) AS t FROM l)),
+k AS (SELECT DISTINCT module, unnest(regexp_extract_all(regexp_replace(css, '/\\*.*?\\*/', '', 'g'), '\\.(-?[_a-zA-Z][a-zA-Z0-9_-]*)', 1)) AS key FROM (SELECT {MODULE_NAME} AS module, {MODULE_CSS} AS css FROM pages))
+SELECT u.file, CAST(line AS INTEGER) AS line, u.binding, u.key, m.module FROM u JOIN m USING (file, binding) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.module = m.module AND k.key = u.key)""")
+def undefined_lookups(spark, sf):
+    pages = table(spark, sf, "pages")
+    return S.undefined_lookups(pages.select(F.expr(SOURCE_FILE).alias("file"), F.expr(SOURCE_TEXT).alias("text")), pages.select(F.expr(MODULE_NAME).alias("module"), F.expr(MODULE_CSS).alias("css")))
+
+
+CACHES = "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS origin, concat(CASE WHEN page_id % 4 = 0 THEN 'theirs-' ELSE 'leaf-' END, substr(sha2(html, 256), 1, 8)) AS name, page_id AS created FROM pages"
+
+
+@query(f"""WITH c AS ({CACHES.replace("sha2(html, 256)", "sha256(html)")}), own AS (SELECT * FROM c WHERE starts_with(name, 'leaf-'))
+SELECT DISTINCT origin, name FROM own WHERE name <> (SELECT max_by(o.name, o.created) FROM own o WHERE o.origin = own.origin)""")
+def stale_caches(spark, sf):
+    pages = table(spark, sf, "pages")
+    name = F.concat(F.when(F.col("page_id") % 4 == 0, "theirs-").otherwise("leaf-"), F.substring(F.sha2(F.col("html").cast("binary"), 256), 1, 8))
+    return S.stale_caches(pages.select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("origin"), name.alias("name"), F.col("page_id").alias("created")), "leaf-")

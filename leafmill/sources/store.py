@@ -28,3 +28,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_by_key(df: DataFrame, path: str, key: str, most: int = 1_000_000) -> None:
+    """df as one folder a key, with one file of at most `most` rows, or more files where a key has more rows.
+
+    Keys should be few beside the rows (sources, days, shelves of ids); a reader that filters on the key opens its folders only.
+    Writing again replaces the folder.
+    """
+    df.repartition(key).write.mode("overwrite").option("maxRecordsPerFile", most).partitionBy(key).parquet(path)

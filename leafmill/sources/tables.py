@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.functions.arrays import bound
 
@@ -32,6 +33,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_drift(stored: DataFrame, declared: str | StructType) -> list[tuple[str, str, str | None, str | None]]:
+    """(column, state, declared type, stored type) of each column that is missing, extra or retyped in what is stored."""
+    want = {f.name: f.dataType.simpleString() for f in _schema(declared)}
+    have = {f.name: f.dataType.simpleString() for f in stored.schema}
+    states = [(c, "missing" if c not in have else "retyped", t, have.get(c)) for c, t in want.items() if have.get(c) != t]
+    return states + [(c, "extra", None, t) for c, t in have.items() if c not in want]
+
+
+def as_declared(stored: DataFrame, declared: str | StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows in the declared columns and types, and the rows as stored, with `uncast`, of which a value can't be cast.
+
+    A missing column is null, an extra one is left out; a null is a value of every type. Columns that are stored as declared
+    are not looked at, so their filters still reach the files.
+    """
+    retyped = {c: t for c, state, t, _ in schema_drift(stored, declared) if state == "retyped"}
+    value = lambda c, t: F.col(f"`{c}`").try_cast(t) if c in retyped else F.col(f"`{c}`") if c in stored.columns else F.lit(None).cast(t)
+    bad = [F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull(), F.lit(c)) for c, t in retyped.items()]
+    marks = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    fine = stored.where(F.size(marks) == 0) if bad else stored
+    return fine.select(*[value(f.name, f.dataType).alias(f.name) for f in _schema(declared)]), stored.withColumn("uncast", marks).where(F.size("uncast") > 0)
+
+
+def _schema(declared: str | StructType) -> StructType:
+    return declared if isinstance(declared, StructType) else StructType.fromDDL(declared)
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Every table, registered as a view of its name."""
     found = {name: table(spark, sf_dir, name) for name in SCHEMAS}
