@@ -6,7 +6,8 @@ likely where the edit similarity is high, and rearranged texts agree less than t
 evenly leave no five words in a row long before the similarity falls to 0.8, so a series of shorter k-mers stands beside
 the 5-word one (SERIES).
 Documents that share a sketch are candidates, each with a representative of the sketch's bucket; a banded alignment of
-their words accepts pairs of edit similarity 0.8 or more. Exact copies are folded into one text beforehand.
+their words accepts pairs of edit similarity 0.8 or more. Exact copies are folded into one text beforehand. A document
+meets first the representative with which it shares the most buckets, and others only while no links join the two.
 
 A bucket's members that are unlike its representatives, as where strangers share a long passage, are bucketed again by
 hashes of what they do not share with the first one, and so on until no bucket holds unmatched members. What is left of a
@@ -168,7 +169,9 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARIT
     gap = np.array([abs(len(a) - len(b)) for a, b in trimmed], np.int64)
     size = np.array([max(len(a), len(b)) for a, b in trimmed], np.int64)
     out[size <= allowed] = True
-    live = np.array([i for i in np.nonzero((gap <= allowed) & ~out)[0] if least_distance(*trimmed[i]) <= allowed[i]], np.int64)
+    live = np.nonzero((gap <= allowed) & ~out)[0]
+    gap[live] = np.maximum(gap[live], [least_distance(*trimmed[i]) for i in live])
+    live = live[gap[live] <= allowed[live]]  # from here on gap is the least band that can tell
     band = 8
     while len(live):
         own = live[gap[live] <= band]
@@ -186,7 +189,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARIT
             unsure.append(group[(found > band) & (allowed[group] > band)])
             at = stop
         live = np.concatenate([later, *unsure])
-        band *= 4
+        band = min(4 * band, int(allowed[live].max(initial=band)))
     return out
 
 
@@ -219,8 +222,8 @@ def _hashed_texts(raw: DataFrame) -> DataFrame:
     return annotated(raw, [T.StructField("words", T.BinaryType())], make, ("raw",)).select("key", "words")
 
 
-def _verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """edges (place, key, other, rest) with `alike`; of unlike pairs, rest is what is left of it without other's elements.
+def _verified(edges: DataFrame, texts: DataFrame, least: float, with_rest: bool = True) -> DataFrame:
+    """edges (place, key, other, rest) with `alike`; of unlike pairs, rest is what is left of it without other's elements (or null).
 
     rest holds hashes of elements of key's text; a null stands for all of them. The pairs of an `other` with many of them
     are dealt over copies of its text, as many as keep every share below 1 / HOT of all pairs.
@@ -244,7 +247,7 @@ def _verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([place, key, other, rest], ["place", "key", "other", "rest"])
                 pairs = list(zip(of(a), of(b), strict=True))
                 alike = similar(pairs, least)
-                rests = [None if same else left_over(rest, a, b) for same, rest, (a, b) in zip(alike.tolist(), rest.to_pylist(), pairs, strict=True)]
+                rests = [None if same or not with_rest else left_over(rest, a, b) for same, rest, (a, b) in zip(alike.tolist(), rest.to_pylist(), pairs, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(rests, pa.binary()), pa.array(alike)], ["place", "key", "other", "rest", "alike"])
 
     return both.mapInArrow(run, "place long, key long, other long, rest binary, alike boolean")
@@ -309,6 +312,22 @@ def components(edges: DataFrame) -> DataFrame:
         roots = fresh.select("key", F.col("new").alias("root"))
 
 
+def _united(links: list[DataFrame]) -> DataFrame:
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (key, other) that links found so far, with their roots (key, root), do not join."""
+    pairs = stored(pairs, "omh-pairs")
+    seen = roots.select(F.col("key").alias("other"), F.col("root").alias("other_root"))
+    ends = stored(pairs.groupBy("other").agg(F.count("*").alias("n")).join(seen, "other", "left").select("other", "n", F.coalesce("other_root", "other").alias("other_root")), "omh-ends")
+    met = join_keyed(pairs, ends, ["other"], pairs.count()).join(roots, "key", "left")
+    return met.where(F.coalesce("root", "key") != F.col("other_root")).select("key", "other")
+
+
 def classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, is_first of every row: class_id is the smallest doc_id of its near-duplicates, itself included.
 
@@ -321,29 +340,38 @@ def classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", least: flo
     shared = stored(hashes.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "omh-shared")
     copies = stored(join_keyed(hashes, shared, ["hash"], hashes.count()).where("key <> first").groupBy("key").agg(F.min("first").alias("first")), "omh-copies")
     buckets = stored(_signatures(raw).join(copies.select("key"), "key", "left_anti"), "omh-buckets")
-    by_bucket = F.col("key").bitwiseXOR(F.col("bucket"))  # the smallest picks another key in each bucket
-    group = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.min(by_bucket).alias("some"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high")
-    group = stored(group.select("bucket", "low", F.col("some").bitwiseXOR(F.col("bucket")).alias("some"), "n"), "omh-group")
-    met = stored(join_keyed(buckets, group, ["bucket"], buckets.count()).where("key <> low or key <> some").select("key", "low", "some"), "omh-met")
-    members = met.select("key").union(met.select("low")).union(met.select("some")).distinct()
+    # the largest key is the other representative: the buckets of one shared passage then have few pairs of representatives
+    group = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("some"), F.count("*").alias("n"), F.bit_xor("key").alias("all")).where("low < some")
+    group = stored(group, "omh-group")
+    # the smallest, the largest and the exclusive-or of all tell every member of up to three
+    middle = F.when(F.col("n") == 3, F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("some"))).otherwise(F.col("low"))
+    small = group.where("n <= 3").select(F.explode(F.array_distinct(F.array("low", middle, "some"))).alias("key"), "low", "some")
+    large = stored(group.where("n > 3").drop("all"), "omh-large")
+    met = stored(join_keyed(buckets, large, ["bucket"], buckets.count()).select("key", "low", "some").unionByName(small), "omh-met")
+    members = stored(met.select("key").distinct(), "omh-members")
     texts = stored(_hashed_texts(raw.join(members, "key", "left_semi").dropDuplicates(["key"])), "omh-texts")
-    first = met.where("key <> low").select("key", F.col("low").alias("other")).distinct()
     whole = lambda edges: edges.select(F.col("other").alias("place"), "key", "other", F.lit(None).cast("binary").alias("rest"))
-    checked = stored(_verified(whole(first), texts, least), "omh-checked")
-    # a text unlike its bucket's smallest key meets the bucket's other representative, which another hash picks
-    failed = met.join(checked.where("not alike").select("key", F.col("other").alias("low")), ["key", "low"])
-    second = failed.where("key <> some and low <> some").select("key", F.col("some").alias("other")).distinct().join(checked.select("key", "other"), ["key", "other"], "left_anti")
-    again = stored(_verified(whole(second), texts, least).drop("rest"), "omh-checked")
-    links = [t.where("alike").select("key", "other") for t in (checked, again)]
+    alike = lambda tables: [t.where("alike").select("key", "other") for t in tables]
+    first = stored(met.where("key <> low").groupBy("key", F.col("low").alias("other")).agg(F.count("*").alias("times")), "omh-first")
+    best = first.groupBy("key").agg(F.max_by("other", F.struct("times", -F.col("other"))).alias("other"))
+    checked = [stored(_verified(whole(best), texts, least), "omh-checked")]
+    later = first.select("key", "other").join(checked[0].select("key", "other"), ["key", "other"], "left_anti")
+    checked.append(stored(_verified(whole(_apart(later, components(alike(checked)[0]))), texts, least), "omh-checked"))
+    both = checked[0].unionByName(checked[1])
+    roots = components(_united(alike(checked)))
+    # a text unlike its bucket's smallest key meets the bucket's largest one, if no links join them
+    failed = met.join(both.where("not alike").select("key", F.col("other").alias("low")), ["key", "low"])
+    failed = stored(failed.where("key <> some").select("key", "low", "some").distinct(), "omh-failed")
+    open_ = stored(_apart(failed.select("key", F.col("some").alias("other")).distinct(), roots), "omh-open")
+    second = open_.join(both.select("key", "other"), ["key", "other"], "left_anti")
+    again = stored(_verified(whole(second), texts, least, with_rest=False).drop("rest"), "omh-checked")
+    links = alike([*checked, again])
     # a text unlike both is left with what it does not share with the smallest key; the other representative stays to be met
-    alike = links[0].unionByName(links[1]).withColumnRenamed("other", "some")
-    lone = failed.join(alike, ["key", "some"], "left_anti").select("key", F.col("low").alias("other")).distinct()
-    pending = checked.where("length(rest) > 0").join(lone, ["key", "other"], "left_semi").select("place", "key", "rest")
+    strange = open_.join(links[2], ["key", "other"], "left_anti").withColumnRenamed("other", "some")
+    lone = failed.join(strange, ["key", "some"]).select("key", F.col("low").alias("other")).distinct()
+    pending = both.where("length(rest) > 0").join(lone, ["key", "other"], "left_semi").select("place", "key", "rest")
     links += _unmatched_links(pending, texts, least)
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    roots = components(found)
+    roots = components(_united(links))
     moved = copies.join(roots.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("root"))
     mapped = moved.unionByName(roots.join(copies.select("key"), "key", "left_anti")).groupBy("key").agg(F.min("root").alias("root"))
     own = docs.select(F.col(doc).alias("doc_id")).join(mapped.withColumnRenamed("key", "doc_id"), "doc_id", "left")
