@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The page size in points where none is known; the smallest and largest size in percent.
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 MIN_SIZE, MAX_SIZE = 1.0, 90.0
+#: Fixed value: the widest a symbol gets by a centred resize, in percent.
+MAX_SYMBOL = 60.0
 BOX_TYPES = ["text", "rectangle", "ellipse", "symbol", "signature", "whiteout", "blackout", "blur"]
 BOX_SIDES = ["left", "top", "width", "height"]
 
@@ -53,6 +55,23 @@ def clamp_elements(elements: DataFrame, patches: DataFrame) -> DataFrame:
     return rows.select(*others, new_x.alias("left"), new_y.alias("top"), new_w.alias("width"), new_h.alias("height"))
 
 
+def resize_centred(elements: DataFrame, patches: DataFrame, ratio: str = "ratio", least: str = "least") -> DataFrame:
+    """elements after one centred resize each (id, dw, least, ratio, page_w, page_h): the aspect ratio is kept, the box stays on the page.
+
+    The width is `least` to MAX_SYMBOL percent; the box keeps its centre unless it would leave the page. Elements without a
+    patch, or without one of their sides, are left alone; an unknown page size is the default one.
+    """
+    rows = elements.join(patches.select("id", "dw", F.col(least).alias("_least"), F.col(ratio).alias("_ratio"), "page_w", "page_h"), "id", "left")
+    held = F.greatest(F.col("_least"), F.least(F.lit(MAX_SYMBOL), F.col("width") + F.col("dw")))
+    high = height_percent(held, F.col("_ratio"), F.coalesce("page_w", F.lit(PAGE_WIDTH)), F.coalesce("page_h", F.lit(PAGE_HEIGHT)))
+    centred = lambda at, old, new: F.greatest(F.lit(0.0), F.least(100 - new, at + (old - new) / 2))
+    patched = F.col("dw").isNotNull()
+    for side in BOX_SIDES:
+        patched = patched & F.col(side).isNotNull()
+    new = {"width": held, "height": high, "left": centred(F.col("left"), F.col("width"), held), "top": centred(F.col("top"), F.col("height"), high)}
+    return rows.select(*[F.when(patched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in elements.columns])
+
+
 def object_bounds(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """The box around all boxes of a group; boxes with an unknown side take no part in that side."""
     ends = boxes.groupBy(*keys).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"))

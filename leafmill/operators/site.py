@@ -147,6 +147,14 @@ def page_weight(pages: DataFrame, assets: DataFrame, page_limit: int = PAGE_LIMI
     return rows.select("page_id", "doc", zero(F.col("js")).alias("js"), zero(F.col("img")).alias("img"), total.alias("total"), (total > page_limit).alias("over_total"), (zero(F.col("img")) > image_limit).alias("over_img"))
 
 
+def worst_pages(weights: DataFrame) -> DataFrame:
+    """budget, page_id, bytes, over of the heaviest page of page_weight() for its total and for its images; of equal ones the smallest id."""
+    top = lambda size, over: F.max_by(F.struct("page_id", F.col(size).alias("bytes"), F.col(over).alias("over")), F.struct(size, -F.col("page_id")))
+    both = weights.agg(top("total", "over_total").alias("total"), top("img", "over_img").alias("img"))
+    rows = both.select(F.explode(F.create_map(F.lit("total"), "total", F.lit("img"), "img")).alias("budget", "worst"))
+    return rows.where("worst is not null").select("budget", "worst.*")
+
+
 def css_duplication(rules: DataFrame) -> DataFrame:
     """shipped, distinct, factor; a rule is its context and text."""
     sized = rules.groupBy("context", "text").agg(F.count("*").alias("n")).withColumn("bytes", F.octet_length("text").cast("long"))

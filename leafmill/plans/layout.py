@@ -108,6 +108,19 @@ def clamp_elements(spark, sf):
     return G.clamp_elements(boxes, patches).select("id", "left", "top", "width", "height")
 
 
+@query(f"""WITH {ELEMENTS}, p AS (SELECT *, CASE WHEN doc % 3 > 0 THEN CAST(doc % 61 - 30 AS DOUBLE) END AS dw, CAST(0.5 AS DOUBLE) + page_index AS ratio, CASE WHEN doc % 2 = 0 THEN CAST(595 AS DOUBLE) ELSE 612 END AS pw, CASE WHEN doc % 2 = 0 THEN CAST(842 AS DOUBLE) ELSE 792 END AS ph FROM elements),
+s AS (SELECT *, dw IS NOT NULL AND width IS NOT NULL AS patched, greatest(CAST(2 AS DOUBLE), least(CAST(60 AS DOUBLE), width + dw)) AS nw FROM p), t AS (SELECT *, nw * ratio * (pw / ph) AS nh FROM s)
+SELECT id, CASE WHEN patched THEN nw ELSE width END AS width, CASE WHEN patched THEN nh ELSE height END AS height,
+CASE WHEN patched THEN greatest(0, least(100 - nw, "left" + (width - nw) / 2)) ELSE "left" END AS "left", CASE WHEN patched THEN greatest(0, least(100 - nh, top + (height - nh) / 2)) ELSE top END AS top FROM t""")
+def resize_centred(spark, sf):
+    even = F.col("doc") % 2 == 0
+    # an unknown page size is the default one, so only even documents name theirs
+    patches = placed(spark, sf).where("doc % 3 > 0").select(
+        "id", (F.col("doc") % 61 - 30).cast("double").alias("dw"), F.lit(2.0).alias("least"), (F.lit(0.5) + F.col("page_index")).alias("ratio"), F.when(even, 595.0).alias("page_w"), F.when(even, 842.0).alias("page_h")
+    ).distinct()
+    return G.resize_centred(placed(spark, sf), patches).select("id", "left", "top", "width", "height")
+
+
 @query(f"""WITH {ELEMENTS} SELECT doc, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height FROM elements GROUP BY doc""")
 def object_bounds(spark, sf):
     return G.object_bounds(placed(spark, sf), ["doc"])

@@ -58,9 +58,16 @@ def inline_style_audit(spark, sf):
     return S.inline_style_audit(site(spark, sf))
 
 
-@query(f"""WITH {SITE}, w AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS doc, CAST(strlen(html) % 5000 AS BIGINT) AS js, CAST(strlen(html) % 5000 * 4 AS BIGINT) AS img FROM site)
-SELECT page_id, doc, js, img, doc + js AS total, doc + js > 8000 AS over_total, img > 15000 AS over_img FROM w""")
-def page_weight(spark, sf):
+WEIGHTS = f"""{SITE}, asset AS (SELECT unnest(['/js/' || page_id || '.js', '/img/' || page_id || '-s.png', '/img/' || page_id || '-l.png']) AS url, unnest([strlen(html) % 5000, strlen(html) % 5000, strlen(html) % 5000 * 4]) AS bytes FROM site),
+script AS (SELECT page_id, sum(bytes) AS js FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '{S.SCRIPT_SRC}', 1)) AS url FROM site) JOIN asset USING (url) GROUP BY page_id),
+image AS (SELECT page_id, unnest(range(len(tags))) AS n, unnest(tags) AS tag FROM (SELECT page_id, regexp_extract_all(html, '{S.IMAGE}') AS tags FROM site)),
+candidate AS (SELECT page_id, n, unnest(range(len(urls))) AS k, regexp_replace(unnest(urls), '[?].*$', '') AS url FROM (SELECT page_id, n, CASE WHEN contains(tag, ' srcset="') THEN list_transform(string_split(regexp_extract(tag, ' srcset="([^"]*)"', 1), ','), lambda c: split_part(trim(c), ' ', 1)) ELSE [regexp_extract(tag, ' src="([^"]*)"', 1)] END AS urls FROM image WHERE NOT regexp_matches(tag, '(?i) loading="?lazy'))),
+chosen AS (SELECT DISTINCT ON (page_id, n) page_id, n, url, bytes FROM candidate JOIN asset USING (url) ORDER BY page_id, n, bytes DESC, k),
+picture AS (SELECT page_id, sum(bytes) AS img FROM (SELECT DISTINCT page_id, url, bytes FROM chosen) GROUP BY page_id),
+w AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS doc, CAST(coalesce(js, 0) AS BIGINT) AS js, CAST(coalesce(img, 0) AS BIGINT) AS img FROM site LEFT JOIN script USING (page_id) LEFT JOIN picture USING (page_id))"""
+
+
+def weights(spark, sf):
     size = F.octet_length("html") % 5000
     name = lambda kind, end: F.concat(F.lit(kind), F.col("page_id").cast("string"), F.lit(end)).alias("url")
     assets = site(spark, sf)
@@ -68,6 +75,16 @@ def page_weight(spark, sf):
     return S.page_weight(site(spark, sf), assets, page_limit=8_000)
 
 
+@query(f"WITH {WEIGHTS} SELECT page_id, doc, js, img, doc + js AS total, doc + js > 8000 AS over_total, img > 15000 AS over_img FROM w")
+def page_weight(spark, sf):
+    return weights(spark, sf)
+
+
+@query(f"""WITH {WEIGHTS} (SELECT 'total' AS budget, page_id, doc + js AS bytes, doc + js > 8000 AS over FROM w ORDER BY bytes DESC, page_id LIMIT 1) UNION ALL (SELECT 'img', page_id, img, img > 15000 FROM w ORDER BY img DESC, page_id LIMIT 1)""")
+def worst_pages(spark, sf):
+    return S.worst_pages(weights(spark, sf))
+
+
 CSS = rf"""blocks AS (SELECT page_id, trim(unnest(regexp_extract_all(css, '{S.CSS_BLOCK}', 1))) AS block FROM (SELECT page_id, unnest(regexp_extract_all(html, '{S.STYLE_BLOCK}', 1)) AS css FROM site)),
 rules AS (SELECT page_id, context, trim(split_part(t, '{{', 1)) AS prelude, trim(t) AS text FROM (SELECT page_id, CASE WHEN starts_with(block, '@') THEN trim(split_part(block, '{{', 1)) ELSE '' END AS context, unnest(regexp_extract_all(CASE WHEN starts_with(block, '@') THEN substr(block, instr(block, '{{') + 1, length(block) - instr(block, '{{') - 1) ELSE block END, '{S.CSS_RULE}', 1)) AS t FROM blocks)),
 rule_classes AS (SELECT page_id, context, text, prelude, unnest(regexp_extract_all(prelude, '{S.SELECTOR_CLASS}', 1)) AS class FROM rules),

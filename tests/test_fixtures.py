@@ -140,6 +140,15 @@ def test_clamps(spark, handle, delta, want):
     assert (r.left, r.top, r.width, r.height) == want
 
 
+@pytest.mark.parametrize("box,dw,want", [
+    ((40.0, 40.0, 20.0, 10.0), 10.0, (35, 37.5, 30, 15)), ((0.0, 0.0, 20.0, 10.0), 20.0, (0, 0, 40, 20)), ((80.0, 90.0, 20.0, 10.0), 20.0, (60, 80, 40, 20)), ((40.0, 40.0, 20.0, 10.0), 90.0, (20, 30, 60, 30)), ((40.0, 40.0, 20.0, 10.0), -90.0, (49, 44.5, 2, 1)), ((1.0, 2.0, 3.0, 4.0), None, (1, 2, 3, 4)),
+])
+def test_centred_resizes(spark, box, dw, want):
+    boxes = spark.createDataFrame([("e", *box)], "id string, left double, top double, width double, height double")
+    r = geometry.resize_centred(boxes, spark.createDataFrame([("e", dw, 2.0, 0.5, 600.0, 600.0)], "id string, dw double, least double, ratio double, page_w double, page_h double")).first()
+    assert (r.left, r.top, r.width, r.height) == want
+
+
 def plain_undo(actions):
     stack, pairs, none = [], {}, set()
     for i, undo in enumerate(actions):
