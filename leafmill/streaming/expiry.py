@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from leafmill.streaming.buckets import Bucket, in_buckets, values
+
 
 def micros(stamp) -> int | None:
     return None if pd.isna(stamp) else stamp.value // 1_000
@@ -95,56 +97,42 @@ def handoff_timers_stream(rows: DataFrame, seconds: int = 300) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(HandoffTimers(seconds), "key long, seq long, payload double, status string", "Append", "EventTime")
 
 
-class DraftExpiry(StatefulProcessor):
-    """A key's last write, and a timer for the moment at which it expires. A deletion is kept as long as a draft, so that no older write undoes it."""
+class DraftExpiry(Bucket):
+    """The keys' last writes, and a timer for the moment at which the first of them expires. A deletion is kept as long as a draft, so that no older write undoes it."""
+
+    SCHEMA = "key long, seq long, micros long, payload double, change string"
 
     def __init__(self, seconds: int):
         self.age = seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.draft = handle.getValueState("draft", "micros long, seq long, deleted boolean")
-
     def timer(self, at: int) -> int:
         return -(-(at + self.age) // 1_000)
 
+    def first(self, state: dict) -> int | None:
+        return self.timer(min(d[0] for d in state.values())) if state else None
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, now = [], timerValues.getCurrentWatermarkInMs()
-        old = self.draft.get() if self.draft.exists() else None
-        for row in pd.concat(list(rows)).itertuples():
-            at, seq, deleted = micros(row.saved_at), int(row.seq), bool(row.deleted)
-            if at is None or self.timer(at) <= now or old is not None and (at, seq) <= old[:2]:
+        out, now, state = [], timerValues.getCurrentWatermarkInMs(), self.load()
+        before = self.first(state)
+        for k, at, seq, payload, deleted in values(rows, ["key", "saved_at_micros", "seq", "payload", "deleted"]):
+            old = state.get(k)
+            if at is None or self.timer(at) <= now or old is not None and [at, seq] <= old[:2]:
                 continue  # expired from the start, or older than what is known
-            if old is not None:
-                self.handle.deleteTimer(self.timer(old[0]))
-                if not old[2]:
-                    out.append(self.change(key, old, None, "ended"))
-            old = (at, seq, deleted)
-            self.draft.update(old)
-            self.handle.registerTimer(self.timer(at))
+            if old is not None and not old[2]:
+                out.append((k, old[1], old[0], None, "ended"))
+            state[k] = [at, seq, deleted]
             if not deleted:
-                out.append(self.change(key, old, number(row.payload), "live"))
+                out.append((k, seq, at, payload, "live"))
+        self.store(state)
+        self.wake(before, self.first(state))
         yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old = self.draft.get() if self.draft.exists() else None
-        out = []
-        if old is not None and self.timer(old[0]) == expiredTimerInfo.getExpiryTimeInMs():
-            self.draft.clear()
-            if not old[2]:
-                out.append(self.change(key, old, None, "expired"))
-        yield self.frame(out)
-
-    @staticmethod
-    def change(key, draft: tuple, payload: float | None, what: str) -> tuple:
-        return key[0], draft[1], draft[0], payload, what
-
-    @staticmethod
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "seq", "micros", "payload", "change"]).astype({"key": "int64", "seq": "int64", "micros": "int64", "payload": "float64", "change": "object"})
-
-    def close(self) -> None:
-        pass
+        state, now = self.load(), timerValues.getCurrentWatermarkInMs()
+        left = {k: d for k, d in state.items() if self.timer(d[0]) > now}
+        self.store(left)
+        self.wake(None, self.first(left))
+        yield self.frame([(k, d[1], d[0], None, "expired") for k, d in state.items() if k not in left and not d[2]])
 
 
 def expire_drafts_stream(drafts: DataFrame, seconds: int = 14 * 86_400) -> DataFrame:
@@ -154,7 +142,7 @@ def expire_drafts_stream(drafts: DataFrame, seconds: int = 14 * 86_400) -> DataF
     watermark reaches saved_at plus the age, that moment included. A write without a stamp expires at once, so it gives no
     row. live_drafts() has what is left.
     """
-    return drafts.groupBy("key").transformWithStateInPandas(DraftExpiry(seconds), "key long, seq long, micros long, payload double, change string", "Append", "EventTime")
+    return in_buckets(drafts, "key", DraftExpiry(seconds), "EventTime")
 
 
 def live_drafts(changes: DataFrame) -> DataFrame:
