@@ -85,7 +85,7 @@ MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM ev
 AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'click' AND c.user_id = r.user_id AND c.ts BETWEEN r.ts AND r.ts + INTERVAL 6 HOUR)""")
 def request_timeouts_stream(spark, sf):
     rows = ordered(spark, sf).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), "event_type")
-    found = E.request_timeouts_stream(rows.where("event_type = 'view'"), rows.where("event_type = 'click'"), "6 hours")
+    found = E.request_timeouts_stream(*[J.above_mark(rows, F.col("event_type") == t) for t in ("view", "click")], "6 hours")
     return J.drained(found, "timeouts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -95,7 +95,7 @@ SELECT key, seq, payload, CASE WHEN payload IS NULL THEN 'empty' ELSE 'ok' END A
 UNION ALL SELECT key, seq, NULL, 'expired' FROM n WHERE kind = 'save' AND (next_ts > ts + INTERVAL 6 HOUR OR next_ts IS NULL AND ts + INTERVAL 6 HOUR <= {MARK})""")
 def handoff_timers_stream(spark, sf):
     stateful(spark)
-    rows = ordered(spark, sf).where("event_type in ('signup', 'purchase')")
+    rows = J.above_mark(ordered(spark, sf), F.col("event_type").isin("signup", "purchase"))
     kind = F.when(F.col("event_type") == "signup", "save").otherwise("take")
     kept = rows.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 7 > 0, F.col("value")).alias("payload"))
     return J.drained(E.handoff_timers_stream(kept, 6 * 3600), "handoffs")

@@ -1,9 +1,11 @@
 """Streams that keep the state of many keys in buckets: few states for many keys, exact large and null keys."""
 
-from test_expiry_and_sinks import DRAFT, HANDOFF, at, batches, run  # noqa: F401
+from pyspark.sql import functions as F
+from test_expiry_and_sinks import DRAFT, HANDOFF, REQUEST, at, batches, run  # noqa: F401
 
 from leafmill.streaming import buckets as B
 from leafmill.streaming import expiry as E
+from leafmill.streaming import jobs as J
 
 BIG = 2**60 + 1
 
@@ -17,3 +19,24 @@ def test_many_drafts_take_a_state_and_a_timer_a_bucket(batches):  # noqa: F811
     assert sorted(r[1] for r in rows if r[4] == "ended") == [BIG + k for k in range(1, 3_000, 2)]
     assert sorted(r[1] for r in rows if r[4] == "live") == [1] + [BIG + k for k in range(3_000)] + [BIG + 3_000 + k for k in range(3_000) if k % 2 and k % 3]
     assert held <= 2 * B.BUCKETS
+
+
+def test_many_handoffs_take_a_state_and_a_timer_a_bucket(batches):  # noqa: F811
+    first = [(BIG + k, at(k % 60), BIG + k, "save", float(k)) for k in range(3_000)] + [(None, at(0), 1, "save", 1.0)]
+    second = [(BIG + k, at(62), BIG + 3_000 + k, "take", None) for k in range(0, 3_000, 2)]
+    found, held = run(E.handoff_timers_stream(batches(HANDOFF, [first, second]), 3_600))
+    rows = sum(found, [])
+    ok = {r[1]: r[2] for r in rows if r[3] == "ok"}
+    assert ok == {BIG + 3_000 + k: float(k) for k in range(0, 3_000, 2) if k % 60 >= 2}
+    assert sorted(r[1] for r in rows if r[3] == "expired") == [1] + [BIG + k for k in range(3_000) if k % 60 < 2]
+    assert held <= 2 * B.BUCKETS
+
+
+def test_rows_that_a_filter_drops_still_move_the_watermark(batches):  # noqa: F811
+    lists = [[(1, at(0), 1, "save", 1.0), (2, at(1), 2, "other", None)], [(3, at(6), 3, "other", None)]]
+    found, held = run(E.handoff_timers_stream(J.above_mark(batches(HANDOFF, lists), F.col("kind").isin("save", "take")), 300))
+    assert sum(found, []) == [(1, 1, None, "expired")]
+    assert held == 0
+    asked = batches(REQUEST, [[(1, at(0), 1, "ask"), (2, at(0), 2, "done"), (5, at(1), 3, "other")], [(3, at(60), 4, "other")]])
+    found, _ = run(E.request_timeouts_stream(*[J.above_mark(asked, F.col("kind") == k) for k in ("ask", "done")], "5 minutes"))
+    assert sum(found, []) == [(1, found[0][0][1], 1)]
