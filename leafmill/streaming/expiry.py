@@ -10,19 +10,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from leafmill.streaming.buckets import Bucket, in_buckets, values
 
 
-def micros(stamp) -> int | None:
-    return None if pd.isna(stamp) else stamp.value // 1_000
-
-
-def number(value) -> float | None:
-    return None if pd.isna(value) else float(value)
-
-
 def request_timeouts_stream(requests: DataFrame, completions: DataFrame, limit: str) -> DataFrame:
     """key, ts, seq of the requests (key, ts, seq) without a completion (key, ts) of their key from then until the limit.
 
@@ -34,57 +25,45 @@ def request_timeouts_stream(requests: DataFrame, completions: DataFrame, limit:
     return requests.select("key", "ts", "seq").join(done, within, "leftOuter").where("done_ts is null").select("key", "ts", "seq")
 
 
-class HandoffTimers(StatefulProcessor):
-    """The save that waits for a take, and a timer for the moment from which none may have it."""
+class HandoffTimers(Bucket):
+    """The saves that wait for a take, and a timer for the moment from which none may have the first of them."""
+
+    SCHEMA = "key long, seq long, payload double, status string"
 
     def __init__(self, seconds: int):
         self.age = seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.saved = handle.getValueState("saved", "micros long, seq long, payload double")
-
     def timer(self, at: int) -> int:
         """In milliseconds, rounded up: rows that are still to come are later than a watermark that has passed it."""
         return -(-(at + self.age) // 1_000)
 
-    def taken(self) -> tuple | None:
-        saved = self.saved.get() if self.saved.exists() else None
-        if saved is not None:
-            self.saved.clear()
-            self.handle.deleteTimer(self.timer(saved[0]))
-        return saved
+    def first(self, state: dict) -> int | None:
+        times = [at for at, *_ in state.values() if at is not None]
+        return self.timer(min(times)) if times else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            at, seq, payload = micros(row.ts), int(row.seq), number(row.payload)
-            saved = self.taken()
-            if saved is not None and at - saved[0] > self.age:  # its timer would have gone off before this row
-                out.append((key[0], saved[1], None, "expired"))
+        out, state = [], self.load()
+        before = self.first(state)
+        for k, at, seq, kind, payload in values(rows, ["key", "ts_micros", "seq", "kind", "payload"], ["ts_micros", "seq"]):
+            saved = state.pop(k, None)
+            if saved is not None and None not in (at, saved[0]) and at - saved[0] > self.age:  # its timer would have gone off before this row
+                out.append((k, saved[1], None, "expired"))
                 saved = None
-            if row.kind == "save":
-                self.saved.update((at, seq, payload))
-                self.handle.registerTimer(self.timer(at))
+            if kind == "save":
+                state[k] = [at, seq, payload]
             else:
                 ok = saved is not None and saved[2] is not None
-                out.append((key[0], seq, saved[2] if ok else None, "ok" if ok else "empty"))
+                out.append((k, seq, saved[2] if ok else None, "ok" if ok else "empty"))
+        self.store(state)
+        self.wake(before, self.first(state))
         yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        saved = self.saved.get() if self.saved.exists() else None
-        if saved is not None and self.timer(saved[0]) == expiredTimerInfo.getExpiryTimeInMs():
-            self.saved.clear()
-            yield self.frame([(key[0], saved[1], None, "expired")])
-        else:
-            yield self.frame([])
-
-    @staticmethod
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "seq", "payload", "status"]).astype({"key": "int64", "seq": "int64", "payload": "float64", "status": "object"})
-
-    def close(self) -> None:
-        pass
+        state, now = self.load(), timerValues.getCurrentWatermarkInMs()
+        left = {k: s for k, s in state.items() if s[0] is None or self.timer(s[0]) > now}
+        self.store(left)
+        self.wake(None, self.first(left))
+        yield self.frame([(k, s[1], None, "expired") for k, s in state.items() if k not in left])
 
 
 def handoff_timers_stream(rows: DataFrame, seconds: int = 300) -> DataFrame:
@@ -94,7 +73,7 @@ def handoff_timers_stream(rows: DataFrame, seconds: int = 300) -> DataFrame:
     own seq, `expired`, when a later row of the key or the watermark shows it, and leaves the state; one that a newer save
     replaces in time gives none.
     """
-    return rows.groupBy("key").transformWithStateInPandas(HandoffTimers(seconds), "key long, seq long, payload double, status string", "Append", "EventTime")
+    return in_buckets(rows, "key", HandoffTimers(seconds), "EventTime")
 
 
 class DraftExpiry(Bucket):
