@@ -1,8 +1,9 @@
 """Structured Streaming twins of the record jobs.
 
 Event time is the rows' ts; rows that come more than ten minutes late are dropped by the jobs that keep a watermark. State
-is one small record, or one session's elements, a key. The jobs take batches in event-time order: a registered drain
-reads the events through in_time_order(), so its result doesn't depend on how the rows lie in files.
+is one small record, or one session's elements, a key, kept by bucket (buckets.py). The jobs take batches in event-time
+order: a registered drain reads the events through in_time_order(), so its result doesn't depend on how the rows lie
+in files.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from leafmill.operators.drafts import debounce_saves
 from leafmill.sources.store import shared_dir
 from leafmill.sources.tables import SCHEMAS
+from leafmill.streaming.buckets import Bucket, in_buckets, values
 
 LATENESS = "10 minutes"
 #: Rows of a file that in_time_order() writes, about.
@@ -153,6 +155,13 @@ def latest_writes(changes: DataFrame) -> DataFrame:
     return last.select("key", F.timestamp_micros("d.micros").cast("timestamp_ntz").alias("saved_at"), "d.payload")
 
 
+def next_version(state) -> int:
+    """The number of a bucket's batch, which rises from batch to batch."""
+    version = (state.get()[0] if state.exists() else 0) + 1
+    state.update((version,))
+    return version
+
+
 class FoldEdits(StatefulProcessor):
     """A session's elements, folded as fold_edits() folds them; gives all of them, with a version, after each batch."""
 
@@ -194,47 +203,44 @@ def latest_version(folded: DataFrame) -> DataFrame:
     return folded.join(last, ["session", "version"], "left_semi").where("element is not null").select("session", "element", "page_index", "value")
 
 
-class FoldRecords(StatefulProcessor):
-    """A session's records as fold_records() has them; gives those that a batch changed, with a version, and none (null) where one ended."""
+class FoldRecords(Bucket):
+    """The sessions' records as fold_records() has them; gives those that a batch changed, with a version, and none (null) where one ended."""
+
+    SCHEMA = "session long, version long, element string, fields string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.records = handle.getMapState("records", "element string", "page string, fields string")
+        super().init(handle)
         self.version = handle.getValueState("version", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changed: dict[str, str | None] = {}
-
-        def put(element: str, fields: dict) -> None:
-            changed[element] = json.dumps(fields)
-            self.records.updateValue((element,), (fields.get("page_index"), changed[element]))
-
-        def drop(element: str) -> None:
-            changed[element] = None
-            self.records.removeKey((element,))
-
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            known = row.action in ("UPDATE", "DELETE") and self.records.containsKey((row.element,))
-            if row.action == "ADD":
-                put(row.element, json.loads(row.patch))
-            elif row.action == "UPDATE" and known:
-                put(row.element, json.loads(self.records.getValue((row.element,))[1]) | json.loads(row.patch))
-            elif row.action == "DELETE" and known:
-                drop(row.element)
-            elif row.action == "CLEAR_PAGE":
-                for e in [e[0] for e, record in self.records.iterator() if record[0] == str(row.page_index)]:
-                    drop(e)
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        yield pd.DataFrame([(key[0], version, e, fields) for e, fields in changed.items()], columns=["session", "version", "element", "fields"]).astype({"session": "int64", "version": "int64", "element": "object", "fields": "object"})
-
-    def close(self) -> None:
-        pass
+        state, touched, changed = self.load(), {}, {}
+        for session, action, element, page, patch in values(rows, ["session", "action", "element", "page_index", "patch"], ["ts_micros", "event_id"]):
+            if session not in touched:
+                touched[session] = dict(state.get(session, []))
+            records, ended = touched[session], []
+            if action == "ADD":
+                records[element] = json.loads(patch)
+            elif action == "UPDATE" and element in records:
+                records[element] |= json.loads(patch)
+            elif action == "DELETE" and element in records:
+                ended = [element]
+            elif action == "CLEAR_PAGE" and page is not None:
+                ended = [e for e, fields in records.items() if fields.get("page_index") == str(page)]
+            else:
+                continue
+            for e in ended:
+                del records[e]
+            changed |= dict.fromkeys((session, e) for e in ended or ([] if action == "CLEAR_PAGE" else [element]))
+        state |= {session: list(records.items()) for session, records in touched.items()}
+        self.store({session: records for session, records in state.items() if records})
+        version = next_version(self.version)
+        yield self.frame([(session, version, e, json.dumps(touched[session][e]) if e in touched[session] else None) for session, e in changed])
 
 
 def fold_records_stream(log: DataFrame) -> DataFrame:
     """session, version, element, fields (JSON; null where the record ended) of each record that a batch of the log changed."""
     rows = log.withColumn("patch", F.to_json("patch", {"ignoreNullFields": "false"}))
-    return rows.groupBy("session").transformWithStateInPandas(FoldRecords(), "session long, version long, element string, fields string", "Append", "None")
+    return in_buckets(rows, "session", FoldRecords())
 
 
 def latest_records(changes: DataFrame, fields: list[str]) -> DataFrame:
