@@ -162,39 +162,38 @@ def next_version(state) -> int:
     return version
 
 
-class FoldEdits(StatefulProcessor):
-    """A session's elements, folded as fold_edits() folds them; gives all of them, with a version, after each batch."""
+class FoldEdits(Bucket):
+    """The sessions' elements, folded as fold_edits() folds them; gives all of a session, with a version, after each batch that has rows of it."""
+
+    SCHEMA = "session long, version long, element string, page_index int, value double"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.elements = handle.getMapState("elements", "element string", "page_index int, value double")
+        super().init(handle)
         self.version = handle.getValueState("version", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            name = (row.element,)
-            if row.action == "ADD":
-                self.elements.updateValue(name, (int(row.page_index), None if pd.isna(row.value) else float(row.value)))
-            elif row.action == "UPDATE" and self.elements.containsKey(name):
-                if not pd.isna(row.value):
-                    self.elements.updateValue(name, (self.elements.getValue(name)[0], float(row.value)))
-            elif row.action == "DELETE" and self.elements.containsKey(name):
-                self.elements.removeKey(name)
-            elif row.action == "CLEAR_PAGE":
-                for other, (page, _) in list(self.elements.iterator()):
-                    if page == row.page_index:
-                        self.elements.removeKey(other)
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        found = [(key[0], version, e[0], page, value) for e, (page, value) in self.elements.iterator()]
-        yield pd.DataFrame(found or [(key[0], version, None, None, None)], columns=["session", "version", "element", "page_index", "value"]).astype({"page_index": "Int32", "value": "float64"})
-
-    def close(self) -> None:
-        pass
+        state, touched = self.load(), {}
+        for session, action, element, page, value in values(rows, ["session", "action", "element", "page_index", "value"], ["ts_micros", "event_id"]):
+            if session not in touched:
+                touched[session] = {e: (p, v) for e, p, v in state.get(session, [])}
+            elements = touched[session]
+            if action == "ADD":
+                elements[element] = (page, value)
+            elif action == "UPDATE" and element in elements and value is not None:
+                elements[element] = (elements[element][0], value)
+            elif action == "DELETE":
+                elements.pop(element, None)
+            elif action == "CLEAR_PAGE" and page is not None:
+                for other in [e for e, (p, _) in elements.items() if p == page]:
+                    del elements[other]
+        state |= {session: [(e, *v) for e, v in elements.items()] for session, elements in touched.items()}
+        self.store({session: elements for session, elements in state.items() if elements})
+        version = next_version(self.version)
+        yield self.frame([(session, version, *e) for session in touched for e in state[session] or [(None, None, None)]])
 
 
 def fold_edits_stream(log: DataFrame) -> DataFrame:
-    kind = "session long, version long, element string, page_index int, value double"
-    return log.groupBy("session").transformWithStateInPandas(FoldEdits(), kind, "Append", "None")
+    return in_buckets(log, "session", FoldEdits())
 
 
 def latest_version(folded: DataFrame) -> DataFrame:
