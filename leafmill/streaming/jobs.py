@@ -15,7 +15,7 @@ import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from leafmill.operators.drafts import debounce_saves
 from leafmill.sources.store import shared_dir
@@ -97,56 +97,46 @@ def commit_once_stream(moves: DataFrame, gap: str) -> DataFrame:
     return rows.select("gesture", "patch", F.col("last").alias("ts"))
 
 
-class Newest(StatefulProcessor):
-    """The newest generation that a slot has asked for; a result of an older one is superseded."""
+class Newest(Bucket):
+    """The newest generation that each slot has asked for; a result of an older one is superseded."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "generation long")
+    SCHEMA = "slot long, generation long, seq long, kept boolean"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, out = self.newest.get()[0] if self.newest.exists() else None, []
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            newest = int(row.generation) if newest is None else max(newest, int(row.generation))
-            out.append((key[0], int(row.generation), row.seq, row.generation == newest))
-        self.newest.update((newest,))
-        yield pd.DataFrame(out, columns=["slot", "generation", "seq", "kept"])
-
-    def close(self) -> None:
-        pass
+        out, newest = [], self.load()
+        for slot, generation, seq in values(rows, ["slot", "generation", "seq"], ["ts_micros", "seq"]):
+            if generation is not None:
+                newest[slot] = max(newest.get(slot, generation), generation)
+            out.append((slot, generation, seq, None if generation is None else generation == newest[slot]))
+        self.store(newest)
+        yield self.frame(out)
 
 
 def drop_superseded_stream(results: DataFrame) -> DataFrame:
     """slot, generation, seq, kept of results (slot, generation, ts, seq)."""
-    return results.groupBy("slot").transformWithStateInPandas(Newest(), "slot long, generation long, seq long, kept boolean", "Append", "None")
+    return in_buckets(results, "slot", Newest())
 
 
-class LatestDraft(StatefulProcessor):
-    """A key's last write; gives it, with a version, after each batch that changed it. A write without a stamp is the oldest."""
+class LatestDraft(Bucket):
+    """The keys' last writes; gives those, with a version, that a batch changed. A write without a stamp is the oldest."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.draft = handle.getValueState("draft", "version long, micros long, seq long, payload double, deleted boolean")
+    SCHEMA = "key long, version long, micros long, payload double, deleted boolean"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.draft.get() if self.draft.exists() else None
+        state, new = self.load(), {}
         place = lambda d: (d[1] is not None, d[1] or 0, d[2])
-        new = old
-        for row in pd.concat(list(rows)).itertuples():
-            micros = None if pd.isna(row.saved_at) else row.saved_at.value // 1_000
-            draft = (0 if old is None else old[0], micros, int(row.seq), None if pd.isna(row.payload) else float(row.payload), bool(row.deleted))
-            if new is None or place(draft) > place(new):
-                new = draft
-        if new is not old:
-            new = (new[0] + 1, *new[1:])
-            self.draft.update(new)
-            yield pd.DataFrame([(key[0], new[0], new[1], new[3], new[4])], columns=["key", "version", "micros", "payload", "deleted"]).astype({"micros": "Int64", "payload": "float64"})
-
-    def close(self) -> None:
-        pass
+        for k, *write in values(rows, ["key", "saved_at_micros", "seq", "payload", "deleted"]):
+            old = state.get(k)
+            draft, last = [(0 if old is None else old[0]) + 1, *write], new.get(k, old)
+            if last is None or place(draft) > place(last):
+                new[k] = draft
+        self.store(state | new)
+        yield self.frame([(k, version, micros, payload, deleted) for k, (version, micros, _, payload, deleted) in new.items()])
 
 
 def latest_draft_stream(drafts: DataFrame) -> DataFrame:
     """key, version, micros (of saved_at), payload, deleted of drafts (key, saved_at, payload, deleted, seq), whenever a key's last write changes."""
-    return drafts.groupBy("key").transformWithStateInPandas(LatestDraft(), "key long, version long, micros long, payload double, deleted boolean", "Append", "None")
+    return in_buckets(drafts, "key", LatestDraft())
 
 
 def latest_writes(changes: DataFrame) -> DataFrame:
@@ -249,32 +239,28 @@ def latest_records(changes: DataFrame, fields: list[str]) -> DataFrame:
     return last.select("session", "element", *[parsed[f].alias(f) for f in fields])
 
 
-class TakeHandoff(StatefulProcessor):
-    """The last unconsumed save of a key; a take consumes it and says whether it was fresh."""
+class TakeHandoff(Bucket):
+    """The last unconsumed saves of the keys; a take consumes its key's and says whether it was fresh."""
+
+    SCHEMA = "key long, seq long, payload double, status string"
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("saved", "micros long, payload double")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            micros = row.ts.value // 1_000
-            if row.kind == "save":
-                self.saved.update((micros, None if pd.isna(row.payload) else float(row.payload)))
+        out, state = [], self.load()
+        for k, micros, seq, kind, payload in values(rows, ["key", "ts_micros", "seq", "kind", "payload"], ["ts_micros", "seq"]):
+            if kind == "save":
+                state[k] = [micros, payload]
                 continue
-            saved = self.saved.get() if self.saved.exists() else None
-            self.saved.clear()
-            status = "empty" if saved is None else "expired" if micros - saved[0] > self.seconds * 1_000_000 else "empty" if saved[1] is None else "ok"
-            out.append((key[0], row.seq, saved[1] if status == "ok" else None, status))
-        yield pd.DataFrame(out, columns=["key", "seq", "payload", "status"]).astype({"payload": "float64"})
-
-    def close(self) -> None:
-        pass
+            saved = state.pop(k, None)
+            old = saved is not None and None not in (micros, saved[0]) and micros - saved[0] > self.seconds * 1_000_000
+            status = "empty" if saved is None else "expired" if old else "empty" if saved[1] is None else "ok"
+            out.append((k, seq, saved[1] if status == "ok" else None, status))
+        self.store(state)
+        yield self.frame(out)
 
 
 def take_handoff_stream(rows: DataFrame, seconds: int = 300) -> DataFrame:
     """key, seq, payload, status of each take of rows (key, ts, seq, kind, payload)."""
-    return rows.groupBy("key").transformWithStateInPandas(TakeHandoff(seconds), "key long, seq long, payload double, status string", "Append", "None")
+    return in_buckets(rows, "key", TakeHandoff(seconds))
