@@ -23,9 +23,9 @@ LINE_HEIGHT, LEAST_PADDING, SLACK = 1.05, 0.12, 0.06
 
 
 def box_padding(texts: DataFrame, metrics: DataFrame) -> DataFrame:
-    """texts with padding: the em above and below that a family (family, ascent, descent) needs beyond its line; the least one if unknown."""
+    """texts with padding: the em above and below that a family (family, ascent, descent; a few rows) needs beyond its line; the least one if unknown."""
     over = F.greatest(F.lit(0.0), (F.col("ascent") + F.col("descent") - LINE_HEIGHT) / 2) + SLACK
-    rows = texts.join(metrics, "family", "left")
+    rows = texts.join(F.broadcast(metrics), "family", "left")
     return rows.withColumn("padding", F.coalesce(F.greatest(F.lit(LEAST_PADDING), over), F.lit(LEAST_PADDING))).drop("ascent", "descent")
 
 
@@ -39,11 +39,11 @@ def text_direction(docs: DataFrame, fallback: str | None = None) -> DataFrame:
 
 def font_fallback(texts: DataFrame, fonts: DataFrame) -> DataFrame:
     """id, requested, resolved: one family for a whole text; fonts is the catalogue (family, hebrew, handwriting), a few rows."""
-    wanted = texts.withColumn("family", F.coalesce(F.nullif(F.col("requested"), F.lit("")), F.lit(TEXT_FALLBACK)))
-    rows = wanted.join(fonts, "family", "left")
+    family = F.coalesce(F.nullif(F.col("requested"), F.lit("")), F.lit(TEXT_FALLBACK))
+    wanted = texts.select("id", "requested", family.alias("family"), F.coalesce(F.col("text").rlike(HEBREW), F.lit(False)).alias("written"))
+    rows = wanted.join(F.broadcast(fonts), "family", "left")  # a few families: a shuffle by them would fill as many tasks
     stand_in = F.when(F.coalesce("handwriting", F.lit(False)), HANDWRITING_FALLBACK).otherwise(TEXT_FALLBACK)
-    hebrew = F.coalesce(F.col("text").rlike(HEBREW), F.lit(False))
-    return rows.select("id", "requested", F.when(~hebrew | F.coalesce("hebrew", F.lit(False)), F.col("family")).otherwise(stand_in).alias("resolved"))
+    return rows.select("id", "requested", F.when(~F.col("written") | F.coalesce("hebrew", F.lit(False)), F.col("family")).otherwise(stand_in).alias("resolved"))
 
 
 def charset_gaps(docs: DataFrame, charsets: DataFrame) -> DataFrame:
