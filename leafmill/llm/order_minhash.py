@@ -12,6 +12,9 @@ meets first the representative with which it shares the most buckets, and others
 A bucket's members that are unlike its representatives, as where strangers share a long passage, are bucketed again by
 hashes of what they do not share with the first one, and so on until no bucket holds unmatched members. What is left of a
 text shrinks each time, so this ends, and each round's work is in proportion to the unmatched members.
+
+The hashed texts lie in buckets of their key and are not shuffled again: a pair takes its key's text to the other's bucket,
+and what is left of a text is a bit for each of its elements.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.sources.store import keyed_table
+
 from .shared import HOT, annotated, byte_slices, hot_keys, join_keyed, mix, stored, words
 
 K = 5
@@ -36,8 +41,6 @@ SKETCH_CELLS = 1_000_000
 SIMILARITY = 0.8
 #: Hash functions that bucket the unmatched by the rest of their texts.
 REST_SKETCHES = 16
-#: Pairs whose keys are broadcast, at most, to pick their texts.
-FEW_PAIRS = 50_000
 #: Words of the texts aligned at once.
 ALIGNED_CELLS = 4_000_000
 
@@ -225,20 +228,23 @@ def _hashed_texts(raw: DataFrame) -> DataFrame:
 def _verified(edges: DataFrame, texts: DataFrame, least: float, with_rest: bool = True) -> DataFrame:
     """edges (place, key, other, rest) with `alike`; of unlike pairs, rest is what is left of it without other's elements (or null).
 
-    rest holds hashes of elements of key's text; a null stands for all of them. The pairs of an `other` with many of them
-    are dealt over copies of its text, as many as keep every share below 1 / HOT of all pairs.
+    rest has a bit for each element of key's text, none where nothing is left; a null stands for all of them. texts lie in
+    buckets of their key, so the pairs go to them. The pairs of an `other` with many of them are dealt over copies of its
+    text, as many as keep every share below 1 / HOT of all pairs.
     """
     edges = stored(edges, "omh-edges")
     total = edges.count()
     shares = F.ceil(F.col("n") * HOT / max(1, total)).cast("int").alias("shares")
     hot = stored(hot_keys(edges.groupBy("other").agg(F.count("*").alias("n")), total).select("other", shares), "omh-hubs")
-    one = F.coalesce("shares", F.lit(1))
-    if total <= FEW_PAIRS:  # few texts are met: the others need not be shuffled
-        met = edges.select("key").union(edges.select("other")).distinct()
-        texts = texts.join(F.broadcast(met), "key", "left_semi")
-    left = edges.join(texts, "key").withColumnRenamed("words", "a").join(F.broadcast(hot), "other", "left").withColumn("share", F.pmod(F.xxhash64("key", "place"), one).cast("int")).drop("shares")
-    right = texts.select(F.col("key").alias("other"), F.col("words").alias("b")).join(F.broadcast(hot), "other", "left").withColumn("share", F.explode(F.sequence(F.lit(0), one - 1))).drop("shares")
-    both = left.join(right, ["other", "share"]).select("a", "b", "place", "key", "other", "rest")
+    columns = ["a", "b", "place", "key", "other", "rest"]
+    left = lambda some: some.join(texts, "key").withColumnRenamed("words", "a")
+    others = texts.select(F.col("key").alias("other"), F.col("words").alias("b"))
+    none_hot = hot.isEmpty()
+    both = left(edges if none_hot else edges.join(F.broadcast(hot), "other", "left_anti")).join(others, "other").select(*columns)
+    if not none_hot:
+        dealt = left(edges.join(F.broadcast(hot), "other")).withColumn("share", F.pmod(F.xxhash64("key", "place"), "shares").cast("int"))
+        copies = others.join(F.broadcast(hot), "other").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        both = both.unionByName(dealt.join(copies, ["other", "share"]).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda c: [np.frombuffer(w, np.uint32).astype(np.uint64) for w in c.to_pylist()]
@@ -253,27 +259,33 @@ def _verified(edges: DataFrame, texts: DataFrame, least: float, with_rest: bool
     return both.mapInArrow(run, "place long, key long, other long, rest binary, alike boolean")
 
 
+def bits(rest: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(rest, np.uint8), count=n).astype(bool)
+
+
 def left_over(rest: bytes | None, a: np.ndarray, b: np.ndarray) -> bytes:
-    """The elements of a, or those of them in rest, that b does not have."""
-    own = elements([a])[0] if rest is None else np.frombuffer(rest, np.uint64)
-    return own[~np.isin(own, elements([b])[0])].tobytes()
+    """A bit for each element of a: whether it is in rest (a null holds all) and b does not have it. Empty if none is left."""
+    own = elements([a])[0]
+    left = ~np.isin(own, elements([b])[0])
+    if rest is not None:
+        left &= bits(rest, len(own))
+    return np.packbits(left).tobytes() if left.any() else b""
 
 
-def _rest_signatures(pending: DataFrame) -> DataFrame:
+def _rest_signatures(pending: DataFrame, texts: DataFrame) -> DataFrame:
     """place, key, sketch number, bucket of the unmatched (place, key, rest): the smallest hash of the rest's elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rests = [np.frombuffer(r, np.uint64) for r in batch.column(2).to_pylist()]
-            starts = np.cumsum([0, *map(len, rests)])[:-1]
-            if not len(rests):
-                continue
-            items = np.concatenate(rests)
-            rows = np.stack([np.minimum.reduceat(mix(items, 300 + s), starts) for s in range(REST_SKETCHES)], 1).view(np.int64)
-            numbers = np.tile(np.arange(REST_SKETCHES, dtype=np.int32), len(rests))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), REST_SKETCHES)) for i in (0, 1)] + [pa.array(numbers), pa.array(rows.reshape(-1))], ["place", "key", "sketch", "bucket"])
+            for texts, rests, *ids in byte_slices(tuple(batch.columns), 2_000_000):
+                own, first = elements([np.frombuffer(w, np.uint32).astype(np.uint64) for w in texts.to_pylist()])
+                kept = [bits(r, n) for r, n in zip(rests.to_pylist(), np.diff(first).tolist(), strict=True)]
+                items, starts = own[np.concatenate(kept)], np.cumsum([0, *map(np.count_nonzero, kept)])[:-1]
+                rows = np.stack([np.minimum.reduceat(mix(items, 300 + s), starts) for s in range(REST_SKETCHES)], 1).view(np.int64)
+                numbers = np.tile(np.arange(REST_SKETCHES, dtype=np.int32), len(kept))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c.to_numpy(zero_copy_only=False), REST_SKETCHES)) for c in ids] + [pa.array(numbers), pa.array(rows.reshape(-1))], ["place", "key", "sketch", "bucket"])
 
-    return pending.mapInArrow(run, "place long, key long, sketch int, bucket long")
+    return pending.join(texts, "key").select("words", "rest", "place", "key").mapInArrow(run, "place long, key long, sketch int, bucket long")
 
 
 def _unmatched_links(pending: DataFrame, texts: DataFrame, least: float) -> list[DataFrame]:
@@ -281,7 +293,7 @@ def _unmatched_links(pending: DataFrame, texts: DataFrame, least: float) -> list
     links = []
     while True:
         pending = stored(pending, "omh-pending")
-        buckets = stored(_rest_signatures(pending), "omh-rest")
+        buckets = stored(_rest_signatures(pending, texts), "omh-rest")
         group = buckets.groupBy("place", "sketch", "bucket").agg(F.min("key").alias("other"), F.max("key").alias("high"), F.count("*").alias("n")).where("other < high").drop("high")
         met = join_keyed(buckets, stored(group, "omh-group"), ["place", "sketch", "bucket"], buckets.count())
         pairs = met.where("key <> other").select("place", "key", "other").distinct()
@@ -349,7 +361,8 @@ def classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", least: flo
     large = stored(group.where("n > 3").drop("all"), "omh-large")
     met = stored(join_keyed(buckets, large, ["bucket"], buckets.count()).select("key", "low", "some").unionByName(small), "omh-met")
     members = stored(met.select("key").distinct(), "omh-members")
-    texts = stored(_hashed_texts(raw.join(members, "key", "left_semi").dropDuplicates(["key"])), "omh-texts")
+    # hashed before anything is shuffled, as the hashes take less room than the texts
+    texts, drop = keyed_table(_hashed_texts(raw).join(members, "key", "left_semi").dropDuplicates(["key"]), "omh_texts", "key")
     whole = lambda edges: edges.select(F.col("other").alias("place"), "key", "other", F.lit(None).cast("binary").alias("rest"))
     alike = lambda tables: [t.where("alike").select("key", "other") for t in tables]
     first = stored(met.where("key <> low").groupBy("key", F.col("low").alias("other")).agg(F.count("*").alias("times")), "omh-first")
@@ -371,6 +384,7 @@ def classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", least: flo
     lone = failed.join(strange, ["key", "some"]).select("key", F.col("low").alias("other")).distinct()
     pending = both.where("length(rest) > 0").join(lone, ["key", "other"], "left_semi").select("place", "key", "rest")
     links += _unmatched_links(pending, texts, least)
+    drop()
     roots = components(_united(links))
     moved = copies.join(roots.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("root"))
     mapped = moved.unionByName(roots.join(copies.select("key"), "key", "left_anti")).groupBy("key").agg(F.min("root").alias("root"))

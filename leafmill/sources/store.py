@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_table(df: DataFrame, label: str, key: str) -> tuple[DataFrame, Callable[[], object]]:
+    """df stored in buckets of the key, as many as a shuffle has partitions, so that joins on the key shuffle only their other side.
+
+    Spark reads buckets from named tables only; the second result drops the name when nothing reads the table any more.
+    The files lie in the shared folder as those of stored() do.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE {name}")
+
+
 def write_by_key(df: DataFrame, path: str, key: str, most: int = 1_000_000) -> None:
     """df as one folder a key, with one file of at most `most` rows, or more files where a key has more rows.
 
