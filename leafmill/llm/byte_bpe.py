@@ -14,6 +14,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ HEAD_BYTES = 48
 BUCKETS = 16_384
 #: Words that a task counts before it hands them on, and rare words whose ids it remembers; results don't depend on them.
 REMEMBERED, CACHED = 200_000, 300_000
+#: Above every rank: parts that don't merge.
+NEVER = 1 << 40
 #: Characters of a text whose pieces are met one by one, not listed.
 LONG = 2_000_000
 
@@ -90,16 +93,17 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     n = len(piece)
     if n < 40:
+        rank = ranks.get
         parts = [piece[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        found = [rank(piece[i : i + 2], NEVER) for i in range(n - 1)]  # of each part with the next one
+        while found and (best := min(found)) < NEVER:
+            at = found.index(best)
+            parts[at] += parts.pop(at + 1)
+            del found[at]
+            if at:
+                found[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+            if at < len(found):
+                found[at] = rank(parts[at] + parts[at + 1], NEVER)
         return [ranks[p] for p in parts]
     ends, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
     live = [True] * n
@@ -143,7 +147,10 @@ def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 
 
 class Pieces(dict):
-    """The ids of pieces, as little-endian bytes: those encoded ahead, and those merged here, some of which are remembered."""
+    """The ids of pieces, as little-endian bytes: those encoded ahead, and those merged here, some of which are remembered.
+
+    It is broadcast empty; what a Python worker remembers stays for its next tasks.
+    """
 
     def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
         self.known, self.ranks = known.get, ranks
@@ -151,7 +158,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.known(piece)
         if ids is None:
-            ids = np.array(merged(piece.encode(), self.ranks), "<i4").tobytes()
+            ids = pack(f"<{len(found := merged(piece.encode(), self.ranks))}i", *found)
         self[piece] = ids
         return ids
 
@@ -167,10 +174,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     head = most_frequent(counts, head_words).repartition(32)
     rows = encode_words(head, ranks).select("word", "ids").toArrow()
     known = {word.decode(): np.array(ids, "<i4").tobytes() for word, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
-    sent = spark.sparkContext.broadcast((known, ranks))
+    sent = spark.sparkContext.broadcast(Pieces(known, ranks))
 
     def make():
-        expression, pieces = regex.compile(pattern), Pieces(*sent.value)
+        expression, pieces = regex.compile(pattern), sent.value
 
         def of(texts: pa.Array) -> list:
             if len(pieces) > CACHED:
