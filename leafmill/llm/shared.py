@@ -96,9 +96,12 @@ def join_keyed(rows: DataFrame, sizes: DataFrame, key: list[str], total: int, n:
     """rows joined with `sizes`, which has one row a key and the number n of the key's rows among `total` in all.
 
     Hot keys, fewer than HOT, are joined where their rows lie, by a broadcast; the rows of the other keys are shuffled,
-    and none of these keys has more than 1 / HOT of them. Both tables are read twice, so they should be stored ones.
+    and none of these keys has more than 1 / HOT of them. Both tables are read more than once, so they should be stored ones.
     """
-    hot = F.broadcast(hot_keys(sizes, total, n))
+    hot = hot_keys(sizes, total, n)
+    if hot.isEmpty():
+        return rows.join(sizes, key)
+    hot = F.broadcast(hot)
     cool = rows.join(hot.select(*key), key, "left_anti").join(sizes.where(F.col(n) * HOT <= total), key)
     return rows.join(hot, key).unionByName(cool)
 

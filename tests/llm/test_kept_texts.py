@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from leafmill.llm import order_minhash
+from leafmill.llm.shared import join_keyed
 from leafmill.sources.store import keyed_table
 
 
@@ -37,3 +38,17 @@ def test_pairs_go_to_the_texts_which_are_not_shuffled(spark):
         assert not [t for t in spark.catalog.listTables() if t.name.startswith(("test_texts", "omh_texts"))]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", parts)
+
+
+def test_tables_without_hot_keys_are_joined_once(spark):
+    parts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).selectExpr("id % 2000 AS k", "id AS v")
+        found = join_keyed(rows, rows.groupBy("k").count().withColumnRenamed("count", "n"), ["k"], 4000)
+        assert found.count() == 4000
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
+        some = spark.range(4000).selectExpr("IF(id < 100, -1, id) AS k", "id AS v")
+        assert join_keyed(some, some.groupBy("k").count().withColumnRenamed("count", "n"), ["k"], 4000).count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", parts)
